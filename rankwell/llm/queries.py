@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, id_hash, stored
+from .decontamination import contaminated_passages
 from .exact_dedup import exact_duplicates
+from .hmm import language_model_scores
+from .language_id import identify_languages
+from .packing import pack, word_lengths
 from .sharding import interleaved
 from .token_counts import token_counts
+from .token_files import read_token_files, write_token_files
 
 
 def tokenizer_path(name: str) -> str:
@@ -17,24 +22,57 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated_passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = stored(word_lengths(documents(spark, sf_dir)), "lengths")
+    return pack(lengths, id_col="id").withColumnRenamed("id", "doc_id")
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(id_hash(F.col("doc_id")), F.lit(7)) == 2
+    rows = language_model_scores(documents(spark, sf_dir), ~held_out)
+    return rows.select(F.col("id").alias("doc_id"), (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(id_hash(F.col("doc_id")), F.lit(3)) == 1
+    rows = identify_languages(documents(spark, sf_dir), ~held_out, carry=["doc_id"])
+    return rows.select("row.doc_id", "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = interleaved(documents(spark, sf_dir), shards=16)
     return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    files = write_token_files(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return read_token_files(docs, files).withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_duplicates(documents(spark, sf_dir))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_packing": op2_packing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_token_counts": op4_token_counts,
+    "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
+    "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
