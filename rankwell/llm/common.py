@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: The only letters the contracts lower-case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Groups with over 1/HOT_PARTS of the rows number fewer than HOT_PARTS.
+HOT_PARTS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +80,19 @@ def id_hash(column: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(column.cast("string"), F.lit("")), "UTF-8"))
 
 
+def told_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n: int) -> DataFrame:
+    """``rows`` with the columns of their group (``groups``: one row per key, all keys present).
+
+    Groups with over 1/HOT_PARTS of the n rows number fewer than HOT_PARTS and are
+    broadcast, so the shuffled join deals with small groups only.
+    """
+    hot = groups.where(F.col(size) * HOT_PARTS > n)
+    cold = groups.where(F.col(size) * HOT_PARTS <= n)
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    others = [c for c in groups.columns if c not in keys]
+    return marked.where(F.col(size).isNotNull()).unionByName(marked.where(F.col(size).isNull()).drop(*others).join(cold, keys))
+
+
 def power_of_two(n: float) -> int:
     """The smallest power of two that is at least n, and at least 1."""
     return 1 << max(0, int(-(-n // 1)) - 1).bit_length() if n > 1 else 1

@@ -153,13 +153,18 @@ class PassageFinder:
         good = (hits + after >= self.bound[own]) | ((before == 0) & (hits >= self.bound[own]))
         return own[good], (keys[good] & ((1 << 40) - 1)) * (self.budget[own[good]] + 1) - longest
 
+    @staticmethod
+    def _verified(form: np.ndarray, normal: np.ndarray, start: int, width: int) -> tuple[int, int]:
+        whole = normal[max(start, 0) : start + width + len(form) - 1].tobytes().find(form.tobytes())
+        return (0, max(start, 0) + whole + len(form)) if whole >= 0 else banded_distance(form, normal, start, width)
+
     def find(self, data: np.ndarray) -> list[tuple[object, int, int, int]]:
         """(item key, start, stop, edits) in bytes that may hold several texts with 0 between them."""
         normal, origin = normal_form(data)
         found: dict[tuple[int, int], tuple[int, int]] = {}
         for i, diagonal in zip(*(x.tolist() for x in self._candidates(normal)), strict=True):
             form, k = self.forms[i], int(self.budget[i])
-            edits, end = banded_distance(form, normal, diagonal - k, 4 * k + 3)
+            edits, end = self._verified(form, normal, diagonal - k, 4 * k + 3)
             if edits <= k:
                 found[i, end] = min(found.get((i, end), (edits, 0)), (edits, 0))
         out = []

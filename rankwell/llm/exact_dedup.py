@@ -15,14 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, power_of_two, stored
+from .common import lower_ascii, power_of_two, stored, told_by_group
 
 #: bitmap_construct_agg works on blocks of this many bits.
 BLOCK_BITS = 32768
 BITS_PER_ROW = 16
 BROADCAST_BYTES = 64 << 20
-#: Groups with over 1/HOT_PARTS of the rows number fewer than HOT_PARTS.
-HOT_PARTS = 1000
 
 
 def _cells(digest: Column, blocks: int) -> tuple[Column, Column, Column]:
@@ -40,12 +38,12 @@ def _bit(bits: Column, cell: Column) -> Column:
     return F.getbit(byte, cell.bitwiseAND(F.lit(7))) == 1
 
 
-def repeated_cells(rows: DataFrame, blocks: int, digest: str = "digest") -> DataFrame:
-    """The Bloom filter: per block a bitmap of the cells hit by two rows or more."""
+def hit_cells(rows: DataFrame, blocks: int, least: int, digest: str = "digest") -> DataFrame:
+    """A Bloom filter: per block a bitmap of the cells hit by ``least`` rows or more."""
     block, one, two = _cells(F.col(digest), blocks)
     cells = rows.select(block.alias("block"), F.explode(F.array(one, two)).alias("cell"))
     # partial sums go first, so a text that a third of the rows hold sends one row a task
-    counted = cells.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1")
+    counted = cells.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= least)
     return counted.groupBy("block").agg(F.bitmap_construct_agg("cell").alias("bits"))
 
 
@@ -75,15 +73,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = stored(docs.select(F.col(id_col).alias("id"), F.sha2(lower_ascii(F.col(text_col)), 256).alias("digest")), "digests")
     n = rows.count()
     blocks = power_of_two(n * BITS_PER_ROW / BLOCK_BITS)
-    seen = probed(rows, repeated_cells(rows, blocks), blocks, blocks * BLOCK_BITS // 8 <= broadcast_bytes)
+    seen = probed(rows, hit_cells(rows, blocks, 2), blocks, blocks * BLOCK_BITS // 8 <= broadcast_bytes)
     alone = seen.where("NOT possible").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     each, groups = _groups(seen.where("possible"))
     each, groups = stored(each, "possible"), stored(groups, "groups")
-    hot = groups.where(F.col("group_size") * HOT_PARTS > n)  # fewer than HOT_PARTS rows
-    cold = groups.where(F.col("group_size") * HOT_PARTS <= n)
-    marked = each.join(F.broadcast(hot), "digest", "left")
-    told = marked.where("group_size IS NOT NULL").unionByName(marked.where("group_size IS NULL").drop("keep_id", "group_size").join(cold, "digest"))
-    told = told.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    told = each.transform(told_by_group, groups, ["digest"], "group_size", n).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return alone.unionByName(told.select("id", "keep_id", "group_size", kept.alias("kept"), "digest"))
 
@@ -98,7 +92,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n = thin.count()
     blocks = power_of_two(n * BITS_PER_ROW / BLOCK_BITS)
     small = blocks * BLOCK_BITS // 8 <= broadcast_bytes
-    cells = stored(repeated_cells(thin, blocks), "cells")
+    cells = stored(hit_cells(thin, blocks, 2), "cells")
     _, groups = _groups(probed(thin, cells, blocks, small).where("possible"))
     keep = stored(groups.select("digest", F.col("keep_id").alias("id")), "keep")
     seen = probed(rows, cells, blocks, small)

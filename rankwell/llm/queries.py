@@ -10,6 +10,7 @@ from .decontamination import contaminated_passages
 from .exact_dedup import exact_duplicates
 from .hmm import language_model_scores
 from .language_id import identify_languages
+from .ngram_join import ngram_components
 from .packing import pack, word_lengths
 from .sharding import interleaved
 from .token_counts import token_counts
@@ -43,6 +44,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(documents(spark, sf_dir), words=3, percent=90).withColumnRenamed("id", "doc_id")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(id_hash(F.col("doc_id")), F.lit(3)) == 1
     rows = identify_languages(documents(spark, sf_dir), ~held_out, carry=["doc_id"])
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_token_counts": op4_token_counts,
+    "op5_ngram_join": op5_ngram_join,
     "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
     "op8_token_files": op8_token_files,
