@@ -10,6 +10,7 @@ from .decontamination import contaminated_passages
 from .exact_dedup import exact_duplicates
 from .hmm import language_model_scores
 from .language_id import identify_languages
+from .license_scan import scan_licences
 from .ngram_join import ngram_components
 from .packing import pack, word_lengths
 from .sharding import interleaved
@@ -70,6 +71,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -80,6 +85,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 #: A-Z in normal form for SQL.
