@@ -233,7 +233,7 @@ def _in_blocks(members: DataFrame, asking: DataFrame, sizes: DataFrame, percent:
     """
     runs = asking.groupBy("comp").agg(F.count(F.lit(1)).alias("asking"))
     shape = sizes.join(runs, "comp").select("comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asking") / QUERIES).cast("int").alias("runs"))
-    shape = F.broadcast(shape)  # components of over SMALL nodes; see `large` for the bound
+    shape = stored(shape, "shape")  # one row per large component: joined, since their number grows with the corpus
     columns = ["comp", "block", "run", "node", "label", "asks", "shingles"]
     data = members.join(shape, "comp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).withColumn("asks", F.lit(False))
     ask = asking.join(shape, "comp").withColumn("run", F.pmod(F.xxhash64("node"), "runs").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
@@ -255,11 +255,11 @@ def _links_of_large(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, percent
     for turn in range(PIVOT_ROUNDS + 1):
         told = stored(told, "told")
         parts = told.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = parts.groupBy("comp").agg(F.max(F.struct("n", "label")).alias("m")).select("comp", F.col("m.label").alias("main"))
-        rest = told if turn == 0 else told.join(F.broadcast(main), "comp").where("label <> main").drop("main").join(asked, "node", "left_anti")
+        main = stored(parts.groupBy("comp").agg(F.max(F.struct("n", "label")).alias("m")).select("comp", F.col("m.label").alias("main")), "main")
+        rest = told if turn == 0 else told.join(main, "comp").where("label <> main").drop("main").join(asked, "node", "left_anti")
         if turn < PIVOT_ROUNDS:
             best = rest.groupBy("comp", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("turn")).agg(F.max(F.struct("weight", "node")).alias("m"))
-            rest = rest.join(F.broadcast(best.select(F.col("m.node").alias("node"))), "node", "left_semi")
+            rest = rest.join(best.select(F.col("m.node").alias("node")), "node", "left_semi")
         rest = stored(rest.select("comp", "node", "label"), "asking")
         if rest.isEmpty():
             break
