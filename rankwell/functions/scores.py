@@ -36,7 +36,8 @@ def multiplier(score: Column, low: float = 0.5, high: float = 1.5) -> Column:
 
 def adjusted(base: Column, answer: Column, low: float = 0.5, high: float = 1.5) -> Column:
     """Base times the answer's multiplier, 1 at most; the base itself if no score can be read."""
-    return F.coalesce(F.least(base * multiplier(parsed_score(answer), low, high), F.lit(1.0)), base)
+    new = base * multiplier(parsed_score(answer), low, high)
+    return F.when(new.isNull(), base).otherwise(F.least(new, F.lit(1.0)))
 
 
 def score_zone(score: Column, low: float, verify: float, accept: float) -> Column:

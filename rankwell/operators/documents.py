@@ -62,7 +62,7 @@ def full_text(text: Column, children: Column) -> Column:
 
 
 def ancestors_of_path(path: Column) -> Column:
-    return F.filter(F.transform(F.split(path, "/"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(path, "/"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def wrapped_children(children: Column, text: Column, title: Column) -> Column:

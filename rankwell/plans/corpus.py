@@ -420,7 +420,7 @@ ORACLE_SQL = {
     "articles_and_sections": "SELECT c_custkey, 'Article ' || ['" + "', '".join(text.to_roman(k) for k in range(1, 51)) + "'][c_nationkey + 1] AS article, CAST(c_custkey AS INT) AS section FROM customer",
     "ordinal_typos": "SELECT c_custkey, c_custkey || (CASE WHEN c_custkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN c_custkey % 10 = 1 THEN 'st' WHEN c_custkey % 10 = 2 THEN 'nd' WHEN c_custkey % 10 = 3 THEN 'rd' ELSE 'th' END) || ' item' AS fixed FROM customer",
     "score_parse": f"WITH {_ANSWER} SELECT event_id, score FROM s",
-    "score_adjust": f"WITH {_ANSWER} SELECT event_id, round(coalesce(least(base * (0.5::DOUBLE + score / 9.0::DOUBLE), 1.0::DOUBLE), base), 6) AS adjusted FROM s",
+    "score_adjust": f"WITH {_ANSWER} SELECT event_id, round(CASE WHEN score IS NULL THEN base ELSE least(base * (0.5::DOUBLE + score / 9.0::DOUBLE), 1.0::DOUBLE) END, 6) AS adjusted FROM s",
     "rephrase_chain": """WITH RECURSIVE n AS (SELECT c_custkey AS query, c_custkey % 7 = 0 AS r, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN c_custkey - 2 ELSE c_custkey + 1 END AS nx FROM customer),
         w AS (SELECT query, query AS final, [query] AS chain, 0 AS hops FROM n UNION ALL SELECT w.query, n.nx, list_append(chain, n.nx), hops + 1 FROM w JOIN n ON n.query = w.final WHERE NOT n.r AND n.nx IS NOT NULL AND NOT list_contains(chain, n.nx) AND hops < 3),
         e AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hops DESC) AS k FROM w)

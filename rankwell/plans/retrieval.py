@@ -182,23 +182,26 @@ def latency_percentiles(spark, sf):
     return out.select("event_type", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
-_KIND = F.when(F.pmod("event_id", F.lit(3)) == 0, "embed").when(F.pmod("event_id", F.lit(3)) == 1, "rerank").otherwise("summary")
+def _kind():
+    """A stand-in kind of call for each event."""
+    k = F.pmod("event_id", F.lit(3))
+    return F.when(k == 0, "embed").when(k == 1, "rerank").otherwise("summary")
 
 
 def cost_summary(spark, sf):
-    calls = table(spark, sf, "events").groupBy("user_id", _KIND.alias("kind")).agg(F.count(F.lit(1)).alias("calls"))
+    calls = table(spark, sf, "events").groupBy("user_id", _kind().alias("kind")).agg(F.count(F.lit(1)).alias("calls"))
     each = calls.withColumn("usd", ev.call_cost(F.col("kind"), F.col("calls")))
     return each.groupBy("user_id").agg(F.sum("calls").alias("calls"), F.sum(F.when(F.col("kind") == "rerank", F.col("calls")).otherwise(0)).alias("reranks"), F.round(F.sum("usd"), 6).alias("usd"))
 
 
 def cost_projection(spark, sf):
-    per = table(spark, sf, "events").select(_KIND.alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("calls"))
+    per = table(spark, sf, "events").select(_kind().alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("calls"))
     total = per.agg((F.sum(ev.call_cost(F.col("kind"), F.col("calls"))) / F.sum("calls")).alias("each"))
     return total.select(F.explode(F.array(*map(F.lit, (1000, 10000, 100000)))).alias("volume"), "each").select("volume", F.round(F.col("volume") * F.col("each") * 30, 4).alias("monthly_usd"))
 
 
 def cache_hit_rate(spark, sf):
-    e = table(spark, sf, "events").withColumn("kind", _KIND)
+    e = table(spark, sf, "events").withColumn("kind", _kind())
     per = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("event_type") == "view").alias("hits"))
     return per.withColumn("hit_rate", F.round(F.try_divide("hits", "queries"), 6))
 

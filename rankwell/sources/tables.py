@@ -40,7 +40,7 @@ def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str | None =
 def question_csv(spark: SparkSession, path: str) -> DataFrame:
     """Question, case level and topics of a quoted CSV with a header."""
     rows = spark.read.csv(path, header=True, quote='"', escape='"', schema="question string, level int, related string")
-    topics = F.filter(F.transform(F.split("related", ","), F.trim), lambda t: t != "")
+    topics = F.filter(F.transform(F.split("related", ","), lambda t: F.trim(t)), lambda t: t != "")
     return rows.select("question", "level", topics.alias("topics"))
 
 
