@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from rankwell.plans import corpus, models, retrieval
+from rankwell.plans import corpus, models, retrieval, workflow
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = retrieval.QUERIES | corpus.QUERIES | models.QUERIES
-SQL = retrieval.ORACLE_SQL | corpus.ORACLE_SQL | models.ORACLE_SQL
+QUERIES = retrieval.QUERIES | corpus.QUERIES | models.QUERIES | workflow.QUERIES
+SQL = retrieval.ORACLE_SQL | corpus.ORACLE_SQL | models.ORACLE_SQL | workflow.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
