@@ -14,10 +14,13 @@ counts reports their names, so a lost executor leaves no half-written file in us
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,35 +33,74 @@ from .common import scratch_path
 
 SEQUENCE = 2048
 SEQUENCES = 128
-#: Encoded chunks a worker remembers; then it starts again. Bounds memory only.
-MEMORY_CHUNKS = 300_000
+#: Encoded chunks a worker remembers; then it forgets the older half. Bounds memory only.
+MEMORY_CHUNKS = 1_000_000
 MEMORY_CHARS = 48
 
+#: A word of basic and Western European letters with at most one mark after it.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+_ACCENTED = [c for c in map(chr, range(0xDF, 0x100)) if c.isalpha()]
+
 
 class ChunkIds:
-    """Ids of white-space-delimited chunks as little-endian bytes, from batch calls of the library.
+    """Ids of white-space-delimited chunks as little-endian bytes, from calls of the library.
 
-    Only for tokenizers that drop white space and never join across it.
+    Only for tokenizers that drop white space and never join across it. Plain words skip
+    normalisation and pre-tokenisation, which leave them alone but for case, and go straight to
+    the library's model, if that gives the same ids for the probes.
     """
 
+    #: By file: tasks of one worker share what it has learned.
+    made: ClassVar[dict[str, ChunkIds]] = {}
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {"": b""}
+        pre = self.tokenizer.pre_tokenizer
+        self.bytes_of = str.maketrans({c: "".join(x for x, _ in pre.pre_tokenize_str(c)) for c in _ACCENTED} if pre else {})
+        self.marks = dict(zip(".,;:!?", self._whole(list(".,;:!?")), strict=True)) | {"": b""}
+        probes = ["Ab", "THEN", "xqzj", "Wonderful", "a", "unbelievablyLongWordThatSplits", "".join(_ACCENTED), "ÉtÉ", "Größe", "niño"]
+        self.plain = all(self._whole([p + m])[0] == self._model(p) + self.marks[m] for p in probes for m in self.marks)
+
+    @classmethod
+    def of(cls, path: str) -> ChunkIds:
+        if path not in cls.made:
+            cls.made[path] = cls(path)
+        return cls.made[path]
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _model(self, word: str) -> bytes:
+        word = word.lower()
+        return array(self.code, [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes_of))]).tobytes()
+
+    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        out, other = {}, []
+        for chunk in chunks:
+            found = _PLAIN.fullmatch(chunk) if self.plain else None
+            if found:
+                out[chunk] = self._model(found[1]) + self.marks[found[2]]
+            else:
+                other.append(chunk)
+        return out | dict(zip(other, self._whole(other), strict=True))
 
     def __call__(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
         got = list(map(self.known.get, chunks))
-        if None in got:
-            new = list({x for x, y in zip(chunks, got, strict=True) if y is None})
-            coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {x: np.array(e.ids, self.dtype).tobytes() for x, e in zip(new, coded, strict=True)}
-            got = [fresh[x] if y is None else y for x, y in zip(chunks, got, strict=True)]
+        missing = [k for k, y in enumerate(got) if y is None]
+        if missing:
+            fresh = self._encoded(list({chunks[k] for k in missing}))
+            for k in missing:
+                got[k] = fresh[chunks[k]]
             if len(self.known) + len(fresh) > MEMORY_CHUNKS:
-                self.known = {"": b""}
+                self.known = {"": b"", **dict(islice(self.known.items(), len(self.known) // 2, None))}
             self.known.update((k, v) for k, v in fresh.items() if len(k) <= MEMORY_CHARS)
         return b"".join(got)
 
@@ -138,7 +180,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
         first = next(batches, None)
         if first is None:
             return
-        encode = ChunkIds(tokenizer_path)
+        encode = ChunkIds.of(tokenizer_path)
         end = b"" if end_id is None else np.array([end_id], encode.dtype).tobytes()
         name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.arrow"
         fs, at = pafs.FileSystem.from_uri(name)
