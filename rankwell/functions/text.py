@@ -172,3 +172,17 @@ def split_clauses(text: Column, most: int = 5000) -> Column:
         return F.struct(closed.alias("done"), F.when(fits, joined).otherwise(piece).alias("open"))
 
     return F.aggregate(pieces, start, add, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+
+
+def repaired_clauses(clauses: Column, navigation: str = r"(?i)^\s*(?:home|next|previous|back to top|skip to content|search|menu)\s*$", most: int = 10_000) -> Column:
+    """Clauses (structs with ``text``) without those that are blank or mere navigation, longer texts cut at ``most`` characters."""
+    kept = F.filter(clauses, lambda c: (F.coalesce(strip(c["text"]), F.lit("")) != "") & ~c["text"].rlike(navigation))
+    return F.transform(kept, lambda c: c.withField("text", F.substring(c["text"], 1, most)))
+
+
+def entities_resolved(text: Column) -> Column:
+    """Common entities and typographic signs as plain characters, letters in parentheses as numbers."""
+    out = text
+    for entity, char in (("&nbsp;", " "), ("&sect;", "§"), ("&mdash;", "-"), ("&ndash;", "-"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return clause_numbers(clean_text(out))

@@ -142,3 +142,20 @@ def merged_paragraphs(df: DataFrame, doc: str, order: str, starts: Column, text:
     islands = df.withColumn("clause", F.greatest(F.sum(starts.cast("int")).over(w), F.lit(1)))
     parts = F.array_sort(F.collect_list(F.struct(order, text)))
     return islands.groupBy(doc, "clause").agg(F.array_join(F.transform(parts, lambda p: p[text]), " ").alias("text"))
+
+
+def to_hierarchy(df: DataFrame, levels: dict[str, str], title: Column, text: Column, children: Column | None = None) -> DataFrame:
+    """Flat rows in the common shape: named levels, a title made from them where it is blank, children numbered from 1."""
+    cells = {name: blank_to_null(F.col(c).cast("string")) for name, c in levels.items()}
+    made = F.concat_ws(" ", *(F.concat(F.lit(f"{name.capitalize()} "), c) for name, c in cells.items()))
+    full = F.coalesce(blank_to_null(title), made)
+    kids = wrapped_children(children if children is not None else F.lit(None).cast("array<struct<title:string,text:string>>"), text, full)
+    return df.select(*(c.alias(name) for name, c in cells.items()), full.alias("title"), kids.alias("clauses"))
+
+
+def grouped_sections(df: DataFrame, key: list[str], title: str, sections: str) -> DataFrame:
+    """Rows with equal keys as one: the first title, all sections in numeric order of their number."""
+    number = lambda s: F.coalesce(F.nullif(F.regexp_extract(s["number"].cast("string"), r"([0-9]+)", 1), F.lit("")).try_cast("long"), F.lit(1 << 60))
+    every = F.flatten(F.collect_list(sections))
+    ordered = F.transform(F.array_sort(F.transform(every, lambda s: F.struct(number(s).alias("n"), s.alias("s")))), lambda x: x["s"])
+    return df.groupBy(*key).agg(F.min(title).alias(title), ordered.alias(sections))

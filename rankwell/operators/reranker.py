@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from itertools import product
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -34,10 +37,7 @@ def calibrator(rows: DataFrame, p: str = "p", label: str = "label"):
 
 
 def folds(rows: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
-    """Stratified folds: within each label, rows are dealt out in turn by a hash's order.
-
-    Ranks come from buckets of the hash, so a label with most of the rows is not one task's.
-    """
+    """Folds by a hash of key and label, so every label is dealt about evenly and no sort or shuffle is needed."""
     mixed = F.xxhash64(key)
     return rows.withColumn("fold", F.pmod(F.xxhash64(mixed, F.col(label)), F.lit(k)).cast("int"))
 
@@ -84,6 +84,34 @@ def merged_features(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame
     return new.unionByName(old.join(new.select(*key).distinct(), key, "left_anti"))
 
 
+def random_search(rows: DataFrame, features: list[str], label: str = "label", tries: int = 30, seed: int = 42) -> list[tuple[float, dict]]:
+    """AUC on held-out folds for ``tries`` of the combinations of layers, iterations, step and solver, best first."""
+    grid = {"hidden": [(64, 32, 16), (32, 16), (16, 8), (64,), (32,), (16,)], "maxIter": [30, 60, 100], "stepSize": [0.01, 0.03, 0.1], "solver": ["l-bfgs", "gd"]}
+    every = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+    chosen = random.Random(seed).sample(every, min(tries, len(every)))
+    dealt = folds(rows, label, features[0]).cache()
+    train, held = dealt.where("fold <> 0"), dealt.where("fold = 0")
+    out = []
+    for c in chosen:
+        base = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+        net = MultilayerPerceptronClassifier(labelCol=label, layers=[len(features), *c["hidden"], 2], seed=seed, maxIter=c["maxIter"], stepSize=c["stepSize"], solver=c["solver"])
+        model = Pipeline(stages=[*base, net]).fit(train.na.fill(0.0, features))
+        out.append((auc(scored(held, model, features), label=label), c))
+    dealt.unpersist()
+    return sorted(out, key=lambda x: -x[0])
+
+
+def retrained(rows: DataFrame, features: list[str], old: PipelineModel | None, label: str = "label", key: str = "id") -> tuple[PipelineModel, bool]:
+    """A model trained on four fifths of the rows, and whether it takes the old one's place on the rest."""
+    dealt = folds(rows, label, key).cache()
+    held = dealt.where("fold = 0")
+    new = fit(dealt.where("fold <> 0"), features, label)
+    f1 = lambda m: classifier_metrics(scored(held, m, features), label=label).first()["f1"]
+    use = better(f1(new), None if old is None else f1(old))
+    dealt.unpersist()
+    return (new if use else old), use
+
+
 def better(new_f1: float, old_f1: float | None) -> bool:
     """A retrained model is deployed if it is at least as good."""
     return old_f1 is None or new_f1 >= old_f1

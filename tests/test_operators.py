@@ -151,3 +151,35 @@ def test_judgements(spark):
     j = spark.createDataFrame([(1, "a", 0.9)], "query_id int, title string, score double")
     assert {r.title: r.label for r in reranker.judgement_rows(c, j).collect()} == {"A ": 1, "B": 0}
     assert reranker.better(0.5, None) and not reranker.better(0.4, 0.5)
+
+
+def test_hierarchy_titles_and_children(spark):
+    d = spark.createDataFrame([("1", "2", " ", "body"), ("1", None, "T", " ")], "a string, s string, t string, x string")
+    got = documents.to_hierarchy(d, {"article": "a", "section": "s"}, F.col("t"), F.col("x")).collect()
+    assert got[0].title == "Article 1 Section 2" and [c.text for c in got[0].clauses] == ["body"]
+    assert got[1].title == "T" and got[1].clauses == []
+
+
+def test_sections_are_grouped_in_numeric_order(spark):
+    d = spark.createDataFrame([("k", "B", [("10", "x")]), ("k", "A", [("9", "y"), ("z", "w")])], "k string, t string, sections array<struct<number:string,text:string>>")
+    row = documents.grouped_sections(d, ["k"], "t", "sections").first()
+    assert row.t == "A" and [s.number for s in row.sections] == ["9", "10", "z"]
+
+
+def test_repairs(spark):
+    c = F.array(F.struct(F.lit(" ").alias("text")), F.struct(F.lit("Next ").alias("text")), F.struct(F.lit("abcdef").alias("text")))
+    assert [x.text for x in one(spark, text.repaired_clauses(c, most=3))] == ["abc"]
+    assert one(spark, text.entities_resolved(F.lit("(b) &sect;&nbsp;1 “x”"))) == '(2) § 1 "x"'
+
+
+def test_reranker_learns_and_is_kept_only_if_better(spark):
+    rows = spark.range(300).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 50.0 - 1).alias("x"), F.lit(0.5).alias("z")).withColumn("label", (F.col("x") > 0).cast("double"))
+    model, used = reranker.retrained(rows, ["x", "z"], None)
+    assert used and reranker.auc(reranker.scored(rows, model, ["x", "z"])) > 0.95
+    best = reranker.random_search(rows, ["x", "z"], tries=2)
+    assert len(best) == 2 and best[0][0] >= best[1][0]
+    assert reranker.permutation_importance(rows, model, ["x", "z"])[0][0] == "x"
+    metrics = reranker.classifier_metrics(reranker.scored(rows, model, ["x", "z"])).first()
+    assert metrics.f1 > 0.9
+    calibrated = reranker.calibrator(reranker.scored(rows, model, ["x", "z"])).transform(reranker.scored(rows, model, ["x", "z"]))
+    assert calibrated.agg(F.min("calibrated"), F.max("calibrated")).first()[1] <= 1.0
