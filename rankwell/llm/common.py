@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,14 +56,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by :func:`stored` that nothing will read again."""
-    for df in frames:
-        path = getattr(df, "_rankwell_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(os.path.dirname(path))
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def remove(df: DataFrame) -> None:
+    """Delete a table made by :func:`stored` that nothing will read again."""
+    path = getattr(df, "_rankwell_path", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(os.path.dirname(path))
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def lower_ascii(text: Column) -> Column:

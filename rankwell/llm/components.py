@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import remove, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         lower = stored(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
         small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = stored(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        discard(edges, least, large, lower)
+        for done in (edges, least, large, lower):
+            remove(done)
         edges = new
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

@@ -2,10 +2,12 @@
 
 1. Every text becomes its set of distinct shingles (64-bit hashes). Equal sets are one
    node from here on, so copies cost nothing more.
-2. Two sets that link differ in at most H shingles, where H follows from the larger
-   size of their size band. The shingles are dealt by hash to more than H parts, so
-   some part is equal in both; nodes that share a part are candidates. Components of the
-   candidate graph are found from stars, never from pairs.
+2. Two sets that link differ in at most H shingles, where H follows from their sizes. Within
+   a size band the shingles are dealt by hash to m > H parts, so at least m - H parts are
+   equal in both. The lists of parts are merged by counting: a pair that shares fewer full
+   parts than that cannot link. Lists of over LONG nodes are set aside and lower the count
+   that is asked for by as many as the node has of them; only nodes with so many that the
+   others need not show a link are tied to the long lists, by stars, never by pairs.
 3. Within a candidate component, links are found by T-occurrence search: a query with
    n shingles needs T = ceil(threshold * n) of them in its partner. The T - 1 longest of
    its inverted lists are set aside, the short ones are merged on a heap, and the
@@ -30,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import power_of_two, stored, told_by_group
+from .common import power_of_two, released, remove, stored, told_by_group
 from .components import components
-from .exact_dedup import BLOCK_BITS, BROADCAST_BYTES, hit_cells, probed
+from .exact_dedup import BITS_PER_ROW, BLOCK_BITS, BROADCAST_BYTES, hit_cells, probed
 
 SMALL = 64
 BLOCK = 1024
@@ -40,10 +42,12 @@ QUERIES = 1024
 #: Nodes of a large component that are searched first, in each of PIVOT_ROUNDS rounds.
 PIVOTS = 4
 PIVOT_ROUNDS = 2
-#: Ratio of a size band's ends; over 1 / threshold, so a set belongs to two bands at most.
+#: Ratio of a size band's ends; over 100 / percent, so a set belongs to two bands at most.
 BAND = 1.4
 #: Parts for each part that may differ.
 SPARE = 1.15
+#: Nodes in a list of a part that is merged by counting; longer lists are set aside.
+LONG = 32
 #: Total length of lists up to which they are merged on a heap; longer ones are merge-sorted.
 HEAP = 4096
 _MEMORY_WORDS = 300_000
@@ -86,8 +90,8 @@ class Shingler:
 class Bands:
     """Size bands, and the parts that sets of a band are dealt to."""
 
-    def __init__(self, threshold: float):
-        self.threshold = threshold
+    def __init__(self, percent: int):
+        self.percent = percent
         self.ends = [1]
 
     def _of(self, n: int) -> int:
@@ -95,22 +99,34 @@ class Bands:
             self.ends.append(floor(self.ends[-1] * BAND) + 1)
         return int(np.searchsorted(self.ends, n))
 
-    def signatures(self, shingles: np.ndarray) -> np.ndarray:
-        """Hashes of the parts; two sets that link have one in common."""
+    def differ(self, n: int, m: int) -> int:
+        """Most shingles in which two sets of these sizes can differ and still link."""
+        return (n + m) * (100 - self.percent) // (100 + self.percent)
+
+    def shape(self, band: int) -> tuple[int, int]:
+        """Most differing shingles in a band, and its number of parts."""
+        differ = self.differ(self.ends[band], self.ends[band])
+        return differ, ceil((differ + 1) * SPARE) if differ else 1
+
+    def signatures(self, shingles: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """For each band that the set or a larger partner is in: (band, least full parts shared with any partner, hashes of parts)."""
         out = []
         mixed = _mix(shingles + _M3)
         n = len(shingles)
-        for band in range(self._of(n), self._of(floor(n / self.threshold + 1e-9)) + 1):
-            differ = floor(2 * self.ends[band] * (1 - self.threshold) / (1 + self.threshold) + 1e-9)
-            parts = ceil((differ + 1) * SPARE) if differ else 1
+        largest = n * 100 // self.percent
+        for band in range(self._of(n), self._of(largest) + 1):
+            differ, parts = self.shape(band)
             at = (shingles % np.uint64(parts)).astype(np.int64)
             sums = np.zeros(parts, np.uint64)
             np.add.at(sums, at, mixed)
             label = _mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32))
             full = np.bincount(at, minlength=parts) > 0
+            empty = parts - int(full.sum())
             # with enough full parts one of them is equal; else the empty ones count as well
-            out.append(_mix(sums * _M1 + label)[full | (full.sum() <= differ)])
-        return np.unique(np.concatenate(out))
+            kept = _mix(sums * _M1 + label)[full | (full.sum() <= differ)]
+            least = parts - self.differ(n, min(largest, self.ends[band])) - empty
+            out.append((band, least, np.unique(kept)))
+        return out
 
 
 def set_digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -271,14 +287,39 @@ def _links_of_large(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, percent
     return edges
 
 
-def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From node, parts: the candidate graph's components (node, label) and each node's shared parts (node, weight)."""
-    parts = nodes.select("node", F.explode("parts").alias("part"))
-    lists = parts.groupBy("part").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("part", "hub")
-    shared = parts.join(stored(lists, "lists"), "part")
-    stars = stored(shared.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("weight")), "stars")
-    weights = stars.groupBy("node").agg(F.sum("weight").alias("weight"))
-    return components(stars.select(F.col("node").alias("a"), F.col("hub").alias("b"))), weights
+def _candidates(nodes: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
+    """From node, n_shingles, bands: the candidate graph's components (node, label) and each node's shared parts (node, weight)."""
+    each = nodes.select("node", F.explode("bands").alias("b")).select("node", "b.band", "b.parts")
+    parts = each.select("node", "band", F.explode("parts").alias("part"))
+    lists = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    lists = stored(lists, "lists")
+    blocks = power_of_two(lists.count() * BITS_PER_ROW / BLOCK_BITS)
+    cells = stored(hit_cells(lists.select(F.col("part").alias("digest")), blocks, 1), "cells")
+    released(nodes.sparkSession)
+    # most parts are in no list: the filter keeps them out of the shuffle
+    some = probed(parts.withColumn("digest", F.col("part")), cells, blocks, blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES).where("possible").select("node", "band", "part")
+    shared = stored(some.join(lists, "part"), "shared")
+    weights = shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+    about = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("b")).select("node", "n", "b.band", "b.least")
+    long = shared.where(F.col("size") > LONG).groupBy("node", "band").agg(F.count(F.lit(1)).alias("long"))
+    about = about.join(weights.select("node"), "node", "left_semi").join(long, ["node", "band"], "left")
+    about = stored(about.select("node", "band", "n", "least", F.coalesce("long", F.lit(0)).alias("long")), "about")
+
+    # pairs of the short lists, at most LONG nodes each
+    short = shared.where(F.col("size") <= LONG).groupBy("part", "band").agg(F.array_sort(F.collect_list("node")).alias("l"))
+    pairs = F.flatten(F.transform("l", lambda a, i: F.transform(F.slice(F.col("l"), i + 2, LONG), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    counted = short.select("band", F.explode(pairs).alias("p")).groupBy("p.a", "p.b", "band").agg(F.count(F.lit(1)).alias("shared"))
+    of = lambda x: about.select(F.col("node").alias(x), "band", F.col("n").alias(f"n{x}"), F.col("least").alias(f"least{x}"), F.col("long").alias(f"long{x}"))
+    rows = counted.join(of("a"), ["a", "band"]).join(of("b"), ["b", "band"])
+    # each node's bound is for its largest partner in the band, so the higher of the two holds for the pair
+    asked = F.greatest("leasta", "leastb") - F.least("longa", "longb")
+    near = rows.where((F.col("shared") >= asked) & (100 * F.least("na", "nb") >= bands.percent * F.greatest("na", "nb"))).select("a", "b")
+
+    tied = about.where(F.col("long") >= F.greatest(F.col("least"), F.lit(1))).select("node", "band")
+    held = stored(shared.where(F.col("size") > LONG).select("node", "band", "part").join(tied, ["node", "band"], "left_semi"), "held")
+    hubs = stored(held.groupBy("part").agg(F.min("node").alias("hub")), "hubs")
+    stars = held.join(hubs, "part").groupBy("node", "hub").agg(F.lit(1)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return components(near.unionByName(stars)), weights
 
 
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,14 +333,13 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     ids are told apart by their sets only. An empty table gives no rows; other columns
     are ignored.
     """
-    threshold = percent / 100
-    if not BAND > 1 / threshold:
+    if not BAND * percent > 100:
         raise ValueError(f"percent must be over {100 / BAND:.0f}")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_field = rows.schema["id"]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingled, bands = Shingler(words), Bands(threshold)
+        shingled, bands = Shingler(words), Bands(percent)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -310,20 +350,27 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                     n.append(len(s))
                     one.append(a)
                     two.append(b)
-                    parts.append(bands.signatures(s).view(np.int64) if len(s) else [])
-                arrays = [pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n_shingles", "d1", "d2", "parts"])
+                    found = bands.signatures(s) if len(s) else []
+                    parts.append([{"band": k, "least": least, "parts": p.view(np.int64)} for k, least, p in found])
+                arrays = [pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(parts, kind)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n_shingles", "d1", "d2", "bands"])
 
+    kind = pa.list_(pa.struct([("band", pa.int32()), ("least", pa.int64()), ("parts", pa.list_(pa.int64()))]))
     longs = [T.StructField(x, T.LongType()) for x in ("n_shingles", "d1", "d2")]
-    signed_rows = rows.mapInArrow(signed, T.StructType([id_field, *longs, T.StructField("parts", T.ArrayType(T.LongType()))]))
+    signed_rows = rows.mapInArrow(signed, T.StructType([id_field, *longs, *T.StructType.fromDDL("bands array<struct<band:int,least:bigint,parts:array<bigint>>>").fields]))
     signed_rows = stored(signed_rows.withColumn("node", F.monotonically_increasing_id()), "signed")
     total = signed_rows.count()
-    each = signed_rows.select("id", "n_shingles", "d1", "d2", "node")
+    each = stored(signed_rows.select("id", "n_shingles", "d1", "d2", "node"), "each")
     # one node for each set: the first of its rows
     sets = each.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     sets = stored(sets, "sets")
-    comps, weights = _candidates(signed_rows.select("node", "parts").join(sets.select("node"), "node", "left_semi"))
+    nodes = stored(signed_rows.select("node", "n_shingles", "bands").join(sets.select("node"), "node", "left_semi"), "nodes")
+    remove(signed_rows)
+    del signed_rows
+    released(docs.sparkSession)
+    comps, weights = _candidates(nodes, Bands(percent))
     comps = stored(comps.join(weights, "node").withColumnRenamed("label", "comp"), "candidates")
+    remove(nodes)
 
     # the candidates' shingles, from their whole texts again
     wanted = stored(comps.join(each, "node").select("node", "comp", "id", "d1", "d2"), "wanted")

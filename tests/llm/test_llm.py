@@ -395,8 +395,9 @@ def near_copies(seed):
     return rows + [(len(rows) + k, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(0, 60)))) for k in range(40)]
 
 
-@pytest.mark.parametrize(("words", "percent", "small", "seed"), [(3, 90, 64, 1), (5, 80, 64, 2), (3, 90, 4, 3), (5, 80, 4, 4)])
-def test_components_of_near_copies(spark, monkeypatch, words, percent, small, seed):
+@pytest.mark.parametrize(("words", "percent", "small", "long", "seed"), [(3, 90, 64, 32, 1), (5, 80, 64, 3, 2), (3, 90, 4, 3, 3), (5, 80, 4, 5, 4)])
+def test_components_of_near_copies(spark, monkeypatch, words, percent, small, long, seed):
+    monkeypatch.setattr(ngram_join, "LONG", long)
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     monkeypatch.setattr(ngram_join, "QUERIES", 8)
@@ -405,18 +406,25 @@ def test_components_of_near_copies(spark, monkeypatch, words, percent, small, se
     assert got == brute_components(rows, words, percent)
 
 
-def test_signatures_of_linked_sets_meet():
+def test_linked_sets_share_the_parts_that_are_asked_for():
     rng = np.random.RandomState(0)
-    for threshold in (0.8, 0.9):
-        bands = ngram_join.Bands(threshold)
-        for _ in range(300):
+    met = 0
+    for percent in (80, 90):
+        bands = ngram_join.Bands(percent)
+        for _ in range(400):
             n = rng.randint(2, 300)
             a = np.unique(rng.randint(0, 1 << 62, n).astype(np.uint64))
             change = int(len(a) * rng.uniform(0, 0.12))
             b = np.unique(np.concatenate([a[rng.permutation(len(a))[change:]], rng.randint(0, 1 << 62, rng.randint(0, change + 1)).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
-            if len(b) and both >= threshold * (len(a) + len(b) - both):
-                assert len(np.intersect1d(bands.signatures(a), bands.signatures(b)))
+            if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+                met += 1
+                x, y = ({k: (least, p) for k, least, p in bands.signatures(s)} for s in (a, b))
+                common = x.keys() & y.keys()
+                assert common
+                for k in common:
+                    assert len(np.intersect1d(x[k][1], y[k][1])) >= max(1, x[k][0], y[k][0])
+    assert met > 200
 
 
 def test_search_finds_what_links():
