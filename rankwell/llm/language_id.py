@@ -171,7 +171,7 @@ def labelled_samples(labelled: DataFrame, id_col: str, text_col: str, lang_col:
     if not ids:
         return {}
     texts: dict[str, list[tuple]] = {}
-    for r in rows.where(F.col("id").isin(ids)).select("lang", "id", F.substring("text", 1, chars_each).alias("text")).collect():
+    for r in rows.where(F.col("id").isin(ids)).select("lang", "id", F.substring("text", 1, chars_each).alias("text")).groupBy("lang", "id").agg(F.min("text").alias("text")).collect():
         texts.setdefault(r["lang"], []).append((str(r["id"]), r["text"]))
     out = {}
     for lang, found in texts.items():
