@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -138,31 +139,24 @@ def encoded(docs: DataFrame, classes: Classes, text_col: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         shares = c.log_shares()
-        # by word: class, log10(count + 1), and the latter once more if the class is shared
-        logs = {w: float(np.log10(n + 1)) for w, (n, _) in c.heavy.items()}
-        group = {w: k for w, (_, k) in c.heavy.items()}
-        by_own = np.zeros(c.size)
-        for w, (_, k) in c.heavy.items():
-            if k < c.own:
-                by_own[k] = logs[w]
+        place = {w: k for k, w in enumerate(c.heavy)}.get
+        class_of = np.array([k for _, k in c.heavy.values()], np.uint16)
+        log_of = np.log10(np.array([n for n, _ in c.heavy.values()], float) + 1)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 out: list[list] = [[] for _ in range(8)]
                 for text in batch.column(2):
                     words = words_of(text.as_py())
-                    found = list(map(group.get, words))
-                    rare: Counter[bytes] = Counter()
-                    if None in found:
-                        rare.update(w for w, k in zip(words, found, strict=True) if k is None)
-                        names = {w: c.own + shared_class(w) for w in rare}
-                        found = [names[w] if k is None else k for w, k in zip(words, found, strict=True)]
-                    ids = np.array(found, np.uint16)
-                    own = ids < c.own
-                    own_log = float(by_own[ids[own]].sum())
-                    rest = [w for w, o in zip(words, own.tolist(), strict=True) if not o]
-                    shared_log = float(sum(logs.get(w, 0.0) for w in rest))
-                    row = (ids.tobytes(), len(words), len(words) - sum(rare.values()), own_log + shared_log, shared_log, float(shares[ids].sum()), [w.decode() for w in rare], list(rare.values()))
+                    found = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
+                    ids = np.empty(len(words), np.uint16)
+                    known = found >= 0
+                    ids[known] = class_of[found[known]]
+                    others = [words[k] for k in np.flatnonzero(~known).tolist()]
+                    ids[~known] = [c.own + shared_class(w) for w in others]
+                    logs = log_of[found[known]]
+                    rare = Counter(others)
+                    row = (ids.tobytes(), len(words), len(words) - len(others), float(logs.sum()), float(logs[ids[known] >= c.own].sum()), float(shares[ids].sum()), [w.decode() for w in rare], list(rare.values()))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
