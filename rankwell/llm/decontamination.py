@@ -30,6 +30,8 @@ BLOCK_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 _BITMAP_BITS = 22
 _SEPARATOR = 30
+#: One edit in a cell of an alignment; beginnings are less.
+_EDIT = 1 << 32
 #: A q-gram that occurs more often in the benchmark is left out of the count if the rest suffice.
 _COMMON = (2, 8, 32)
 #: The count that is asked for before common q-grams may be left out.
@@ -70,23 +72,27 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITMAP_BITS)
 
 
-def banded_distance(item: np.ndarray, text: np.ndarray, start: int, width: int) -> tuple[int, int]:
-    """Least edits of ``item`` against a part of ``text``, and where that part ends.
+def banded_distance(item: np.ndarray, text: np.ndarray, start: int, width: int) -> tuple[int, int, int]:
+    """Least edits of ``item`` against a part of ``text``, and where that part begins and ends.
 
     Alignments begin anywhere in text[start : start + width] and stay on those diagonals.
+    What lies outside ``text`` equals nothing and is no part of it.
     """
+    # a cell is its edits times _EDIT plus the offset its alignment began at
     offsets = np.arange(width)
+    steps = offsets * _EDIT
     padded = np.full(len(item) + width, 255, np.int16)
     lo, hi = max(start, 0), min(start + len(padded), len(text))
     if hi > lo:
         padded[lo - start : hi - start] = text[lo:hi]
-    row = np.zeros(width, np.int64)
+    row = offsets
     for j, symbol in enumerate(item.tolist()):
-        cost = row + (padded[j : j + width] != symbol)
-        np.minimum(cost[:-1], row[1:] + 1, out=cost[:-1])
-        row = np.minimum.accumulate(cost - offsets) + offsets
-    best = int(row.argmin())
-    return int(row[best]), start + best + len(item)
+        cost = row + (padded[j : j + width] != symbol) * _EDIT
+        np.minimum(cost[:-1], row[1:] + _EDIT, out=cost[:-1])
+        row = np.minimum.accumulate(cost - steps) + steps
+    best = int((row // _EDIT).argmin())
+    edits, began = divmod(int(row[best]), _EDIT)
+    return edits, max(start + began, 0), min(start + best + len(item), len(text))
 
 
 class PassageFinder:
@@ -154,23 +160,34 @@ class PassageFinder:
         return own[good], (keys[good] & ((1 << 40) - 1)) * (self.budget[own[good]] + 1) - longest
 
     @staticmethod
-    def _verified(form: np.ndarray, normal: np.ndarray, start: int, width: int) -> tuple[int, int]:
-        whole = normal[max(start, 0) : start + width + len(form) - 1].tobytes().find(form.tobytes())
-        return (0, max(start, 0) + whole + len(form)) if whole >= 0 else banded_distance(form, normal, start, width)
+    def _verified(form: np.ndarray, text: np.ndarray, start: int, width: int) -> tuple[int, int, int]:
+        whole = text[max(start, 0) : start + width + len(form) - 1].tobytes().find(form.tobytes())
+        return (0, max(start, 0) + whole, max(start, 0) + whole + len(form)) if whole >= 0 else banded_distance(form, text, start, width)
 
     def find(self, data: np.ndarray) -> list[tuple[object, int, int, int]]:
-        """(item key, start, stop, edits) in bytes that may hold several texts with 0 between them."""
+        """(item key, start, stop, edits) in bytes that may hold several texts with 0 between them; no passage leaves its text."""
         normal, origin = normal_form(data)
+        marks = np.flatnonzero(normal == 0)
+        begins, ends = np.append(0, marks + 1).tolist(), np.append(marks, len(normal)).tolist()
+        items, diagonals = self._candidates(normal)
+        nearest = np.searchsorted(ends, diagonals - self.budget[items], side="right")
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        for i, diagonal in zip(*(x.tolist() for x in self._candidates(normal)), strict=True):
+        for i, diagonal, t in zip(*(x.tolist() for x in (items, diagonals, nearest)), strict=True):
             form, k = self.forms[i], int(self.budget[i])
-            edits, end = self._verified(form, normal, diagonal - k, 4 * k + 3)
-            if edits <= k:
-                found[i, end] = min(found.get((i, end), (edits, 0)), (edits, 0))
+            first, width = diagonal - k, 4 * k + 3
+            last = first + width + len(form) - 1
+            while t < len(ends) and begins[t] < last:
+                begin, end = begins[t], ends[t]
+                t += 1
+                if min(end, last) - max(begin, first) < len(form) - k:
+                    continue
+                edits, start, stop = self._verified(form, normal[begin:end], first - begin, width)
+                if edits <= k:
+                    here = (edits, begin + start)
+                    found[i, begin + stop] = min(found.get((i, begin + stop), here), here)
         out = []
-        for i, end in found:
-            start = max(end - len(self.forms[i]), 0)
-            out += [(key, int(origin[start]), int(origin[end - 1]) + 1, found[i, end][0]) for key in self.keys[i]]
+        for (i, end), (edits, start) in found.items():
+            out += [(key, int(origin[start]), int(origin[end - 1]) + 1, edits) for key in self.keys[i]]
         if self.short:
             flat = b" " + normal.tobytes().replace(b"\0", b" \0 ") + b" "
             marks = np.frombuffer(flat, np.uint8)

@@ -323,6 +323,37 @@ def test_passages_cover_exact_search(spark, texts):
         assert r.edits > 0 or flat(part).strip() == items[r.item_id]
 
 
+@pytest.mark.parametrize("gone", [1, 3, 5])
+def test_passages_belong_to_the_text_that_holds_them(spark, gone):
+    item = "seven grey herons stood along the river bank until the evening boats came home again"
+    texts = ["A clean text stands before it.", item[gone:] + " and so on.", "Another clean one.", "It ends with " + item[:-gone], item[-gone:] + " begins the next, clean one.", item[gone:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = decontamination.contaminated_passages(docs, benchmark).collect()
+    assert {(r.id, r.edits) for r in rows} == {(1, gone), (3, gone), (5, gone)}
+    assert all(0 <= r.start < r.stop <= len(texts[r.id]) for r in rows)
+    assert {r.doc_id for r in decontamination.keep_uncontaminated(docs, benchmark).collect()} == {0, 2, 4}
+
+
+def test_passages_do_not_depend_on_neighbours():
+    rng = random.Random(6)
+    items = [(k, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(12))) for k in range(10)]
+    finder = decontamination.PassageFinder(items)
+    texts = []
+    for _ in range(200):
+        item = rng.choice(items)[1]
+        a, b = rng.choice([0, 0, 2, 4, 9]), rng.choice([0, 0, 2, 4, 9])
+        texts += [rng.choice(["", "some words "]) + item[a : len(item) - b] + rng.choice(["", " other words"]), rng.choice(["", "clean", item[:a], item[len(item) - b :]])]
+    alone = {(n, key, start, stop, edits) for n, t in enumerate(texts) for key, start, stop, edits in finder.find(np.frombuffer(t.encode(), np.uint8))}
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    together = set()
+    for key, start, stop, edits in finder.find(np.frombuffer("\0".join(texts).encode(), np.uint8)):
+        n = int(np.searchsorted(begins, start, side="right")) - 1
+        together.add((n, key, start - int(begins[n]), stop - int(begins[n]), edits))
+    assert {x[:2] for x in together} == {x[:2] for x in alone}
+    assert all(0 <= start < stop <= len(texts[n]) for n, _, start, stop, _ in together)
+
+
 # --- op2 packing
 
 
