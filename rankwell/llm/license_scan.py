@@ -19,7 +19,7 @@ from math import exp, log
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -53,6 +53,8 @@ NONE = "none"
 UNKNOWN = "unknown"
 #: Least share of a notice's three-word runs that must be in the paragraph.
 CONFIRM = 0.6
+#: Words of the longest notice: one that is wrapped lies within as many on either side of its first line break.
+SPAN = max(len(t.split()) for texts in NOTICES.values() for t in texts)
 _PATTERN = "[^a-z0-9]+"
 
 
@@ -143,10 +145,87 @@ def _margins(model: LicenceModel, grams: list[str]) -> list[float]:
     return [b + sum(r[k] for r in rows) for k, b in enumerate(model.intercepts)]
 
 
+def _shapes() -> list[tuple[str, list[str]]]:
+    """Family and distinct three-word runs of each notice."""
+    return [(f, sorted({" ".join(w[k : k + 3]) for k in range(len(w) - 2)})) for f, texts in sorted(NOTICES.items()) for w in map(str.split, texts)]
+
+
+def _told(pieces: DataFrame, model: LicenceModel) -> DataFrame:
+    """Rows row, line, family, p, held, sure for the pieces (row, line, grams, runs) that look like a licence.
+
+    ``held``: enough of a notice of the family is there; ``sure``: and the family is surely told.
+    """
+    spark = pieces.sparkSession
+    names = [f"w{k}" for k in range(len(model.families))]
+    table = _frame(spark, [(g, *w) for g, w in sorted(model.weights.items())], "gram string, " + ", ".join(f"{n} double" for n in names))
+    sums = pieces.select("row", "line", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram").groupBy("row", "line").agg(*(F.sum(n).alias(n) for n in names))
+    scaled = F.array(*((F.col(n) + F.lit(b)) / F.lit(model.temperature) for n, b in zip(names, model.intercepts, strict=True)))
+    told = sums.select("row", "line", scaled.alias("m")).withColumn("top", F.array_max("m"))
+    total = F.aggregate("m", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
+    told = told.select("row", "line", F.get(F.array(*map(F.lit, model.families)), F.array_position("m", F.col("top")).cast("int") - 1).alias("family"), (F.lit(1.0) / total).alias("p"))
+    told = told.where(F.col("family") != NONE).join(pieces.select("row", "line", "runs"), ["row", "line"])
+
+    shapes = _frame(spark, _shapes(), "family string, shape array<string>").groupBy("family").agg(F.collect_list("shape").alias("shapes"))
+    shares = F.transform(F.col("shapes"), lambda s: F.size(F.array_intersect(s, F.col("runs"))) / F.size(s))
+    told = told.join(F.broadcast(shapes), "family").withColumn("held", F.array_max(shares) >= CONFIRM)
+    return told.select("row", "line", "family", "p", "held", (F.col("held") & (F.col("p") >= model.least)).alias("sure"))
+
+
+def _wrapped(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows row, line, last, grams, runs: words around the line breaks where enough of some notice may be, without the lines of ``held``.
+
+    ``line`` is the line before the break, ``last`` the last line that has words in the piece.
+    """
+    shapes = [s for _, s in _shapes()]
+    known = sorted({r for s in shapes for r in s})
+
+    def joined(tail: Column, follow: Column) -> Column:
+        return F.concat(tail, F.slice(F.flatten(follow), 1, SPAN))
+
+    def around(lines: Column, k: Column) -> Column:
+        tail = F.reverse(F.slice(F.reverse(F.element_at(lines, k)), 1, SPAN))
+        return F.struct((k - 1).alias("line"), tail.alias("tail"), F.transform(F.slice(lines, k + 1, SPAN), lambda w: F.slice(w, 1, SPAN)).alias("follow"))
+
+    def paragraph(b: Column) -> Column:
+        blank = F.array_position(F.transform(b["follow"], F.size), 0).cast("int")
+        return F.struct(b["line"].alias("line"), b["tail"].alias("tail"), F.when(blank > 0, F.slice(b["follow"], 1, blank - 1)).otherwise(b["follow"]).alias("follow"))
+
+    def with_words(b: Column) -> Column:
+        return F.struct(b["line"].alias("line"), b["tail"].alias("tail"), b["follow"].alias("follow"), joined(b["tail"], b["follow"]).alias("words"))
+
+    def with_runs(b: Column) -> Column:
+        return F.struct(b["line"].alias("line"), b["tail"].alias("tail"), b["follow"].alias("follow"), F.filter(_runs(b["words"], 3), lambda r: r.isin(known)).alias("runs"))
+
+    def breaks(lines: Column) -> Column:
+        # each step is an argument of the next, so nothing is evaluated again for each word
+        found = F.transform(F.sequence(F.lit(1), F.size(lines) - 1), lambda k: around(lines, k))
+        found = F.transform(F.filter(found, lambda b: F.size(b["tail"]) > 0), paragraph)
+        found = F.transform(F.transform(F.filter(found, lambda b: F.size(b["follow"]) > 0), with_words), with_runs)
+        return F.filter(found, lambda b: F.size(b["runs"]) > 0)
+
+    split = F.split("text", "\n")
+    several = rows.where(F.col("text").isNotNull() & F.col("text").contains("\n"))
+    found = several.select("row", F.explode(F.flatten(F.transform(F.array(F.transform(split, _words)), breaks))).alias("b"))
+    enough = F.exists(F.array(*(F.array(*map(F.lit, s)) for s in shapes)), lambda s: F.size(F.array_intersect(s, F.col("b.runs"))) >= CONFIRM * F.size(s))
+    found = stored(found.where(enough).select("row", "b.line", "b.tail", "b.follow"), "breaks")
+
+    own = held.groupBy("row").agg(F.collect_set("line").alias("own"))
+    found = found.join(own, "row", "left").withColumn("own", F.coalesce("own", F.array().cast("array<int>"))).where(~F.array_contains("own", F.col("line")))
+    cut = F.array_position(F.transform("follow", lambda w, n: F.array_contains("own", F.col("line") + 1 + n)), True).cast("int")
+    found = found.withColumn("follow", F.when(cut > 0, F.slice("follow", 1, cut - 1)).otherwise(F.col("follow"))).where(F.size("follow") > 0)
+    reached = F.size(F.filter("follow", lambda w, n: F.size(F.flatten(F.slice("follow", 1, n))) < SPAN))
+    words = F.col("words")
+    found = found.select("row", "line", (F.col("line") + reached).alias("last"), F.explode(F.array(joined(F.col("tail"), F.col("follow")))).alias("words"))
+    return stored(found.select("row", "line", "last", _grams(words).alias("grams"), F.array_distinct(_runs(words, 3)).alias("runs")), "wide")
+
+
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenceModel | None = None) -> DataFrame:
     """Rows id, licence, families, n_notices, confidence: one per input row.
 
-    Paragraphs are lines. ``families`` lists the distinct families found, in order and
+    Paragraphs are lines, and for notices that are wrapped the words around line breaks
+    (no further than the next line without a word, or that holds a notice of its own).
+    A wrapped notice counts once, and the lines it spans are not "unknown" besides;
+    wrapped notices of one family on lines in a row count as one. ``families`` lists the distinct families found, in order and
     joined by commas; ``licence`` is the one with the most confident paragraph (ties: the
     first name), "unknown" if only unnamed licence-like paragraphs were found, or null.
     ``confidence`` is that paragraph's calibrated probability (null without one). Null and
@@ -162,21 +241,16 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = rows.where("text IS NOT NULL").select("row", F.posexplode(F.split("text", "\n")).alias("line", "words"))
     lines = lines.withColumn("words", _words(F.col("words"))).where(F.arrays_overlap("words", F.array(*map(F.lit, content))))
     lines = stored(lines.select("row", "line", _grams(F.col("words")).alias("grams"), F.array_distinct(_runs(F.col("words"), 3)).alias("runs")), "lines")
-    names = [f"w{k}" for k in range(len(model.families))]
-    table = _frame(spark, [(g, *w) for g, w in sorted(model.weights.items())], "gram string, " + ", ".join(f"{n} double" for n in names))
-    sums = lines.select("row", "line", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram").groupBy("row", "line").agg(*(F.sum(n).alias(n) for n in names))
-    scaled = F.array(*((F.col(n) + F.lit(b)) / F.lit(model.temperature) for n, b in zip(names, model.intercepts, strict=True)))
-    told = sums.select("row", "line", scaled.alias("m")).withColumn("top", F.array_max("m"))
-    total = F.aggregate("m", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
-    told = told.select("row", "line", F.get(F.array(*map(F.lit, model.families)), F.array_position("m", F.col("top")).cast("int") - 1).alias("family"), (F.lit(1.0) / total).alias("p"))
-    told = told.where(F.col("family") != NONE).join(lines.select("row", "line", "runs"), ["row", "line"])
-
-    notices = [(f, t) for f, texts in sorted(NOTICES.items()) for t in texts]
-    shapes = _frame(spark, notices, "family string, notice string").select("family", F.array_distinct(_runs(F.split("notice", " "), 3)).alias("shape"))
-    shares = F.transform(F.col("shapes"), lambda s: F.size(F.array_intersect(s, F.col("runs"))) / F.size(s))
-    told = told.join(F.broadcast(shapes.groupBy("family").agg(F.collect_list("shape").alias("shapes"))), "family")
-    sure = (F.col("p") >= model.least) & (F.array_max(shares) >= CONFIRM)
-    told = told.select("row", "p", F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"))
+    told = stored(_told(lines, model), "told")
+
+    wide = _wrapped(rows, told.where("held"))
+    named = _told(wide, model).where("sure").join(wide.select("row", "line", "last"), ["row", "line"])
+    by_line = Window.partitionBy("row", "family").orderBy("line")
+    named = named.withColumn("n", F.sum(F.coalesce((F.lag("line").over(by_line) < F.col("line") - 1).cast("int"), F.lit(0))).over(by_line))
+    named = stored(named.groupBy("row", "family", "n").agg(F.max("p").alias("p"), F.min("line").alias("begin"), F.max("last").alias("last")), "wrapped")
+    within = (F.col("told.row") == F.col("named.row")) & F.col("line").between(F.col("begin"), F.col("last")) & ~F.col("sure")
+    told = told.alias("told").join(named.alias("named"), within, "left_anti").select("row", "p", F.when(F.col("sure"), F.col("family")).otherwise(UNKNOWN).alias("family"))
+    told = told.unionByName(named.select("row", "p", "family"))
 
     first = F.min(F.struct((F.col("family") == UNKNOWN).alias("unnamed"), (-F.col("p")).alias("p"), "family"))
     found = told.groupBy("row").agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), first.alias("best"))

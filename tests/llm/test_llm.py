@@ -496,6 +496,20 @@ def test_licences(spark):
     assert got == {1: ("mit", 1), 2: ("gpl", 1), 3: ("cc-by-nc", 1), 4: ("apache", 1), 5: (None, 0), 6: (None, 0), 7: (None, 0), 8: (None, 0), 9: ("apache,mit", 2)}
 
 
+def test_wrapped_licences(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License."
+    texts_ = {
+        1: f"Some words here.\n\n{gpl}\n\nMore words.", 2: "This work is licensed under the\nApache License,\nVersion 2.0.", 3: f"Released under the MIT License.\n{gpl}",
+        4: f"{gpl}\n\nThe end of it.\n\nReleased under\nthe MIT License.", 5: "This work is licensed under the\n\nhouse. The Apache\npeople came, version two.",
+        6: "He had a license\nto drive in\nthe city.", 7: "\n\n", 8: "// Licensed under the\n// Mozilla Public\n// License, version 2.0",
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in texts_.items()], "doc_id int, text string")
+    got = {r.id: (r.licence, r.families, r.n_notices) for r in license_scan.scan_licences(rows).collect()}
+    assert got[1] == ("gpl", "gpl", 1) and got[2] == ("apache", "apache", 1) and got[8] == ("mpl", "mpl", 1)
+    assert got[3][1:] == got[4][1:] == ("gpl,mit", 2)
+    assert got[5][0] in (None, "unknown") and got[6][0] in (None, "unknown") and got[7] == (None, None, 0)
+
+
 # --- pipeline
 
 
