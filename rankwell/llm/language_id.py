@@ -1,7 +1,8 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text is built on the driver and laid
-out as a dense transition table. A text is parsed greedily into the longest phrases
+For each language a suffix automaton of labelled text is built and laid out as a dense
+transition table, or as a sorted list of its edges if the samples hold more letters
+than SYMBOLS has room for. A text is parsed greedily into the longest phrases
 that occur in the labelled text; the fewer phrases, the more alike. Phrases times
 log2 of the labelled length, divided by the characters, estimates the cross-entropy,
 and the language with the least wins.
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 16_384
-#: Symbols of the tables: 0 stands for all that is no letter, 1 for letters not listed.
+#: Symbols of dense tables: 0 stands for all that is no letter, 1 for letters in no sample.
 SYMBOLS = 64
 LANE = 2048
 #: Characters that are parsed at a time.
@@ -92,30 +93,61 @@ class CrossParser:
         seen: dict[str, int] = {}
         for x in self.languages:
             for c in samples[x].lower():
-                if c.isalpha() and ord(c) < 0x10000:
+                if c.isalpha():
                     seen[c] = seen.get(c, 0) + 1
-        listed = sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - 2]
-        codes = {c: k + 2 for k, c in enumerate(listed)}
+        listed = sorted(seen, key=lambda c: (-seen[c], c))
+        self.codes = codes = {c: k + 2 for k, c in enumerate(listed)}
+        self.dense = len(listed) + 2 <= SYMBOLS
+        self.symbols = SYMBOLS if self.dense else len(listed) + 2
         self.letter = np.array([_is_letter(k) for k in range(0x10000)])
-        self.symbol = np.zeros(0x10000, np.uint8)
+        self.symbol = np.zeros(0x10000, np.uint8 if self.dense else np.int32)
         for k in np.flatnonzero(self.letter):
             self.symbol[k] = codes.get(chr(k).lower(), 1)
-        tables, self.starts, at = [], [], 0
+        tables, keys, values, roots, self.starts, at = [], [], [], [], [], 0
         for x in self.languages:
-            one = SuffixAutomaton(self.symbol[np.minimum(_points(samples[x]), 0xFFFF)].tolist()).table()
-            tables.append((one & ~(_NEW_PHRASE - 1)) | ((one & (_NEW_PHRASE - 1)) + at))
+            one = SuffixAutomaton(self._lettered(_points(samples[x]))[1].tolist())
+            if self.dense:
+                table = one.table()
+                tables.append((table & ~(_NEW_PHRASE - 1)) | ((table & (_NEW_PHRASE - 1)) + at))
+            else:
+                edges = sorted(((s + at) * self.symbols + c, t + at) for s, out in enumerate(one.next) for c, t in out.items())
+                keys += [k for k, _ in edges]
+                values += [t for _, t in edges]
+                root = np.full(self.symbols, at, np.int64)
+                for c, t in one.next[0].items():
+                    root[c] = t + at
+                roots.append(root | _NEW_PHRASE)
             self.starts.append(at)
-            at += len(one)
+            at += len(one.next)
         self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.empty(0, np.int32)
+        self.keys, self.values, self.roots = np.array(keys, np.int64), np.array(values, np.int64), np.array(roots)
         self.bits = np.array([np.log2(max(2, len(samples[x]))) for x in self.languages])
 
+    def _lettered(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each code point is a letter, and its symbol."""
+        far = points > 0xFFFF
+        near = np.where(far, 0, points)
+        letters, symbols = self.letter[near], self.symbol[near]
+        for k in np.flatnonzero(far):
+            letters[k] = _is_letter(int(points[k]))
+            symbols[k] = self.codes.get(chr(points[k]).lower(), 1) if letters[k] else 0
+        return letters, symbols
+
+    def _after(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The states (languages x lanes) after a symbol of each lane, marked where a phrase starts anew."""
+        wanted = state * self.symbols + symbols
+        if self.dense:
+            return self.table.take(wanted)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.values[at], self.roots[:, symbols])
+
     def _phrases(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases of each lane (descending sizes, none empty) in each language."""
         state = np.repeat(np.array(self.starts, np.int64)[:, None], len(sizes), 1)
         phrases = np.ones((len(self.starts), len(sizes)), np.int32)
         live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
         for t, n in enumerate(live.tolist()):
-            entry = self.table.take(state[:, :n] * SYMBOLS + symbols[starts[:n] + t])
+            entry = self._after(state[:, :n], symbols[starts[:n] + t])
             phrases[:, :n] += entry >> 30
             state[:, :n] = entry & (_NEW_PHRASE - 1)
         return phrases
@@ -123,14 +155,7 @@ class CrossParser:
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and whether there is any letter, for each text."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        points = _points("".join(texts))
-        far = points > 0xFFFF
-        near = np.where(far, 0, points)
-        letters = self.letter[near]
-        symbols = self.symbol[near]
-        for k in np.flatnonzero(far):
-            letters[k] = _is_letter(int(points[k]))
-            symbols[k] = letters[k]
+        letters, symbols = self._lettered(_points("".join(texts)))
         ends = np.cumsum(sizes)
         sums = np.concatenate([[0], np.cumsum(letters)])
         lettered = sums[ends] > sums[ends - sizes]

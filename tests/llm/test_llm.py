@@ -199,6 +199,23 @@ def test_automaton_parses_like_a_search():
             assert got[k, 0] == longest_phrases(t, s)
 
 
+def test_languages_of_many_letters_are_told_apart():
+    rng = random.Random(3)
+    letters = {"aa": "abcdefghijklmnopqrstuvwxyz", **{x: [chr(at + k) for k in range(300)] for x, at in (("bb", 0x4E00), ("cc", 0x5E00), ("dd", 0x20000))}}
+    words = {x: ["".join(rng.choice(c) for _ in range(3)) for _ in range(400)] for x, c in letters.items()}
+    text = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    samples = {x: text(x, 600) for x in letters}
+    parser = language_id.CrossParser(samples)
+    asked = [x for x in letters for _ in range(5)]
+    texts_ = [text(x, 30) for x in asked]
+    assert parser(texts_)[0] == asked
+    for x in parser.languages:
+        t = samples[x][::-1][:300]
+        symbols = parser._lettered(language_id._points(t))[1]
+        got = parser._phrases(symbols, np.array([0]), np.array([len(t)]))
+        assert got[parser.languages.index(x), 0] == longest_phrases(t, samples[x])
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     rows = queries.op6_language_id(spark, "/root/testdata/sf0.01").where("held_out").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
