@@ -2,33 +2,34 @@
 
 1. Every text becomes its set of distinct shingles (64-bit hashes). Equal sets are one
    node from here on, so copies cost nothing more.
-2. Two sets that link differ in at most H shingles, where H follows from their sizes. Within
-   a size band the shingles are dealt by hash to m > H parts, so at least m - H parts are
-   equal in both. The lists of parts are merged by counting: a pair that shares fewer full
-   parts than that cannot link. Lists of over LONG nodes are set aside and lower the count
-   that is asked for by as many as the node has of them; only nodes with so many that the
-   others need not show a link are tied to the long lists, by stars, never by pairs.
-3. Within a candidate component, links are found by T-occurrence search: a query with
-   n shingles needs T = ceil(threshold * n) of them in its partner. The T - 1 longest of
-   its inverted lists are set aside, the short ones are merged on a heap, and the
-   documents that come up are probed in the long ones by binary search (DivideSkip).
-   Pairs that are already connected are not compared again.
-4. A component of over SMALL nodes is cut into blocks. Its most shared nodes are searched
-   against all blocks first; then every node that is not in the component's largest
-   connected part is. Any unconnected pair has such a node, so no link is lost, and no
-   task holds more than a block and a run of queries.
+2. A set of n shingles needs T = ceil(threshold * n) of them in any partner, so T - K of
+   its inverted lists can be set aside, and a partner still shares K of the others with it.
+   All sets set aside the last ones of one order: by hash, and behind all others the
+   shingles that hold 1/HEAVY of all shingles or more, which are the longest lists. The
+   other lists are merged by counting, and a pair that shares fewer than it must cannot
+   link. Lists of over LONG nodes are set aside there too and lower the count that is asked
+   for by as many as the node has of them; only nodes with so many that the others need
+   not show a link are tied to the long lists, by stars, never by pairs.
+3. What is left is verified by T-occurrence search in whole sets, grouped by the connected
+   parts of the candidates: the longest L lists of a query are set aside, the short ones are
+   merged on a heap, documents that come up T - L times are probed in the long ones by
+   binary search (DivideSkip). Pairs that are already connected are not compared again.
+4. In a part of over SMALL nodes the most shared nodes are searched against all others
+   first; then, for every node that is not in the part's largest connected piece, the lists
+   of step 2 (long ones too) are merged by counting, and pairs that share enough are
+   verified. Any unconnected pair has such a node, so no link is lost.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from math import ceil, floor
+from math import log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,20 +38,22 @@ from .components import components
 from .exact_dedup import BITS_PER_ROW, BLOCK_BITS, BROADCAST_BYTES, hit_cells, probed
 
 SMALL = 64
-BLOCK = 1024
-QUERIES = 1024
-#: Nodes of a large component that are searched first, in each of PIVOT_ROUNDS rounds.
+#: Nodes of a large part that are searched at a time.
+BLOCK = 512
+#: Nodes of a large part that are searched first, in each of PIVOT_ROUNDS rounds.
 PIVOTS = 4
 PIVOT_ROUNDS = 2
-#: Ratio of a size band's ends; over 100 / percent, so a set belongs to two bands at most.
-BAND = 1.4
-#: Parts for each part that may differ.
-SPARE = 1.15
-#: Nodes in a list of a part that is merged by counting; longer lists are set aside.
+#: Shingles with at least 1/HEAVY of all come last in the order; there are at most HEAVY.
+HEAVY = 1 << 18
+#: Shingles that are counted together when heavy ones are looked for. Bounds memory only.
+COUNTED = 1 << 21
+#: Nodes in a list that is merged by counting; longer lists are set aside.
 LONG = 32
-#: Total length of lists up to which they are merged on a heap; longer ones are merge-sorted.
+#: Total length of lists up to which they are merged on a heap; longer ones are merged into an array of counts.
 HEAP = 4096
-_MEMORY_WORDS = 300_000
+#: Weight of a list's logarithmic length in the number of lists that DivideSkip sets aside.
+SKIP_WEIGHT = 0.3
+_MEMORY_WORDS = 200_000
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,46 +90,19 @@ class Shingler:
         return np.unique(out)
 
 
-class Bands:
-    """Size bands, and the parts that sets of a band are dealt to."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.ends = [1]
-
-    def _of(self, n: int) -> int:
-        while self.ends[-1] < n:
-            self.ends.append(floor(self.ends[-1] * BAND) + 1)
-        return int(np.searchsorted(self.ends, n))
-
-    def differ(self, n: int, m: int) -> int:
-        """Most shingles in which two sets of these sizes can differ and still link."""
-        return (n + m) * (100 - self.percent) // (100 + self.percent)
-
-    def shape(self, band: int) -> tuple[int, int]:
-        """Most differing shingles in a band, and its number of parts."""
-        differ = self.differ(self.ends[band], self.ends[band])
-        return differ, ceil((differ + 1) * SPARE) if differ else 1
-
-    def signatures(self, shingles: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """For each band that the set or a larger partner is in: (band, least full parts shared with any partner, hashes of parts)."""
-        out = []
-        mixed = _mix(shingles + _M3)
-        n = len(shingles)
-        largest = n * 100 // self.percent
-        for band in range(self._of(n), self._of(largest) + 1):
-            differ, parts = self.shape(band)
-            at = (shingles % np.uint64(parts)).astype(np.int64)
-            sums = np.zeros(parts, np.uint64)
-            np.add.at(sums, at, mixed)
-            label = _mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32))
-            full = np.bincount(at, minlength=parts) > 0
-            empty = parts - int(full.sum())
-            # with enough full parts one of them is equal; else the empty ones count as well
-            kept = _mix(sums * _M1 + label)[full | (full.sum() <= differ)]
-            least = parts - self.differ(n, min(largest, self.ends[band])) - empty
-            out.append((band, least, np.unique(kept)))
-        return out
+def set_aside(n: int, percent: int) -> int:
+    """How many of a set's n lists are set aside: K less than any partner must share."""
+    least = -(-percent * n // 100)
+    return max(0, least - 1 - (n - least) // 2)
+
+
+def indexed(shingles: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles (sorted by hash) whose lists are merged; ``heavy`` (sorted) come last in the order."""
+    kept = len(shingles) - set_aside(len(shingles), percent)
+    if len(heavy):
+        last = heavy[np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)] == shingles
+        shingles = np.concatenate([shingles[~last], shingles[last]])
+    return shingles[:kept]
 
 
 def set_digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -153,7 +129,7 @@ class InvertedLists:
         self.sizes = np.array([len(s) for s in sets])
 
     def search(self, query: np.ndarray, percent: int, skip=None) -> list[int]:
-        """Sets that link with ``query``; those for which skip(set) holds are not looked at."""
+        """Sets that link with ``query``; those for which skip(set) holds are not probed."""
         n = len(query)
         least = -(-percent * n // 100)
         at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
@@ -163,17 +139,15 @@ class InvertedLists:
         at, grams = at[here], query[here]
         length = self.first[at + 1] - self.first[at]
         order = np.argsort(length, kind="stable")
-        short = at[order[: len(order) - (least - 1)]]
-        long = np.sort(grams[order[len(order) - (least - 1) :]])
-        short_grams = grams[order[: len(short)]]
-        lists = [self.owner[self.first[k] : self.first[k + 1]] for k in short.tolist()]
+        aside = min(least - 1, int(least / (SKIP_WEIGHT * log2(int(length.max()) + 1) + 1)))
+        short = at[order[: len(order) - aside]].tolist()
+        long = np.sort(grams[order[len(order) - aside :]])
         found: list[int] = []
-        for d in self._merged(lists):
+        for d, times in self._merged([self.owner[self.first[k] : self.first[k + 1]] for k in short], least - aside):
             m = int(self.sizes[d])
             if 100 * min(n, m) < percent * max(n, m) or (skip and skip(d)):
                 continue
-            overlap = self._probe(d, short_grams) + self._probe(d, long)
-            if _links_enough(overlap, n, m, percent):
+            if _links_enough(times + self._probe(d, long), n, m, percent):
                 found.append(d)
         return found
 
@@ -182,16 +156,22 @@ class InvertedLists:
         own = self.sets[d]
         return int((own[np.minimum(np.searchsorted(own, grams), len(own) - 1)] == grams).sum()) if len(grams) else 0
 
-    @staticmethod
-    def _merged(lists: list[np.ndarray]) -> Iterator[int]:
-        """Documents of the short lists in ascending order, each once."""
+    def _merged(self, lists: list[np.ndarray], least: int) -> Iterator[tuple[int, int]]:
+        """Sets that ``least`` or more of the short lists hold, in ascending order, and how many do."""
         if sum(map(len, lists)) > HEAP:
-            yield from np.unique(np.concatenate(lists)).tolist()
+            times = np.bincount(np.concatenate(lists), minlength=len(self.sets))
+            enough = np.flatnonzero(times >= least)
+            yield from zip(enough.tolist(), times[enough].tolist(), strict=True)
             return
-        last = -1
+        last, times = -1, 0
         for d in heapq.merge(*(x.tolist() for x in lists)):
             if d != last:
-                yield (last := d)
+                if times >= least:
+                    yield last, times
+                last, times = d, 0
+            times += 1
+        if times >= least:
+            yield last, times
 
 
 class _Sets:
@@ -233,142 +213,184 @@ def _search_block(table: pa.Table, percent: int) -> list[tuple[int, int]]:
 
 
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges a, b found in the groups (comp, block, run) of rows with node, label, asks, shingles."""
+    """Edges a, b found in the groups (comp, block) of rows with node, label, asks, shingles."""
 
     def search(table: pa.Table) -> pa.Table:
         found = _search_block(table, percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("comp", "block", "run").applyInArrow(search, "a long, b long")
+    return rows.groupBy("comp", "block").applyInArrow(search, "a long, b long")
+
 
+def _by_pivots(told: DataFrame, pivots: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Edges of the few ``pivots`` (comp, node, label) of each part with all its other nodes, dealt to blocks."""
+    blocks = sizes.join(pivots.select("comp").distinct(), "comp", "left_semi").select("comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    data = told.select("comp", "node", "label").join(blocks, "comp").select("comp", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", "label", F.lit(False).alias("asks"))
+    asks = pivots.join(blocks, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "label", F.lit(True).alias("asks"))
+    return _searched(data.unionByName(asks).join(sets, "node"), percent)
 
-def _in_blocks(members: DataFrame, asking: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Search ``asking`` (comp, node, label, shingles) against all ``members`` of their components.
 
-    Members are dealt to blocks and queries to runs by hash; every block meets every run.
+def _shared_enough(percent: int) -> Column:
+    """Do lists in common (``shared``) suffice for a pair with sizes na, nb, of which asidea, asideb lists were set aside?
+
+    Of two sets the one whose kept lists end first in the order has all it may share beyond them in its lists set aside.
     """
-    runs = asking.groupBy("comp").agg(F.count(F.lit(1)).alias("asking"))
-    shape = sizes.join(runs, "comp").select("comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asking") / QUERIES).cast("int").alias("runs"))
-    shape = stored(shape, "shape")  # one row per large component: joined, since their number grows with the corpus
-    columns = ["comp", "block", "run", "node", "label", "asks", "shingles"]
-    data = members.join(shape, "comp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).withColumn("asks", F.lit(False))
-    ask = asking.join(shape, "comp").withColumn("run", F.pmod(F.xxhash64("node"), "runs").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    return _searched(data.select(columns).unionByName(ask.select(columns)), percent)
+    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
+    return (F.col("shared") >= needed - F.greatest("asidea", "asideb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
 
+def _by_lists(asking: DataFrame, told: DataFrame, shared: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges of ``asking`` nodes (comp, node, label) with the nodes ``told`` of another label, by merging all their lists."""
+    facts = about.select("node", "n", "aside")
+    of = lambda rows, x: rows.select("comp", F.col("node").alias(x), F.col("label").alias(f"label{x}")).join(facts.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("aside").alias(f"aside{x}")), x).join(shared.select(F.col("node").alias(x), "part"), x)
+    pairs = of(asking, "a").join(of(told, "b"), ["comp", "part"]).where("a <> b AND labela <> labelb")
+    counted = pairs.groupBy("a", "b", "na", "nb", "asidea", "asideb").agg(F.count(F.lit(1)).alias("shared")).where(_shared_enough(percent)).select("a", "b")
+    wanted = stored(counted, "pairs")
+    whole = wanted.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
-def _relabelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """comp, node, weight, label: the smallest node that ``edges`` connect each node with."""
-    labels = components(edges)
-    return nodes.select("comp", "node", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                keep.append(_links_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    return whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
-def _links_of_large(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect large candidate components; nodes: comp, node, weight."""
+
+def _links_of_large(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, shared: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect large candidate parts; nodes: comp, node, weight."""
     sets = sets.select("node", "shingles")
-    edges = None
     told = nodes.withColumn("label", F.col("node"))
-    asked = None
+    edges = None
     for turn in range(PIVOT_ROUNDS + 1):
         told = stored(told, "told")
-        parts = told.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = stored(parts.groupBy("comp").agg(F.max(F.struct("n", "label")).alias("m")).select("comp", F.col("m.label").alias("main")), "main")
-        rest = told if turn == 0 else told.join(main, "comp").where("label <> main").drop("main").join(asked, "node", "left_anti")
-        if turn < PIVOT_ROUNDS:
-            best = rest.groupBy("comp", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("turn")).agg(F.max(F.struct("weight", "node")).alias("m"))
-            rest = rest.join(best.select(F.col("m.node").alias("node")), "node", "left_semi")
-        rest = stored(rest.select("comp", "node", "label"), "asking")
-        if rest.isEmpty():
-            break
-        found = stored(_in_blocks(told.join(sets, "node"), rest.join(sets, "node"), sizes, percent), "links")
+        pieces = told.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n"))
+        main = pieces.groupBy("comp").agg(F.max(F.struct("n", "label")).alias("m")).select("comp", F.col("m.label").alias("main"))
+        rest = told if turn == 0 else told.join(main, "comp").where("label <> main").drop("main")
+        if turn == PIVOT_ROUNDS:
+            asking = stored(rest, "asking")
+            return edges if asking.isEmpty() else edges.unionByName(_by_lists(asking, told, shared, about, sets, percent))
+        best = rest.groupBy("comp", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("turn")).agg(F.max(F.struct("weight", "node", "label")).alias("m"))
+        pivots = stored(best.select("comp", F.col("m.node").alias("node"), F.col("m.label").alias("label")), "pivots")
+        if pivots.isEmpty():
+            return edges
+        found = stored(_by_pivots(told, pivots, sets, sizes, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
-        asked = rest.select("node") if asked is None else asked.unionByName(rest.select("node"))
-        if turn < PIVOT_ROUNDS:
-            told = _relabelled(nodes, edges)
+        told = nodes.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
     return edges
 
 
-def _candidates(nodes: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
-    """From node, n_shingles, bands: the candidate graph's components (node, label) and each node's shared parts (node, weight)."""
-    each = nodes.select("node", F.explode("bands").alias("b")).select("node", "b.band", "b.parts")
-    parts = each.select("node", "band", F.explode("parts").alias("part"))
-    lists = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    lists = stored(lists, "lists")
+def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """From node, n_shingles, parts: the candidates' connected parts (node, label), each node's number of shared lists (node, weight),
+    those lists (node, part, size) and facts of the nodes."""
+    each = nodes.select("node", F.explode("parts").alias("part"))
+    lists = stored(each.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lists")
     blocks = power_of_two(lists.count() * BITS_PER_ROW / BLOCK_BITS)
     cells = stored(hit_cells(lists.select(F.col("part").alias("digest")), blocks, 1), "cells")
     released(nodes.sparkSession)
-    # most parts are in no list: the filter keeps them out of the shuffle
-    some = probed(parts.withColumn("digest", F.col("part")), cells, blocks, blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES).where("possible").select("node", "band", "part")
+    # most shingles are in no list: the filter keeps them out of the shuffle
+    some = probed(each.withColumn("digest", F.col("part")), cells, blocks, blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES).where("possible").select("node", "part")
     shared = stored(some.join(lists, "part"), "shared")
-    weights = shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-    about = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("b")).select("node", "n", "b.band", "b.least")
-    long = shared.where(F.col("size") > LONG).groupBy("node", "band").agg(F.count(F.lit(1)).alias("long"))
-    about = about.join(weights.select("node"), "node", "left_semi").join(long, ["node", "band"], "left")
-    about = stored(about.select("node", "band", "n", "least", F.coalesce("long", F.lit(0)).alias("long")), "about")
+    n = F.col("n_shingles")
+    least = lambda x: F.ceil(percent * x / 100 - 1e-9)
+    spare = lambda x: F.least(least(x), F.floor((x - least(x)) / 2) + 1)
+    weights = shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight"), F.count_if(F.col("size") > LONG).alias("long"))
+    # a partner has at least least(n) shingles, so any pair of the node's must share spare(least(n)) lists
+    about = nodes.select("node", n.alias("n"), (least(n) - spare(n)).alias("aside"), spare(least(n)).alias("fewest")).join(weights, "node")
+    about = stored(about, "about")
 
     # pairs of the short lists, at most LONG nodes each
-    short = shared.where(F.col("size") <= LONG).groupBy("part", "band").agg(F.array_sort(F.collect_list("node")).alias("l"))
+    short = shared.where(F.col("size") <= LONG).groupBy("part").agg(F.array_sort(F.collect_list("node")).alias("l"))
     pairs = F.flatten(F.transform("l", lambda a, i: F.transform(F.slice(F.col("l"), i + 2, LONG), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    counted = short.select("band", F.explode(pairs).alias("p")).groupBy("p.a", "p.b", "band").agg(F.count(F.lit(1)).alias("shared"))
-    of = lambda x: about.select(F.col("node").alias(x), "band", F.col("n").alias(f"n{x}"), F.col("least").alias(f"least{x}"), F.col("long").alias(f"long{x}"))
-    rows = counted.join(of("a"), ["a", "band"]).join(of("b"), ["b", "band"])
-    # each node's bound is for its largest partner in the band, so the higher of the two holds for the pair
-    asked = F.greatest("leasta", "leastb") - F.least("longa", "longb")
-    near = rows.where((F.col("shared") >= asked) & (100 * F.least("na", "nb") >= bands.percent * F.greatest("na", "nb"))).select("a", "b")
+    counted = short.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"))
+    of = lambda x: about.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("aside").alias(f"aside{x}"), F.col("long").alias(f"long{x}"))
+    rows = counted.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.col("shared") + F.least("longa", "longb"))
+    near = rows.where(_shared_enough(percent)).select("a", "b")
+
+    tied = about.where(F.col("long") >= F.col("fewest")).select("node")
+    held = stored(shared.where(F.col("size") > LONG).select("node", "part").join(tied, "node", "left_semi"), "held")
+    hubs = held.groupBy("part").agg(F.min("node").alias("hub"))
+    stars = held.join(hubs, "part").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return components(near.unionByName(stars)), about.select("node", "weight"), shared, about
 
-    tied = about.where(F.col("long") >= F.greatest(F.col("least"), F.lit(1))).select("node", "band")
-    held = stored(shared.where(F.col("size") > LONG).select("node", "band", "part").join(tied, ["node", "band"], "left_semi"), "held")
-    hubs = stored(held.groupBy("part").agg(F.min("node").alias("hub")), "hubs")
-    stars = held.join(hubs, "part").groupBy("node", "hub").agg(F.lit(1)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return components(near.unionByName(stars)), weights
+
+def heavy_shingles(rows: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that hold 1/HEAVY or more of all (counted in ``rows``' column text); at most HEAVY.
+
+    Tasks count COUNTED shingles at a time and pass on those with their share of 1/HEAVY; a
+    heavy shingle has it somewhere, and parts below it are left out. So this is a lower
+    bound of the counts, which serves since any order of the shingles gives the same links.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingled, held, size = Shingler(words), [], 0
+
+        def passed_on() -> pa.RecordBatch:
+            grams, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times * HEAVY >= max(size, 2 * HEAVY)
+            out = [np.append(grams[often].view(np.int64), 0), np.append(times[often], size), np.append(np.zeros(often.sum(), bool), True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["gram", "n", "total"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(shingled(text.as_py()))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield passed_on()
+                    size = 0
+        if held:
+            yield passed_on()
+
+    sums = stored(rows.select("text").mapInArrow(count, "gram long, n long, total boolean").groupBy("gram", "total").agg(F.sum("n").alias("n")), "heavy")
+    n = sums.where("total").agg(F.sum("n")).first()[0] or 0
+    found = sums.where(~F.col("total") & (F.col("n") * HEAVY >= n)).select("gram").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows id, n_shingles, component_id: one per input row.
 
     Two texts link when 100 * |intersection| >= percent * |union| of their sets of
-    distinct shingles of ``words`` words; percent is over 72, so that a size band spans what
-    may link. component_id is the smallest id that links reach, itself included. Texts that
-    are null or have no word have no shingle and link with nothing. Null ids count as larger
-    than all others (a component of null ids has a null component_id). Rows with equal
-    ids are told apart by their sets only. An empty table gives no rows; other columns
-    are ignored.
+    distinct shingles of ``words`` words. component_id is the smallest id that links reach,
+    itself included. Texts that are null or have no word have no shingle and link with
+    nothing. Null ids count as larger than all others (a component of null ids has a null
+    component_id). Rows with equal ids are told apart by their sets only. An empty table
+    gives no rows; other columns are ignored.
     """
-    if not BAND * percent > 100:
-        raise ValueError(f"percent must be over {100 / BAND:.0f}")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_field = rows.schema["id"]
 
+    frequent = docs.sparkSession.sparkContext.broadcast(heavy_shingles(rows, words))  # at most HEAVY hashes
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingled, bands = Shingler(words), Bands(percent)
+        shingled, heavy = Shingler(words), frequent.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                n, one, two, parts = [], [], [], []
-                for text in batch.column(1):
-                    s = shingled(text.as_py())
-                    a, b = set_digest(s) if len(s) else (0, 0)
-                    n.append(len(s))
-                    one.append(a)
-                    two.append(b)
-                    found = bands.signatures(s) if len(s) else []
-                    parts.append([{"band": k, "least": least, "parts": p.view(np.int64)} for k, least, p in found])
-                arrays = [pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(parts, kind)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n_shingles", "d1", "d2", "bands"])
-
-    kind = pa.list_(pa.struct([("band", pa.int32()), ("least", pa.int64()), ("parts", pa.list_(pa.int64()))]))
+                sets = [shingled(text.as_py()) for text in batch.column(1)]
+                digests = [set_digest(s) if len(s) else (0, 0) for s in sets]
+                parts = [indexed(s, heavy, percent) for s in sets]
+                ends = np.cumsum([0, *map(len, parts)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+                arrays = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), lists]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n_shingles", "d1", "d2", "parts"])
+
     longs = [T.StructField(x, T.LongType()) for x in ("n_shingles", "d1", "d2")]
-    signed_rows = rows.mapInArrow(signed, T.StructType([id_field, *longs, *T.StructType.fromDDL("bands array<struct<band:int,least:bigint,parts:array<bigint>>>").fields]))
+    signed_rows = rows.mapInArrow(signed, T.StructType([id_field, *longs, T.StructField("parts", T.ArrayType(T.LongType()))]))
     signed_rows = stored(signed_rows.withColumn("node", F.monotonically_increasing_id()), "signed")
     total = signed_rows.count()
     each = stored(signed_rows.select("id", "n_shingles", "d1", "d2", "node"), "each")
     # one node for each set: the first of its rows
     sets = each.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     sets = stored(sets, "sets")
-    nodes = stored(signed_rows.select("node", "n_shingles", "bands").join(sets.select("node"), "node", "left_semi"), "nodes")
+    nodes = stored(signed_rows.select("node", "n_shingles", "parts").join(sets.select("node"), "node", "left_semi"), "nodes")
     remove(signed_rows)
     del signed_rows
     released(docs.sparkSession)
-    comps, weights = _candidates(nodes, Bands(percent))
+    comps, weights, shared, about = _candidates(nodes, percent)
     comps = stored(comps.join(weights, "node").withColumnRenamed("label", "comp"), "candidates")
     remove(nodes)
 
@@ -397,12 +419,12 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sizes = stored(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
     small = found.join(sizes.where(F.col("size") <= SMALL), "comp")
     zero = F.lit(0)
-    links = _searched(small.select("comp", zero.alias("block"), zero.alias("run"), "node", F.col("node").alias("label"), F.lit(False).alias("asks"), "shingles"), percent)
+    links = _searched(small.select("comp", zero.alias("block"), "node", F.col("node").alias("label"), F.lit(False).alias("asks"), "shingles"), percent)
     links = stored(links, "links")
-    large = sizes.where(F.col("size") > SMALL)
+    large = stored(sizes.where(F.col("size") > SMALL), "large")
     if not large.isEmpty():
         nodes = stored(comps.join(large.select("comp"), "comp", "left_semi").select("comp", "node", "weight"), "large")
-        links = links.unionByName(_links_of_large(nodes, found, large, percent))
+        links = links.unionByName(_links_of_large(nodes, found, large, shared, about, percent))
 
     labels = components(links)
     labelled = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -419,6 +441,13 @@ def keep_representatives(docs: DataFrame, words: int = 5, percent: int = 80, id_
 
     Rows that share an id stay or go together.
     """
-    told = stored(ngram_components(docs, words, percent, id_col, text_col), "decisions")
-    gone = told.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    told = ngram_components(docs, words, percent, id_col, text_col)
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    gone = stored(told.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__gone"), key.alias("digest")).distinct(), "gone")
+    blocks = power_of_two(gone.count() * BITS_PER_ROW / BLOCK_BITS)
+    cells = stored(hit_cells(gone, blocks, 1), "cells")
+    # only rows whose id may be among those that go are shuffled
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("digest"))
+    seen = stored(probed(rows, cells, blocks, blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES).where("possible").select("row"), "seen")
+    stay = seen.join(gone, seen[f"row.{id_col}"].eqNullSafe(gone["__gone"]), "left_anti")
+    return probed(rows, cells, blocks, blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES).where("NOT possible").select("row.*").unionByName(stay.select("row.*"))

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankwell.llm import decontamination, hmm, language_id, license_scan, ngram_join, packing, queries, token_counts, token_files
+from rankwell.llm import components as components_module
 from rankwell.llm.components import components
 from rankwell.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from rankwell.llm.sharding import interleaved
@@ -443,39 +444,52 @@ def near_copies(seed):
     return rows + [(len(rows) + k, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(0, 60)))) for k in range(40)]
 
 
-@pytest.mark.parametrize(("words", "percent", "small", "long", "seed"), [(3, 90, 64, 32, 1), (5, 80, 64, 3, 2), (3, 90, 4, 3, 3), (5, 80, 4, 5, 4)])
-def test_components_of_near_copies(spark, monkeypatch, words, percent, small, long, seed):
-    monkeypatch.setattr(ngram_join, "LONG", long)
-    monkeypatch.setattr(ngram_join, "SMALL", small)
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
-    monkeypatch.setattr(ngram_join, "QUERIES", 8)
+@pytest.mark.parametrize(("words", "percent", "small", "long", "heavy", "seed"), [(3, 90, 64, 32, 1 << 18, 1), (5, 80, 64, 3, 1 << 8, 2), (3, 90, 4, 3, 1 << 18, 3), (5, 80, 4, 5, 1 << 10, 4), (2, 60, 3, 2, 1 << 8, 5), (1, 30, 64, 32, 1 << 8, 6)])
+def test_components_of_near_copies(spark, monkeypatch, words, percent, small, long, heavy, seed):
+    for name, value in (("LONG", long), ("SMALL", small), ("HEAVY", heavy), ("BLOCK", 16), ("PIVOTS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies(seed)
     got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"), words, percent).collect()}
     assert got == brute_components(rows, words, percent)
 
 
-def test_linked_sets_share_the_parts_that_are_asked_for():
+def test_components_of_the_documents(spark, docs, texts):
+    for words, percent in ((3, 90), (5, 80)):
+        got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, words, percent).collect()}
+        assert got == brute_components(sorted(texts.items()), words, percent)
+
+
+def test_components_of_long_texts(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    rows = [(0, " ".join(base)), (1, " ".join(base[1000:])), (2, " ".join(base[:30_000])), (3, " ".join(reversed(base)))]
+    got = {r.id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_linked_sets_share_the_lists_that_are_asked_for():
     rng = np.random.RandomState(0)
     met = 0
-    for percent in (80, 90):
-        bands = ngram_join.Bands(percent)
-        for _ in range(400):
+    for percent in (30, 60, 80, 90):
+        for _ in range(300):
             n = rng.randint(2, 300)
             a = np.unique(rng.randint(0, 1 << 62, n).astype(np.uint64))
+            heavy = np.sort(rng.permutation(a)[: rng.randint(0, n)])
             change = int(len(a) * rng.uniform(0, 0.12))
             b = np.unique(np.concatenate([a[rng.permutation(len(a))[change:]], rng.randint(0, 1 << 62, rng.randint(0, change + 1)).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
                 met += 1
-                x, y = ({k: (least, p) for k, least, p in bands.signatures(s)} for s in (a, b))
-                common = x.keys() & y.keys()
-                assert common
-                for k in common:
-                    assert len(np.intersect1d(x[k][1], y[k][1])) >= max(1, x[k][0], y[k][0])
-    assert met > 200
+                shared = len(np.intersect1d(*(ngram_join.indexed(s, heavy, percent) for s in (a, b))))
+                needed = -(-percent * (len(a) + len(b)) // (100 + percent))
+                asked = needed - max(ngram_join.set_aside(len(s), percent) for s in (a, b))
+                assert shared >= asked >= 1
+    assert met > 600
 
 
-def test_search_finds_what_links():
+@pytest.mark.parametrize("heap", [0, 1 << 20])
+def test_search_finds_what_links(monkeypatch, heap):
+    monkeypatch.setattr(ngram_join, "HEAP", heap)
     rng = np.random.RandomState(3)
     sets = [np.unique(rng.randint(0, 60, rng.randint(1, 50)).astype(np.uint64)) for _ in range(60)]
     index = ngram_join.InvertedLists(sets)
@@ -493,9 +507,13 @@ def test_odd_rows_in_the_join(odd):
     assert 5 not in kept and {1, 2, 3, 4, None} <= kept
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [1, 4, 1 << 19])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components_module, "CHUNK_EDGES", chunk)
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), (3, 1), *((k, k + 1) for k in range(20, 60))]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    rows = components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(4)).collect()
+    got = {r.node: r.label for r in rows}
+    assert len(rows) == len(got)
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, **{k: 20 for k in range(20, 61)}}
 
 
