@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +26,8 @@ Q = 8
 EDIT_SHARE = 0.1
 #: Bytes of benchmark text per broadcast; a larger benchmark takes several passes.
 BLOCK_BYTES = 8 << 20
-BATCH_BYTES = 4 << 20
+#: Bytes of texts that are searched at a time.
+BATCH_BYTES = 256 << 10
 _BITMAP_BITS = 22
 _SEPARATOR = 30
 #: One edit in a cell of an alignment; beginnings are less.
@@ -134,7 +134,16 @@ class PassageFinder:
         self.bitmap[_slot(self.codes)] = True
 
     def _candidates(self, normal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and the first diagonals of the bands that reach their bounds."""
+        """Items and the first diagonals of the bands that reach their bounds, from windows in one of which any passage lies."""
+        reach = max((len(f) for f in self.forms), default=0) + int(self.budget.max(initial=0))
+        items, diagonals = [], []
+        for at in range(0, max(1, len(normal)), BATCH_BYTES):
+            i, d = self._in_window(normal[at : at + BATCH_BYTES + reach])
+            items.append(i)
+            diagonals.append(d + at)
+        return np.concatenate(items), np.concatenate(diagonals)
+
+    def _in_window(self, normal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         codes = _grams(normal)
         at = np.flatnonzero(self.bitmap[_slot(codes)])
         if not len(at) or not len(self.codes):
@@ -215,14 +224,43 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
+def _searched_texts(finder: PassageFinder, texts: list[str | None]) -> Iterator[tuple[int, object, int, int, int]]:
+    """(number of the text, item key, start, stop, edits) of each text's best passage of each item; as many texts at a time as BATCH_BYTES hold."""
+    forms = ((t or "").replace("\0", " ").encode() for t in texts)
+    at = 0
+    for held in _by_bytes(forms):
+        starts = np.cumsum([0, *(len(t) + 1 for t in held)])
+        best: dict[tuple[int, object], tuple[int, int, int]] = {}
+        for key, start, stop, edits in finder.find(np.frombuffer(b"\0".join(held), np.uint8)):
+            d = int(np.searchsorted(starts, stop - 1, side="right")) - 1
+            here = (edits, start - int(starts[d]), stop - int(starts[d]))
+            best[d, key] = min(best.get((d, key), here), here)
+        yield from ((at + d, key, start, stop, edits) for (d, key), (edits, start, stop) in best.items())
+        at += len(held)
+
+
+def _by_bytes(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append(text)
+        size += len(text) + 1
+        if size >= BATCH_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_share: float = EDIT_SHARE) -> DataFrame:
     """Rows id, item_id, start, stop, edits: one per item and document, its best passage.
 
     start and stop are byte offsets in the text. Null and empty texts hold nothing, and
     null or empty items are nowhere. Items of fewer than Q characters in normal form
-    match as whole words only. Rows with equal ids are told apart by nothing else, so
-    their passages are the same rows. The benchmark is broadcast in blocks of at most
-    BLOCK_BYTES and one item; each block takes a pass over the documents.
+    match as whole words only. Of passages with equally few edits the first counts. Rows
+    with equal ids are told apart by nothing else, so their passages are the same rows.
+    The benchmark is broadcast in blocks of at most BLOCK_BYTES and one item; each block
+    takes a pass over the documents.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -236,30 +274,32 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "
             finder = None
             for batch in batches:
                 finder = finder or PassageFinder(shared.value, edit_share)
-                kind = batch.schema.field(0).type
-                sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                at = 0
-                while at < len(sizes):
-                    to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_BYTES)))
-                    texts = [(x or "").replace("\0", " ").encode() for x in batch.column(1).slice(at, to - at).to_pylist()]
-                    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-                    best: dict[tuple[int, object], tuple[int, int, int]] = {}
-                    for key, start, stop, edits in finder.find(np.frombuffer(b"\0".join(texts), np.uint8)):
-                        d = int(np.searchsorted(starts, start, side="right")) - 1
-                        here = (edits, start - int(starts[d]), stop - int(starts[d]))
-                        best[d, key] = min(best.get((d, key), here), here)
-                    if best:
-                        owner = pa.array([d + at for d, _ in best])
-                        columns = [batch.column(0).take(owner), pa.array([k for _, k in best]), *(pa.array([v[c] for v in best.values()], pa.int64()) for c in (1, 2, 0))]
-                        columns[0] = columns[0].cast(kind)
-                        yield pa.RecordBatch.from_arrays(columns, schema.names)
-                    at = to
-
-        out = out.unionByName(rows.mapInArrow(search, schema)) if block else out
+                found = list(_searched_texts(finder, batch.column(1).to_pylist()))
+                if found:
+                    owner, keys, *numbers = (list(x) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(keys), *(pa.array(x, pa.int64()) for x in numbers)], schema.names)
+
+        out = out.unionByName(rows.mapInArrow(search, schema))
     return out
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item within its edit budget; null ids are compared as equal."""
-    bad = contaminated_passages(docs, benchmark, id_col, text_col).select(F.col("id").alias("__found")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__found"]), "left_anti")
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_share: float = EDIT_SHARE) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item within its edit budget, with all their columns.
+
+    Each row is decided where it lies, so nothing is shuffled. Null and empty texts stay.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    schema = T.StructType(list(rows.schema))
+    for block in _blocks(benchmark, item_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            finder = None
+            for batch in batches:
+                finder = finder or PassageFinder(shared.value, edit_share)
+                stays = np.ones(batch.num_rows, bool)
+                stays[[d for d, *_ in _searched_texts(finder, batch.column(1).to_pylist())]] = False
+                yield batch.filter(pa.array(stays))
+
+        rows = rows.mapInArrow(clean, schema)
+    return rows.select("row.*")

@@ -15,9 +15,9 @@
    merged on a heap, documents that come up T - L times are probed in the long ones by
    binary search (DivideSkip). Pairs that are already connected are not compared again.
 4. In a part of over SMALL nodes the most shared nodes are searched against all others
-   first; then, for every node that is not in the part's largest connected piece, the lists
-   of step 2 (long ones too) are merged by counting, and pairs that share enough are
-   verified. Any unconnected pair has such a node, so no link is lost.
+   first; then every node that is not in the part's largest connected piece is. Any
+   unconnected pair has such a node, so no link is lost. Nodes are dealt to blocks and
+   queries to runs, so that no task holds more than one of each.
 """
 
 from __future__ import annotations
@@ -38,8 +38,9 @@ from .components import components
 from .exact_dedup import BITS_PER_ROW, BLOCK_BITS, BROADCAST_BYTES, hit_cells, probed
 
 SMALL = 64
-#: Nodes of a large part that are searched at a time.
+#: Nodes of a large part that are searched together, and nodes that ask them together.
 BLOCK = 512
+QUERIES = 1024
 #: Nodes of a large part that are searched first, in each of PIVOT_ROUNDS rounds.
 PIVOTS = 4
 PIVOT_ROUNDS = 2
@@ -213,20 +214,23 @@ def _search_block(table: pa.Table, percent: int) -> list[tuple[int, int]]:
 
 
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges a, b found in the groups (comp, block) of rows with node, label, asks, shingles."""
+    """Edges a, b found in the groups (comp, block, run) of rows with node, label, asks, shingles."""
 
     def search(table: pa.Table) -> pa.Table:
         found = _search_block(table, percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("comp", "block").applyInArrow(search, "a long, b long")
+    return rows.groupBy("comp", "block", "run").applyInArrow(search, "a long, b long")
 
 
-def _by_pivots(told: DataFrame, pivots: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Edges of the few ``pivots`` (comp, node, label) of each part with all its other nodes, dealt to blocks."""
-    blocks = sizes.join(pivots.select("comp").distinct(), "comp", "left_semi").select("comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    data = told.select("comp", "node", "label").join(blocks, "comp").select("comp", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", "label", F.lit(False).alias("asks"))
-    asks = pivots.join(blocks, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "label", F.lit(True).alias("asks"))
+def _in_blocks(asking: DataFrame, told: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Edges of the ``asking`` nodes (comp, node, label) with all nodes of their parts, dealt to blocks; queries go to the blocks in runs."""
+    asked = asking.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("runs"))
+    shape = stored(asked.join(sizes, "comp").select("comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "runs"), "shape")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = told.join(shape, "comp").select("comp", dealt("blocks").alias("block"), every("runs").alias("run"), "node", "label", F.lit(False).alias("asks"))
+    asks = asking.join(shape, "comp").select("comp", every("blocks").alias("block"), dealt("runs").alias("run"), "node", "label", F.lit(True).alias("asks"))
     return _searched(data.unionByName(asks).join(sets, "node"), percent)
 
 
@@ -239,27 +243,7 @@ def _shared_enough(percent: int) -> Column:
     return (F.col("shared") >= needed - F.greatest("asidea", "asideb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
 
-def _by_lists(asking: DataFrame, told: DataFrame, shared: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges of ``asking`` nodes (comp, node, label) with the nodes ``told`` of another label, by merging all their lists."""
-    facts = about.select("node", "n", "aside")
-    of = lambda rows, x: rows.select("comp", F.col("node").alias(x), F.col("label").alias(f"label{x}")).join(facts.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("aside").alias(f"aside{x}")), x).join(shared.select(F.col("node").alias(x), "part"), x)
-    pairs = of(asking, "a").join(of(told, "b"), ["comp", "part"]).where("a <> b AND labela <> labelb")
-    counted = pairs.groupBy("a", "b", "na", "nb", "asidea", "asideb").agg(F.count(F.lit(1)).alias("shared")).where(_shared_enough(percent)).select("a", "b")
-    wanted = stored(counted, "pairs")
-    whole = wanted.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                keep.append(_links_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-
-
-def _links_of_large(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, shared: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+def _links_of_large(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Edges that connect large candidate parts; nodes: comp, node, weight."""
     sets = sets.select("node", "shingles")
     told = nodes.withColumn("label", F.col("node"))
@@ -269,22 +253,21 @@ def _links_of_large(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, shared:
         pieces = told.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n"))
         main = pieces.groupBy("comp").agg(F.max(F.struct("n", "label")).alias("m")).select("comp", F.col("m.label").alias("main"))
         rest = told if turn == 0 else told.join(main, "comp").where("label <> main").drop("main")
-        if turn == PIVOT_ROUNDS:
-            asking = stored(rest, "asking")
-            return edges if asking.isEmpty() else edges.unionByName(_by_lists(asking, told, shared, about, sets, percent))
-        best = rest.groupBy("comp", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("turn")).agg(F.max(F.struct("weight", "node", "label")).alias("m"))
-        pivots = stored(best.select("comp", F.col("m.node").alias("node"), F.col("m.label").alias("label")), "pivots")
-        if pivots.isEmpty():
-            return edges
-        found = stored(_by_pivots(told, pivots, sets, sizes, percent), "links")
+        if turn < PIVOT_ROUNDS:
+            best = rest.groupBy("comp", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("turn")).agg(F.max(F.struct("weight", "node", "label")).alias("m"))
+            rest = best.select("comp", F.col("m.node").alias("node"), F.col("m.label").alias("label"))
+        asking = stored(rest.select("comp", "node", "label"), "asking")
+        if asking.isEmpty():
+            break
+        found = stored(_in_blocks(asking, told.select("comp", "node", "label"), sets, sizes, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
-        told = nodes.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if turn < PIVOT_ROUNDS:
+            told = nodes.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
     return edges
 
 
-def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """From node, n_shingles, parts: the candidates' connected parts (node, label), each node's number of shared lists (node, weight),
-    those lists (node, part, size) and facts of the nodes."""
+def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """From node, n_shingles, parts: the candidates' connected parts (node, label), and each node's number of shared lists (node, weight)."""
     each = nodes.select("node", F.explode("parts").alias("part"))
     lists = stored(each.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lists")
     blocks = power_of_two(lists.count() * BITS_PER_ROW / BLOCK_BITS)
@@ -313,7 +296,7 @@ def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, D
     held = stored(shared.where(F.col("size") > LONG).select("node", "part").join(tied, "node", "left_semi"), "held")
     hubs = held.groupBy("part").agg(F.min("node").alias("hub"))
     stars = held.join(hubs, "part").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return components(near.unionByName(stars)), about.select("node", "weight"), shared, about
+    return components(near.unionByName(stars)), about.select("node", "weight")
 
 
 def heavy_shingles(rows: DataFrame, words: int) -> np.ndarray:
@@ -390,7 +373,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     remove(signed_rows)
     del signed_rows
     released(docs.sparkSession)
-    comps, weights, shared, about = _candidates(nodes, percent)
+    comps, weights = _candidates(nodes, percent)
     comps = stored(comps.join(weights, "node").withColumnRenamed("label", "comp"), "candidates")
     remove(nodes)
 
@@ -419,12 +402,12 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sizes = stored(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
     small = found.join(sizes.where(F.col("size") <= SMALL), "comp")
     zero = F.lit(0)
-    links = _searched(small.select("comp", zero.alias("block"), "node", F.col("node").alias("label"), F.lit(False).alias("asks"), "shingles"), percent)
+    links = _searched(small.select("comp", zero.alias("block"), zero.alias("run"), "node", F.col("node").alias("label"), F.lit(False).alias("asks"), "shingles"), percent)
     links = stored(links, "links")
     large = stored(sizes.where(F.col("size") > SMALL), "large")
     if not large.isEmpty():
         nodes = stored(comps.join(large.select("comp"), "comp", "left_semi").select("comp", "node", "weight"), "large")
-        links = links.unionByName(_links_of_large(nodes, found, large, shared, about, percent))
+        links = links.unionByName(_links_of_large(nodes, found, large, percent))
 
     labels = components(links)
     labelled = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

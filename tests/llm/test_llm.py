@@ -372,6 +372,52 @@ def test_passages_do_not_depend_on_neighbours():
     assert all(0 <= start < stop <= len(texts[n]) for n, _, start, stop, _ in together)
 
 
+def test_passages_of_long_texts_and_windows(monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(15))) for k in range(20)]
+    finder = decontamination.PassageFinder(items)
+    body = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 90))) for _ in range(41)]
+    text = " ".join(x for k in range(20) for x in (body[k], items[k][1][:30] + items[k][1][32:], body[k + 20]))
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = sorted(finder.find(data))
+    assert {f[0] for f in whole} == set(range(20))
+    monkeypatch.setattr(decontamination, "BATCH_BYTES", 64)
+    assert sorted(finder.find(data)) == whole
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_passages_against_edit_distance(spark, parts):
+    """Texts that are shorter than their items at either end, several in a batch."""
+    rng = random.Random(12)
+    items = ["".join(rng.choice("abcdefg ") for _ in range(60)).strip().replace("  ", " x") for _ in range(4)]
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(text, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    texts = []
+    for _ in range(60):
+        item = rng.choice(items)
+        a, b = rng.randrange(0, 8), rng.randrange(0, 8)
+        texts.append(rng.choice([item[a : len(item) - b], item[: len(item) // 2], item[len(item) // 2 :], "zz " + item[a:], item[:-3] + " zz"]).strip())
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+    finder = decontamination.PassageFinder(list(enumerate(items)))
+    budget = dict(zip((k[0] for k in finder.keys), finder.budget.tolist(), strict=True))
+    normal = lambda t: decontamination.normal_form(np.frombuffer(t.encode(), np.uint8))[0].tobytes().strip().decode()
+    want = {(d, k, e) for d, t in enumerate(texts) for k, x in enumerate(items) if (e := least(normal(x), normal(t))) <= budget[k]}
+    assert want
+    assert {(r.id, r.item_id, r.edits) for r in decontamination.contaminated_passages(docs, benchmark).collect()} == want
+    bad = {d for d, _, _ in want}
+    assert {r.doc_id for r in decontamination.keep_uncontaminated(docs, benchmark).collect()} == set(range(len(texts))) - bad
+
+
 # --- op2 packing
 
 
@@ -446,7 +492,7 @@ def near_copies(seed):
 
 @pytest.mark.parametrize(("words", "percent", "small", "long", "heavy", "seed"), [(3, 90, 64, 32, 1 << 18, 1), (5, 80, 64, 3, 1 << 8, 2), (3, 90, 4, 3, 1 << 18, 3), (5, 80, 4, 5, 1 << 10, 4), (2, 60, 3, 2, 1 << 8, 5), (1, 30, 64, 32, 1 << 8, 6)])
 def test_components_of_near_copies(spark, monkeypatch, words, percent, small, long, heavy, seed):
-    for name, value in (("LONG", long), ("SMALL", small), ("HEAVY", heavy), ("BLOCK", 16), ("PIVOTS", 1)):
+    for name, value in (("LONG", long), ("SMALL", small), ("HEAVY", heavy), ("BLOCK", 16), ("QUERIES", 8), ("PIVOTS", 1)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies(seed)
     got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"), words, percent).collect()}
