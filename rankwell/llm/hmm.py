@@ -12,6 +12,11 @@ fixed-point integers, which are summed in any order to the same result, and the
 (which holds one bounded table) re-estimates. Scoring runs the scaled forward recursion
 over each whole text, which gives the exact likelihood.
 
+Texts of over RUN tokens are taken apart into runs that are worked on side by side: the
+recursion over a run is a product of matrices, so products of whole runs, chained from
+the front and from the back, give the exact forward and backward state at each run's
+ends. Nothing is cut, and memory is bounded however long a text is.
+
 Counts of rare words never reach the driver or a broadcast: they are joined to the
 texts' rare words. Only words with at least 1/HEAVY of the tokens are broadcast, so
 there are at most HEAVY of them.
@@ -42,9 +47,10 @@ OWN = 1 << 14
 SHARED = 512
 STATES = 6
 ROUNDS = 8
-#: Training cuts texts into runs of so many tokens; scoring never cuts.
+#: Tokens of a text that are worked on in a row; its runs are worked on side by side.
 RUN = 512
-BATCH_TOKENS = 1 << 20
+#: Tokens whose states are held at a time. Bounds memory only.
+BATCH_TOKENS = 1 << 19
 #: Distinct words a counting task holds before it passes their counts on.
 HELD_WORDS = 400_000
 #: Expected counts are summed as multiples of 1/FIXED.
@@ -196,67 +202,138 @@ class Model:
         return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _lanes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longest first: order, starts in the concatenated ids, and how many are live at each step."""
-    order = np.argsort(-sizes, kind="stable")
-    starts = (np.cumsum(sizes) - sizes)[order]
-    live = np.searchsorted(-sizes[order], -np.arange(sizes.max()), side="left")
-    return order, starts, live
+@dataclass
+class Runs:
+    """Texts taken apart into runs of at most RUN tokens: sizes and starts of runs, and the first and last run of each text."""
+
+    size: np.ndarray
+    start: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    @staticmethod
+    def of(sizes: np.ndarray) -> Runs:
+        n = -(-sizes // RUN)
+        last = np.cumsum(n) - 1
+        size = np.full(n.sum(), RUN, np.int64)
+        size[last] = sizes - (n - 1) * RUN
+        return Runs(size, np.cumsum(size) - size, last - n + 1, last)
+
+    def lanes(self, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``some`` runs, longest first, as many at a time as BATCH_TOKENS hold; and how many are live at each step."""
+        order = some[np.argsort(-self.size[some], kind="stable")]
+        at = 0
+        while at < len(order):
+            to = at + max(1, BATCH_TOKENS // int(self.size[order[at]]))
+            lanes = order[at:to]
+            yield lanes, np.searchsorted(-self.size[lanes], -np.arange(self.size[lanes[0]]), side="left")
+            at = to
+
+
+def _products(model: Model, ids: np.ndarray, runs: Runs, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run the matrix from the state expected before it to the one expected after it, and log10 of its scale."""
+    k = len(model.start)
+    products, logs = np.zeros((len(runs.size), k, k)), np.zeros(len(runs.size))
+    for lanes, live in runs.lanes(some):
+        m, log = np.repeat(np.eye(k)[None], len(lanes), 0), np.zeros(len(lanes))
+        starts = runs.start[lanes]
+        for t, n in enumerate(live.tolist()):
+            step = (m[:n] * model.emit[ids[starts[:n] + t]][:, None, :]).reshape(n * k, k) @ model.move
+            scale = step.reshape(n, -1).sum(1)
+            m[:n] = step.reshape(n, k, k) / scale[:, None, None]
+            log[:n] += np.log10(scale)
+        products[lanes], logs[lanes] = m, log
+    return products, logs
+
+
+def _chained(model: Model, ids: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run the state expected before it and the weight of each state expected after it; log10 likelihoods of texts of several runs."""
+    several = runs.last > runs.first
+    some = np.flatnonzero(np.repeat(several, runs.last - runs.first + 1))
+    products, logs = _products(model, ids, runs, some)
+    before = np.repeat(model.start[None], len(runs.size), 0)
+    after = np.ones((len(runs.size), len(model.start)))
+    log = np.zeros(len(runs.first))
+    longest = int((runs.last - runs.first).max(initial=0))
+    for k in range(longest + 1):
+        own = np.flatnonzero(several & (runs.first + k <= runs.last))
+        at = runs.first[own] + k
+        ahead = np.einsum("ni,nij->nj", before[at], products[at])
+        scale = ahead.sum(1)
+        log[own] += np.log10(scale) + logs[at]
+        on = at < runs.last[own]
+        before[at[on] + 1] = ahead[on] / scale[on, None]
+    for k in range(longest):
+        at = runs.last - k
+        at = at[several & (at > runs.first)]
+        behind = np.einsum("nij,nj->ni", products[at], after[at])
+        after[at - 1] = behind / behind.sum(1, keepdims=True)
+    return before, after, log
 
 
 def forward_log10(model: Model, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 likelihood of each class sequence by the scaled forward recursion."""
-    order, starts, live = _lanes(sizes)
-    total = np.zeros(len(sizes))
-    alpha = np.repeat(model.start[None], len(sizes), 0)
-    for t, n in enumerate(live.tolist()):
-        a = (alpha[:n] @ model.move if t else alpha[:n]) * model.emit[ids[starts[:n] + t]]
-        scale = a.sum(1)
-        alpha[:n] = a / scale[:, None]
-        total[:n] += np.log10(scale)
-    out = np.empty(len(sizes))
-    out[order] = total
+    runs = Runs.of(sizes)
+    out = _chained(model, ids, runs)[2]
+    single = runs.last == runs.first
+    total = np.zeros(len(runs.size))
+    for lanes, live in runs.lanes(runs.first[single]):
+        alpha = np.repeat(model.start[None], len(lanes), 0)
+        starts, log = runs.start[lanes], np.zeros(len(lanes))
+        for t, n in enumerate(live.tolist()):
+            a = (alpha[:n] @ model.move if t else alpha[:n]) * model.emit[ids[starts[:n] + t]]
+            scale = a.sum(1)
+            alpha[:n] = a / scale[:, None]
+            log[:n] += np.log10(scale)
+        total[lanes] = log
+    out[single] = total[runs.first[single]]
     return out
 
 
 def expected_counts(model: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, moves and emissions (classes x states) over the sequences."""
-    _, starts, live = _lanes(sizes)
+    runs = Runs.of(sizes)
+    before, after, _ = _chained(model, ids, runs)
     k = len(model.start)
-    alphas: list[np.ndarray] = []
-    emits: list[np.ndarray] = []
-    for t, n in enumerate(live.tolist()):
-        e = model.emit[ids[starts[:n] + t]]
-        a = (alphas[-1][:n] @ model.move if t else np.repeat(model.start[None], n, 0)) * e
-        scale = a.sum(1, keepdims=True)
-        a /= scale
-        e /= scale
-        alphas.append(a)
-        emits.append(e)
-    beta = np.ones((len(sizes), k))
-    moves = np.zeros((k, k))
-    gammas = np.empty((len(ids), k))
-    for t in range(len(alphas) - 1, -1, -1):
-        n = live[t]
-        if t + 1 < len(alphas):
-            m = live[t + 1]
-            ahead = emits[t + 1] * beta[:m]
-            moves += alphas[t][:m].T @ ahead
-            beta[:m] = ahead @ model.move.T
-        gamma = alphas[t] * beta[:n]
-        gamma /= gamma.sum(1, keepdims=True)
-        gammas[starts[:n] + t] = gamma
-        first = gamma if t == 0 else None
-    emission = np.stack([np.bincount(ids, gammas[:, s], len(model.emit)) for s in range(k)], 1)
-    return first.sum(0), moves * model.move, emission
-
-
-def _runs(sizes: np.ndarray, most: int) -> np.ndarray:
-    """Sizes after cutting each into runs of at most ``most``."""
-    n = -(-sizes // most)
-    out = np.full(n.sum(), most, np.int64)
-    out[np.cumsum(n) - 1] = sizes - (n - 1) * most
-    return out
+    begins, goes_on = np.zeros(len(runs.size), bool), np.ones(len(runs.size), bool)
+    begins[runs.first], goes_on[runs.last] = True, False
+    start, moves, emission = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(model.emit)))
+    for lanes, live in runs.lanes(np.arange(len(runs.size))):
+        starts, ends = runs.start[lanes], runs.size[lanes] - 1
+        alphas: list[np.ndarray] = []
+        emits: list[np.ndarray] = []
+        for t, n in enumerate(live.tolist()):
+            e = model.emit[ids[starts[:n] + t]]
+            a = (alphas[-1][:n] @ model.move if t else before[lanes]) * e
+            scale = a.sum(1, keepdims=True)
+            a /= scale
+            e /= scale
+            alphas.append(a)
+            emits.append(e)
+        last = np.empty((len(lanes), k))
+        for t in np.unique(ends).tolist():
+            last[ends == t] = alphas[t][np.flatnonzero(ends == t)]
+        # weights of the last states, by which forward and backward states add up to 1
+        beta = after[lanes] @ model.move.T
+        total = (last * beta).sum(1, keepdims=True)
+        beta /= total
+        over = goes_on[lanes]
+        moves += last[over].T @ (after[lanes] / total)[over]
+        for t in range(len(alphas) - 1, -1, -1):
+            n = live[t]
+            if t + 1 < len(alphas):
+                m = live[t + 1]
+                ahead = emits[t + 1] * beta[:m]
+                moves += alphas[t][:m].T @ ahead
+                beta[:m] = ahead @ model.move.T
+            alphas[t] *= beta[:n]
+            alphas[t] /= alphas[t].sum(1, keepdims=True)
+        start += alphas[0][begins[lanes]].sum(0)
+        gammas = np.concatenate(alphas)
+        seen = np.concatenate([ids[starts[:n] + t] for t, n in enumerate(live.tolist())])
+        for s in range(k):
+            emission[s] += np.bincount(seen, gammas[:, s], len(model.emit))
+    return start, moves * model.move, emission.T
 
 
 def _sequences(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -284,7 +361,7 @@ def baum_welch(sequences: DataFrame, classes: Classes, states: int = STATES, rou
             m = shared.value
             start, moves, emission = np.zeros(states), np.zeros((states, states)), np.zeros(m.emit.shape)
             for _, ids, sizes in _sequences(batches, 0):
-                for total, part in zip((start, moves, emission), expected_counts(m, ids, _runs(sizes, RUN)), strict=True):
+                for total, part in zip((start, moves, emission), expected_counts(m, ids, sizes), strict=True):
                     total += part
             table = np.rint(np.concatenate([moves[::-1], start[None], emission]) * FIXED).astype(np.int64)
             at = np.arange(-1 - states, len(emission), dtype=np.int32)

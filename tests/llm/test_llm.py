@@ -233,7 +233,9 @@ def test_undetermined_texts(odd):
 # --- op3 language model
 
 
-def test_forward_is_the_sum_over_all_paths():
+@pytest.mark.parametrize("run", [1, 2, 512])
+def test_forward_is_the_sum_over_all_paths(monkeypatch, run):
+    monkeypatch.setattr(hmm, "RUN", run)
     rng = np.random.RandomState(0)
     m = hmm.Model(rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3).T)
     for n in (1, 2, 5):
@@ -247,7 +249,10 @@ def test_forward_is_the_sum_over_all_paths():
         assert np.isclose(hmm.forward_log10(m, ids, np.array([n]))[0], log10(total))
 
 
-def test_expected_counts_are_the_posteriors_and_raise_the_likelihood():
+@pytest.mark.parametrize(("run", "batch"), [(512, 1 << 19), (1, 2), (2, 3), (3, 100)])
+def test_expected_counts_are_the_posteriors_and_raise_the_likelihood(monkeypatch, run, batch):
+    monkeypatch.setattr(hmm, "RUN", run)
+    monkeypatch.setattr(hmm, "BATCH_TOKENS", batch)
     rng = np.random.RandomState(1)
     m = hmm.Model(rng.dirichlet([1] * 2), rng.dirichlet([1] * 2, 2), rng.dirichlet([1] * 4, 2).T)
     sizes = np.array([3, 1, 4])
@@ -287,11 +292,44 @@ def test_language_model_scores(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_word_probabilities_sum_to_one():
-    """Within a shared class, known words and one unknown share the whole."""
-    counts = {b"a": 3, b"b": 1, b"c": 1}
-    total, types = sum(counts.values()), len(counts)
-    assert np.isclose(sum((c + 1) / (total + types + 1) for c in counts.values()) + 1 / (total + types + 1), 1)
+
+def test_scores_by_hand(spark, monkeypatch):
+    """Scores from the trained states and the words' own counts, a token at a time."""
+    rng = random.Random(8)
+    for name, value in (("HEAVY", 64), ("OWN", 24)):
+        monkeypatch.setattr(hmm, name, value)
+    kept = {}
+    train = hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda *a: kept.setdefault("model", train(*a)))
+    learn = hmm.learn_classes
+    monkeypatch.setattr(hmm, "learn_classes", lambda c: kept.setdefault("classes", learn(c)))
+    vocab = [f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(400)]
+    rows = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 40)))) for k in range(30)] + [(30, None), (31, "never seen words"), (32, " ".join(vocab * 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r for r in hmm.language_model_scores(docs, F.col("doc_id") % 4 != 0, states=3, rounds=2).collect()}
+    model, classes = kept["model"], kept["classes"]
+    counts = collections.Counter(w for k, t in rows if k % 4 for w in hmm.words_of(t))
+    members = collections.defaultdict(list)
+    for w in counts:
+        members[classes.class_of(w)].append(w)
+
+    def share(word):
+        k = classes.class_of(word)
+        if k < classes.own:
+            return 1.0
+        return (counts[word] + 1) / (sum(counts[w] for w in members[k]) + len(members[k]) + 1)
+
+    for k, own in members.items():
+        unknown = 0 if k < classes.own else share(next(w for w in (b"no%d" % j for j in range(999)) if classes.class_of(w) == k))
+        assert np.isclose(sum(map(share, own)) + unknown, 1)
+    assert len(members) > classes.own > 2
+    for k, text in rows:
+        expected, log = model.start, 0.0
+        for w in hmm.words_of(text):
+            here = expected * model.emit[classes.class_of(w)] * share(w)
+            log += log10(here.sum())
+            expected = here / here.sum() @ model.move
+        assert np.isclose(got[k].score, log, rtol=1e-9)
 
 
 # --- op1 decontamination
