@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
 
@@ -28,8 +30,7 @@ def best_first(k: int, by: str = "query_id", score: str = "score", tie: str = "d
     return cut
 
 
-def _units(rows: list) -> np.ndarray:
-    m = np.array(rows, np.float64)
+def _units(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-9)
 
 
@@ -38,11 +39,13 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: boo
 
     corpus: doc_id, embedding. queries: query_id, embedding. Each Arrow batch is multiplied
     with a block of queries and gives its own k best, so what is shuffled is k rows per query
-    and batch, never a row per pair. Null vectors and those of another size are left out.
+    and batch, never a row per pair. Ids are of any type; those of the corpus are distinct.
+    Null ids, null vectors and those of another size or with a null in them are left out.
     """
     spark = corpus.sparkSession
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", corpus.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
     out = spark.createDataFrame([], schema)
+    query_type = to_arrow_type(queries.schema["query_id"].dataType)
     block: list = []
 
     def passed(rows: list) -> DataFrame:
@@ -50,22 +53,33 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: boo
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, vectors = shared.value
-            q = _units(vectors)
+            q = _units(np.array(vectors, np.float64))
+            asking = pa.array(names, query_type)
             for batch in batches:
-                found = batch.column(1).to_pylist()
-                ids = batch.column(0).to_pylist()
-                kept = [i for i, v in enumerate(found) if v is not None and len(v) == q.shape[1] and ids[i] is not None]
-                if not kept:
+                ids, found = batch.columns
+                fits = pc.and_(ids.is_valid(), pc.fill_null(pc.equal(pc.list_value_length(found), q.shape[1]), False))
+                ids, found = ids.filter(fits), found.filter(fits)
+                m = np.asarray(pc.list_flatten(found).to_numpy(zero_copy_only=False), np.float64).reshape(-1, q.shape[1])
+                whole = np.isfinite(m).all(1)
+                ids, m = ids.filter(pa.array(whole)), m[whole]
+                if not len(ids):
                     continue
-                ids = [ids[i] for i in kept]
-                s = np.round(np.clip(_units([found[i] for i in kept]) @ q.T, -1, 1), decimals)
-                cells: list[tuple] = []
+                s = np.round(np.clip(_units(m) @ q.T, -1, 1), decimals)
+                place = {d: i for i, d in enumerate(ids.to_pylist())}
                 for j, name in enumerate(names):
-                    most = min(len(ids), k + exclude_self)
-                    edge = np.partition(s[:, j], len(ids) - most)[len(ids) - most]
-                    near = sorted(((-s[i, j], ids[i]) for i in np.flatnonzero(s[:, j] >= edge) if not (exclude_self and ids[i] == name)))
-                    cells += [(name, d, -x) for x, d in near[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array([c[n] for c in cells], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], schema.names)
+                    if exclude_self and name in place:
+                        s[place[name], j] = -2
+                most = min(len(ids), k)
+                edges = np.partition(s, len(ids) - most, axis=0)[len(ids) - most]
+                owners, rows = [], []
+                for j in range(len(names)):
+                    best = np.flatnonzero((s[:, j] >= edges[j]) & (s[:, j] >= -1))
+                    if len(best) > most:
+                        best = np.array(sorted(best.tolist(), key=lambda i, j=j: (-s[i, j], ids[i].as_py()))[:most])
+                    owners.append(np.full(len(best), j))
+                    rows.append(best)
+                owners, rows = np.concatenate(owners), np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([asking.take(pa.array(owners)), ids.take(pa.array(rows)), pa.array(s[rows, owners])], schema.names)
 
         return corpus.select("doc_id", "embedding").mapInArrow(score, schema)
 
@@ -92,7 +106,9 @@ def fulltext_scores(queries: DataFrame, docs: DataFrame, weights: dict[str, floa
     adaptive execution splits the tokens that very many documents hold.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    fields = [docs.select("doc_id", F.explode(tokens(F.col(f))).alias("token"), F.lit(float(w)).alias("w")) for f, w in weights.items()]
+    wanted = asked.select("token").distinct()
+    # tokens that nobody asks for are left out before they are counted
+    fields = [docs.select("doc_id", F.explode(tokens(F.col(f))).alias("token"), F.lit(float(w)).alias("w")).join(wanted, "token", "left_semi") for f, w in weights.items()]
     counted = fields[0]
     for other in fields[1:]:
         counted = counted.unionByName(other)
@@ -101,6 +117,19 @@ def fulltext_scores(queries: DataFrame, docs: DataFrame, weights: dict[str, floa
     return counted.join(asked, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), DECIMALS).alias("score")).transform(best_first(k))
 
 
+def term_matches(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, average: float = 2000.0) -> DataFrame:
+    """query_id, doc_id, bm25, matched: each pair that shares a token, its term-frequency relevance and its number of shared distinct tokens.
+
+    queries: query_id, q; docs: doc_id, d (token arrays, distinct ids). Tokens that nobody asks
+    for never leave their task, and the others are counted per document before they are joined.
+    """
+    asked = queries.select("query_id", F.explode("q").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("wanted"))
+    held = docs.select("doc_id", F.size("d").alias("length"), F.explode("d").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    held = held.groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
+    return held.join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("wanted") * part).alias("bm25"), F.count(F.lit(1)).alias("matched"))
+
+
 def restricted(rows: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in the caller's list, compared without case."""
     names = allowed.select(F.lower(key).alias("__k")).distinct()

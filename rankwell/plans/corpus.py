@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..operators import changes, documents, graph, lexicon
 from ..operators.documents import DocumentConfig
-from ..operators.search import fulltext_scores
+from ..operators.search import fulltext_scores, term_matches
 from ..sources.tables import html_text, table
+from .retrieval import EVERY
 
 
 def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
 
 
-def _items(spark, sf):
-    """Benchmark items as queries."""
-    return table(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
+def _items(spark, sf, every: int = EVERY):
+    """Benchmark items as queries of a search: those whose id ``every`` divides."""
+    return table(spark, sf, "benchmark").where(F.col("item_id") % every == 0).select(F.col("item_id").alias("query_id"), "text")
 
 
 def _title(c: str = "text"):
@@ -31,11 +32,11 @@ def doc_tokens_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"), F.round(F.log1p(F.length("text")), 6).alias("log_length"))
 
 
-def _pairs(spark, sf, extra=None):
-    """Queries with the documents of one source and language: equi-joined, so no pair is made that is not asked for."""
-    q = _items(spark, sf).select("query_id", text.tokens(F.col("text")).alias("q"), F.concat(F.lit("src"), F.col("query_id").cast("string")).alias("source"))
-    d = _docs(spark, sf).where("lang = 'en'").select("doc_id", "source", text.tokens(_title()).alias("title"), text.tokens(F.col("text")).alias("d"))
-    return d.join(q, "source")
+def _pairs(spark, sf):
+    """Queries with all documents that hold one of their tokens: joined on tokens, so no other pair is made."""
+    q = _items(spark, sf).select("query_id", text.tokens(F.col("text")).alias("q"))
+    d = _docs(spark, sf).select("doc_id", "source", text.tokens(_title()).alias("title"), text.tokens(F.col("text")).alias("d"))
+    return term_matches(q, d.select("doc_id", "d")).join(d, "doc_id").join(q, "query_id")
 
 
 def title_jaccard(spark, sf):
@@ -43,20 +44,20 @@ def title_jaccard(spark, sf):
 
 
 def term_coverage(spark, sf):
-    return _pairs(spark, sf).select("query_id", "doc_id", F.round(text.coverage(F.col("q"), F.col("d")), 6).alias("coverage"))
+    return _pairs(spark, sf).select("query_id", "doc_id", F.round(F.col("matched") / F.size(F.array_distinct("q")), 6).alias("coverage"))
 
 
 def bm25_score(spark, sf):
-    return _pairs(spark, sf).select("query_id", "doc_id", F.round(text.bm25(F.col("q"), F.col("d")), 6).alias("score"))
+    return _pairs(spark, sf).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
 
 
 def features(spark, sf):
     """The numeric part of the feature vector that needs only query, document and candidates."""
-    rows = _pairs(spark, sf).select("query_id", "doc_id", "q", "d", "title", text.bm25(F.col("q"), F.col("d")).alias("bm25"))
+    rows = _pairs(spark, sf).select("query_id", "doc_id", "q", F.size("d").alias("length"), "title", "bm25", "matched")
     top = F.max("bm25").over(Window.partitionBy("query_id"))
     return rows.select(
-        "query_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round(text.jaccard(F.col("q"), F.col("title")), 6).alias("title_jaccard"), F.round(text.coverage(F.col("q"), F.col("d")), 6).alias("coverage"),
-        F.round(F.log1p(F.size("d")), 6).alias("log_tokens"), F.round(top - F.col("bm25"), 6).alias("gap_from_top"), F.size(F.array_distinct("q")).cast("long").alias("query_terms"),
+        "query_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round(text.jaccard(F.col("q"), F.col("title")), 6).alias("title_jaccard"), F.round(F.col("matched") / F.size(F.array_distinct("q")), 6).alias("coverage"),
+        F.round(F.log1p("length"), 6).alias("log_tokens"), F.round(top - F.col("bm25"), 6).alias("gap_from_top"), F.size(F.array_distinct("q")).cast("long").alias("query_terms"),
     )
 
 
@@ -69,7 +70,7 @@ def keyword_matches(spark, sf):
     """Dictionary: distinct first two words of part names; queries: part names."""
     parts = table(spark, sf, "part")
     terms = parts.select(F.array_join(F.slice(F.split("p_name", " "), 1, 2), " ").alias("term")).distinct()
-    q = parts.where("p_partkey < 50").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
+    q = parts.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
     return lexicon.word_matches(q, terms)
 
 
@@ -89,7 +90,7 @@ def dictionary_scan(spark, sf):
 
 
 def clean_queries(spark, sf):
-    return _items(spark, sf).select("query_id", lexicon.cleaned_query(F.col("text")).alias("cleaned"), text.normalised(F.col("text")).alias("normalised"), text.truncated(F.col("text"), 5).alias("short"))
+    return _items(spark, sf, 1).select("query_id", lexicon.cleaned_query(F.col("text")).alias("cleaned"), text.normalised(F.col("text")).alias("normalised"), text.truncated(F.col("text"), 5).alias("short"))
 
 
 def _numbered(spark, sf):
@@ -158,7 +159,7 @@ def _order_children(spark, sf):
 
 
 def children_wrap(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 3 <> 0").join(_order_children(spark, sf), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    o = table(spark, sf, "orders").join(_order_children(spark, sf), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     kids = documents.wrapped_children(F.transform("children", lambda c: F.struct(c["title"].alias("title"), c["text"].alias("text"))), F.col("o_orderpriority"), F.col("o_orderstatus"))
     return o.select("o_orderkey", F.size(kids).cast("long").alias("n"), F.get(kids, F.lit(0))["title"].alias("first_title"))
 
@@ -305,8 +306,8 @@ def cases_to_documents(spark, sf):
 
 def enriched_results(spark, sf):
     """Cached results by id, else by title."""
-    res = table(spark, sf, "part").where("p_partkey < 300").select((F.col("p_partkey") * 2).alias("rid"), F.col("p_type").alias("rtitle"), F.col("p_partkey").alias("ord"))
-    docs = table(spark, sf, "part").where("p_partkey < 400").select("p_partkey", "p_type", "p_brand")
+    res = table(spark, sf, "part").select((F.col("p_partkey") * 2).alias("rid"), F.col("p_type").alias("rtitle"), F.col("p_partkey").alias("ord"))
+    docs = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
     titles = docs.groupBy("p_type").agg(F.min_by("p_brand", "p_partkey").alias("by_title"))
     j = res.join(docs.select(F.col("p_partkey").alias("rid"), F.col("p_brand").alias("by_id")), "rid", "left").join(titles, F.col("rtitle") == F.col("p_type"), "left")
     return j.select("ord", F.coalesce("by_id", "by_title").alias("brand"))
@@ -381,9 +382,9 @@ def _strip(x: str) -> str:
     return _STRIP.format(x)
 
 
-_PAIRS = f"""q AS (SELECT item_id AS query_id, {_tok('text')} AS q, 'src' || item_id AS source FROM benchmark WHERE item_id < 10),
- d AS (SELECT doc_id, source, {_tok("split_part(text, chr(10), 1)")} AS title, {_tok('text')} AS d FROM documents WHERE lang = 'en'),
- p AS (SELECT query_id, doc_id, q, title, d FROM d JOIN q USING (source))"""
+_PAIRS = f"""q AS (SELECT item_id AS query_id, {_tok('text')} AS q FROM benchmark WHERE item_id % {EVERY} = 0),
+ d AS (SELECT doc_id, source, {_tok("split_part(text, chr(10), 1)")} AS title, {_tok('text')} AS d FROM documents),
+ p AS (SELECT query_id, doc_id, q, title, d FROM d, q WHERE list_has_any(q, d))"""
 _BM25 = "CASE WHEN len(q) = 0 OR len(d) = 0 THEN 0 ELSE list_sum(list_transform(q, lambda t: (len(list_filter(d, lambda x: x = t)) * 2.5::DOUBLE) / (len(list_filter(d, lambda x: x = t)) + 1.5::DOUBLE * (0.25 + 0.75 * len(d) / 2000.0::DOUBLE)))) END"
 _JAC = "CASE WHEN len(q) = 0 OR len(title) = 0 THEN 0 ELSE len(list_intersect(q, title)) / len(list_distinct(q || title))::DOUBLE END"
 _COV = "CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, d)) / len(list_distinct(q))::DOUBLE END"
@@ -406,16 +407,16 @@ ORACLE_SQL = {
     "bm25_score": f"WITH {_PAIRS} SELECT query_id, doc_id, round({_BM25}, 6) AS score FROM p",
     "features": f"WITH {_PAIRS}, b AS (SELECT *, {_BM25} AS bm FROM p) SELECT query_id, doc_id, round(bm, 6) AS bm25, round({_JAC}, 6) AS title_jaccard, round({_COV}, 6) AS coverage, round(ln(1 + len(d)), 6) AS log_tokens, round(max(bm) OVER (PARTITION BY query_id) - bm, 6) AS gap_from_top, len(list_distinct(q)) AS query_terms FROM b",
     "fulltext_search": f"""WITH f AS (SELECT doc_id, unnest({_tok("split_part(text, chr(10), 1)")}) AS token, 3.0::DOUBLE AS w FROM documents UNION ALL SELECT doc_id, unnest({_tok('text')}), 0.5 FROM documents),
-        c AS (SELECT doc_id, token, sum(w) AS w FROM f GROUP BY ALL), q AS (SELECT item_id AS query_id, unnest(list_distinct({_tok('text')})) AS token FROM benchmark WHERE item_id < 10),
+        c AS (SELECT doc_id, token, sum(w) AS w FROM f GROUP BY ALL), q AS (SELECT item_id AS query_id, unnest(list_distinct({_tok('text')})) AS token FROM benchmark WHERE item_id % {EVERY} = 0),
         s AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM c JOIN q USING (token) GROUP BY 1, 2)
         SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS ord FROM s) WHERE ord <= 10""",
     "keyword_matches": f"""WITH t AS (SELECT DISTINCT array_to_string(string_split(p_name, ' ')[1:2], ' ') AS term FROM part),
-        r AS (SELECT term, ' ' || array_to_string({_tok('term')}, ' ') || ' ' AS run FROM t), q AS (SELECT p_partkey AS query_id, ' ' || array_to_string({_tok('p_name')}, ' ') || ' ' AS x FROM part WHERE p_partkey < 50)
+        r AS (SELECT term, ' ' || array_to_string({_tok('term')}, ' ') || ' ' AS run FROM t), q AS (SELECT p_partkey AS query_id, ' ' || array_to_string({_tok('p_name')}, ' ') || ' ' AS x FROM part)
         SELECT DISTINCT query_id, term FROM q, r WHERE contains(x, run) AND run <> '  '""",
     "match_kinds": f"SELECT p_partkey, CASE WHEN lower(p_name) = lower(p_type) THEN 2 WHEN contains(lower(p_name), lower(p_type)) OR contains(lower(p_type), lower(p_name)) OR list_has_any({_tok('p_name')}, {_tok('p_type')}) THEN 1 ELSE 0 END AS by_type, 2 AS by_brand FROM part",
     "alias_pairs": "SELECT DISTINCT lower(trim(p_brand)) AS title, lower(trim(CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE upper(p_brand) END)) AS alias FROM part WHERE lower(trim(CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE upper(p_brand) END)) <> lower(trim(p_brand))",
     "dictionary_scan": "SELECT p_brand, count(DISTINCT p_size) AS n, array_to_string(list_sort(list(DISTINCT p_size)), ',') AS sections FROM part GROUP BY 1",
-    "clean_queries": f"SELECT item_id AS query_id, array_to_string(list_filter({_tok('text')}, lambda w: NOT list_contains({_STOP_SQL}, w)), ' ') AS cleaned, regexp_replace(lower({_strip('text')}), '\\s+', ' ', 'g') AS normalised, array_to_string(regexp_split_to_array({_strip('text')}, '\\s+')[1:5], ' ') AS short FROM benchmark WHERE item_id < 10",
+    "clean_queries": f"SELECT item_id AS query_id, array_to_string(list_filter({_tok('text')}, lambda w: NOT list_contains({_STOP_SQL}, w)), ' ') AS cleaned, regexp_replace(lower({_strip('text')}), '\\s+', ' ', 'g') AS normalised, array_to_string(regexp_split_to_array({_strip('text')}, '\\s+')[1:5], ' ') AS short FROM benchmark",
     "amendment_titles": "SELECT c_custkey, c_custkey || (CASE WHEN c_custkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN c_custkey % 10 = 1 THEN 'st' WHEN c_custkey % 10 = 2 THEN 'nd' WHEN c_custkey % 10 = 3 THEN 'rd' ELSE 'th' END) || ' Amendment Section ' || c_nationkey AS title FROM customer",
     "articles_and_sections": "SELECT c_custkey, 'Article ' || ['" + "', '".join(text.to_roman(k) for k in range(1, 51)) + "'][c_nationkey + 1] AS article, CAST(c_custkey AS INT) AS section FROM customer",
     "ordinal_typos": "SELECT c_custkey, c_custkey || (CASE WHEN c_custkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN c_custkey % 10 = 1 THEN 'st' WHEN c_custkey % 10 = 2 THEN 'nd' WHEN c_custkey % 10 = 3 THEN 'rd' ELSE 'th' END) || ' item' AS fixed FROM customer",
@@ -432,7 +433,7 @@ ORACLE_SQL = {
         SELECT id, title, content, 2 AS depth, path, concat_ws(' ', nullif(title, ''), h, nullif(content, '')) AS embed_text, CASE WHEN title = '' AND content = '' THEN 'skipped' ELSE 'ok' END AS status FROM c""",
     "ingest_summary": "SELECT CASE WHEN c_custkey % 10 = 0 THEN 'skipped' ELSE 'ok' END AS status, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     "children_wrap": """WITH k AS (SELECT l_orderkey, count(*) AS n, arg_min(l_returnflag, (l_linenumber, l_returnflag)) AS t FROM lineitem GROUP BY 1)
-        SELECT o_orderkey, coalesce(n, 1) AS n, coalesce(t, o_orderstatus) AS first_title FROM orders LEFT JOIN k ON o_orderkey = l_orderkey WHERE o_orderkey % 3 <> 0""",
+        SELECT o_orderkey, coalesce(n, 1) AS n, coalesce(t, o_orderstatus) AS first_title FROM orders LEFT JOIN k ON o_orderkey = l_orderkey""",
     "full_texts": """WITH k AS (SELECT l_orderkey, string_agg(strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'), ' ' ORDER BY l_linenumber, l_returnflag, l_shipdate) AS t FROM lineitem GROUP BY 1)
         SELECT o_orderkey, concat_ws(' ', o_orderpriority, t) AS full_text FROM orders LEFT JOIN k ON o_orderkey = l_orderkey""",
     "sections_grouped": "SELECT l_suppkey, l_returnflag, count(*) AS n, array_to_string(list_sort(list(DISTINCT l_partkey))[1:5], ',') AS first_parts FROM lineitem GROUP BY 1, 2",
@@ -465,7 +466,7 @@ ORACLE_SQL = {
     "usage_counts": "SELECT user_id, count(*) FILTER (event_type = 'view') AS hits, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS last_at, count(*) FILTER (event_type = 'view') + 1 AS calls FROM events GROUP BY 1",
     "insert_if_absent": "SELECT p_type, p_partkey FROM part WHERE p_partkey % 50 = 0 AND p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 50 = 1)",
     "cases_to_documents": "SELECT l_partkey, round(least(1.0::DOUBLE, max(o_totalprice / 500000.0::DOUBLE)), 6) AS score, count(DISTINCT o_orderkey) AS cases FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
-    "enriched_results": """WITH r AS (SELECT p_partkey * 2 AS rid, p_type AS rtitle, p_partkey AS ord FROM part WHERE p_partkey < 300), d AS (SELECT * FROM part WHERE p_partkey < 400), t AS (SELECT p_type, arg_min(p_brand, p_partkey) AS b FROM d GROUP BY 1)
+    "enriched_results": """WITH r AS (SELECT p_partkey * 2 AS rid, p_type AS rtitle, p_partkey AS ord FROM part), d AS (SELECT * FROM part), t AS (SELECT p_type, arg_min(p_brand, p_partkey) AS b FROM d GROUP BY 1)
         SELECT ord, coalesce(d.p_brand, t.b) AS brand FROM r LEFT JOIN d ON rid = d.p_partkey LEFT JOIN t ON rtitle = t.p_type""",
     "sampled_negatives": "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY (p_partkey * 7919) % 10007, p_partkey) AS n FROM part) WHERE n <= 3",
     "pii_scrub": f"SELECT doc_id, trim(regexp_replace({_PII}, '[ \\t]{{2,}}', ' ', 'g')) AS scrubbed FROM documents",

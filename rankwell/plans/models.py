@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import pipeline, reranker, slots, triage
 from ..sources.tables import table
 from ..streaming import events as streams
-from .retrieval import _SCORES, LIMITS, N_QUERIES, _queries, _vectors
+from .retrieval import _SCORES, EVERY, LIMITS, _queries, _vectors
 
 _FEATURES = ["log_chars", "lines", "letters", "digits"]
 
@@ -31,9 +31,9 @@ def pipeline_run(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pipeline_cached(spark, sf):
-    """Even queries are answered by the cache, as stored."""
+    """Every second query is answered by the cache, as stored."""
     b = _batch(spark, sf)
-    cache = b.where("query_id % 2 = 0").select(F.upper("text").alias("query"), (F.col("query_id") + 1000).alias("doc_id"), F.lit(1.0).alias("score"), F.lit(1).alias("ord"))
+    cache = b.where(F.col("query_id") % (2 * EVERY) == 0).select(F.upper("text").alias("query"), (F.col("query_id") + 1000).alias("doc_id"), F.lit(1.0).alias("score"), F.lit(1).alias("ord"))
     return pipeline.run(b, _vectors(spark, sf), LIMITS, cache=cache, max_rephrase=0)
 
 
@@ -67,14 +67,14 @@ def reranker_metrics(spark, sf):
 
 
 def hash_embed(spark, sf):
-    q = table(spark, sf, "benchmark").where("item_id < 20")
+    q = table(spark, sf, "benchmark")
     out = slots.with_slot(q, "text", slots.hash_embedding, "array<double>", "embedding")
     return out.select("item_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
 
 
 def llm_verify_slot(spark, sf):
     """A judge that scores by length, and fails on empty batches."""
-    q = table(spark, sf, "benchmark").where("item_id < 20")
+    q = table(spark, sf, "benchmark")
     return slots.with_slot(q, "text", lambda ts: [f"Score: {len(t) % 10}" for t in ts], "string", "answer").select("item_id", "answer")
 
 
@@ -98,14 +98,14 @@ ORACLE_SQL = {
     "pipeline_run": f"""WITH {_SCORES}, {_FIVE}, z AS (SELECT *, {_Z} AS zone FROM c5), r AS (SELECT query_id, doc_id, ord, score FROM z WHERE zone = 'accepted' UNION ALL
         SELECT * FROM (SELECT query_id, doc_id, ord, least(score * (0.5::DOUBLE + (doc_id % 10) / 9.0::DOUBLE), 1.0::DOUBLE) AS score FROM z WHERE zone = 'needs_review') WHERE score >= {LIMITS.accept}), {_CUT}
         SELECT query_id, doc_id, score, rank, 0 AS attempt FROM o WHERE rank <= {LIMITS.top_k}""",
-    "pipeline_cached": f"""WITH {_SCORES}, {_FIVE}, r AS (SELECT query_id, doc_id, ord, score FROM c5 WHERE score >= {LIMITS.verify} AND query_id % 2 = 1), {_CUT}
-        SELECT query_id, doc_id, score, rank, 0 AS attempt FROM o WHERE rank <= {LIMITS.top_k} UNION ALL SELECT vec_id, vec_id + 1000, 1.0::DOUBLE, 1, -1 FROM embeddings WHERE vec_id < {N_QUERIES} AND vec_id % 2 = 0""",
+    "pipeline_cached": f"""WITH {_SCORES}, {_FIVE}, r AS (SELECT query_id, doc_id, ord, score FROM c5 WHERE score >= {LIMITS.verify} AND query_id % {2 * EVERY} <> 0), {_CUT}
+        SELECT query_id, doc_id, score, rank, 0 AS attempt FROM o WHERE rank <= {LIMITS.top_k} UNION ALL SELECT vec_id, vec_id + 1000, 1.0::DOUBLE, 1, -1 FROM embeddings WHERE vec_id % {2 * EVERY} = 0""",
     "light_path": f"""WITH {_SCORES}, t AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM pairs) WHERE n <= 40 AND score >= 0.2)
         SELECT query_id, doc_id, score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM t) WHERE round(top - score, 9) <= 0.1""",
     "insights": "SELECT item_id, concat_ws(' ', 'Item ' || item_id || ':', substring(text, 1, 300), 'A, B, C') AS insight FROM benchmark",
     "streaming_usage": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, user_id, count(*) AS hits, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
-    "llm_verify_slot": "SELECT item_id, 'Score: ' || (length(text) % 10) AS answer FROM benchmark WHERE item_id < 20",
-    "hash_embed": "SELECT item_id, 384 AS size, 1.0::DOUBLE AS norm FROM benchmark WHERE item_id < 20",
+    "llm_verify_slot": "SELECT item_id, 'Score: ' || (length(text) % 10) AS answer FROM benchmark",
+    "hash_embed": "SELECT item_id, 384 AS size, 1.0::DOUBLE AS norm FROM benchmark",
 }
 _NO_SQL = ("mlp_rerank", "reranker_metrics")
 QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *_NO_SQL)}

@@ -11,8 +11,8 @@ from ..operators import evaluation as ev
 from ..operators import search, triage
 from ..sources.tables import table
 
-#: Query vectors are the first vectors of the table.
-N_QUERIES = 20
+#: Query vectors are those whose id this divides, so their number grows with the table.
+EVERY = 50
 LIMITS = triage.Thresholds(low=0.15, verify=0.20, accept=0.30, gap=0.20, top_k=5)
 
 
@@ -21,7 +21,7 @@ def _vectors(spark, sf):
 
 
 def _queries(spark, sf):
-    return _vectors(spark, sf).where(F.col("doc_id") < N_QUERIES).select(F.col("doc_id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
+    return _vectors(spark, sf).where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
 
 
 def candidates(spark, sf, k: int = 10) -> DataFrame:
@@ -206,7 +206,7 @@ def cache_hit_rate(spark, sf):
     return per.withColumn("hit_rate", F.round(F.try_divide("hits", "queries"), 6))
 
 
-_SCORES = f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe, label AS query_label FROM embeddings WHERE vec_id < {N_QUERIES}),
+_SCORES = f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe, label AS query_label FROM embeddings WHERE vec_id % {EVERY} = 0),
  pairs AS (SELECT query_id, vec_id AS doc_id, label, query_label, round(list_cosine_similarity(qe, embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE vec_id <> query_id),
  c AS (SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS ord FROM pairs) WHERE ord <= 10)"""
 _KEYWORD = "k AS (SELECT query_id, doc_id FROM pairs WHERE doc_id % 7 = 0 AND label = query_label)"

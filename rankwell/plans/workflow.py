@@ -10,7 +10,7 @@ from ..functions.vectors import cosine
 from ..operators import changes, lexicon, reranker, search, slots, triage
 from ..sources.tables import table
 from .corpus import _BM25, _COV, _JAC, _PAIRS, _docs, _pairs
-from .retrieval import _KEYWORD, _SCORES, _keyword, _queries, _vectors, candidates
+from .retrieval import _KEYWORD, _SCORES, EVERY, _keyword, _queries, _vectors, candidates
 
 
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +33,7 @@ def previews(spark, sf):
 
 def title_lookup(spark, sf):
     """Wanted titles in the caller's order, the newest part of each."""
-    wanted = table(spark, sf, "part").where("p_partkey < 30").select(F.upper("p_type").alias("title"), F.col("p_partkey").alias("ord"))
+    wanted = table(spark, sf, "part").select(F.upper("p_type").alias("title"), F.col("p_partkey").alias("ord"))
     return search.lookup_newest(table(spark, sf, "part"), wanted, "p_type", "p_partkey").select("p_type", "p_partkey", "ord")
 
 
@@ -67,8 +67,8 @@ def feature_merge(spark, sf):
 
 
 def cached_query_match(spark, sf):
-    """The most similar stored query of at least 0.2, for each query."""
-    stored = _vectors(spark, sf).where("doc_id BETWEEN 20 AND 119")
+    """The most similar stored query of at least 0.2, for each query; all vectors that do not ask are stored."""
+    stored = _vectors(spark, sf).where(F.col("doc_id") % EVERY != 0)
     return search.vector_topk(stored, _queries(spark, sf), 1).where("score >= 0.2").select("query_id", F.col("doc_id").alias("cached_id"), "score")
 
 
@@ -106,8 +106,8 @@ def faithfulness(spark, sf):
 
 
 def alias_hits(spark, sf):
-    """Aliases (stored vectors) near a query, best first, by cosine of at least 0.25."""
-    a = _vectors(spark, sf).where("doc_id BETWEEN 100 AND 199")
+    """The 100 best aliases (all vectors that do not ask) of a query with a cosine of at least 0.25."""
+    a = _vectors(spark, sf).where(F.col("doc_id") % EVERY != 0)
     return search.vector_topk(a, _queries(spark, sf), 100).where("score >= 0.25").select("query_id", "doc_id", "score")
 
 
@@ -120,7 +120,7 @@ def self_similarity(spark, sf):
 
 def features15(spark, sf):
     """All fifteen features of query and document, in their fixed order."""
-    rows = _pairs(spark, sf).select("query_id", "doc_id", "source", "q", "d", "title", text.bm25(F.col("q"), F.col("d")).alias("bm25"))
+    rows = _pairs(spark, sf).select("query_id", "doc_id", "source", "q", "d", "title", "bm25", "matched")
     v = _vectors(spark, sf).select("doc_id", "embedding")
     rows = rows.join(v, "doc_id", "left").join(v.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qe")), "query_id", "left")
     w = Window.partitionBy("query_id")
@@ -132,13 +132,13 @@ def features15(spark, sf):
         "query_id", "doc_id", F.col("semantic").alias("semantic_score"), F.round("bm25", 6).alias("bm25_score"), exact.alias("alias_match"), exact.alias("keyword_match"), F.lit(0.0).alias("domain_bias"),
         F.round(F.log1p(F.length(F.array_join("d", " "))), 6).alias("document_length"), F.size(F.array_distinct("q")).cast("long").alias("query_length"), F.lit(2).alias("section_depth"),
         F.round(cosine(F.col("qe"), F.col("embedding")), 6).alias("embedding_cosine"), kind.alias("match_type"), F.round(F.max("semantic").over(w) - F.col("semantic"), 6).alias("score_gap"),
-        F.round(text.coverage(F.col("q"), F.col("d")), 6).alias("term_coverage"), F.round(text.jaccard(F.col("q"), F.col("title")), 6).alias("title_similarity"), (F.size("d") > 100).cast("int").alias("has_nested"), F.lit(0).alias("bias_flag"),
+        F.round(F.col("matched") / F.size(F.array_distinct("q")), 6).alias("term_coverage"), F.round(text.jaccard(F.col("q"), F.col("title")), 6).alias("title_similarity"), (F.size("d") > 100).cast("int").alias("has_nested"), F.lit(0).alias("bias_flag"),
     )
 
 
 def insight_texts(spark, sf):
     """Spanish text where there is one, else the English, in index order."""
-    e = table(spark, sf, "events").where("event_id < 500").select("user_id", "event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("es "), "event_type")).alias("es"), F.col("event_type").alias("en"))
+    e = table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("es "), "event_type")).alias("es"), F.col("event_type").alias("en"))
     w = Window.partitionBy("user_id").orderBy("event_id")
     return e.select("user_id", F.row_number().over(w).alias("index"), F.coalesce("es", "en").alias("shown"))
 
@@ -169,25 +169,25 @@ ORACLE_SQL = {
     "payloads": "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_name END, CASE WHEN p_partkey % 3 = 0 THEN p_brand END, '(untitled)') AS title, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_type END AS body FROM part",
     "embed_texts": "SELECT n_nationkey, concat_ws(' ', 'Article ' || r_name, CASE WHEN n_nationkey % 2 = 0 THEN 'Chapter ' || n_name END, 'Section ' || n_nationkey) AS embed_text FROM nation JOIN region ON n_regionkey = r_regionkey",
     "previews": "SELECT doc_id, substring(text, 1, 80) AS preview FROM documents",
-    "title_lookup": "WITH w AS (SELECT upper(p_type) AS t, min(p_partkey) AS ord FROM part WHERE p_partkey < 30 GROUP BY 1) SELECT p_type, max(p_partkey) AS p_partkey, any_value(ord) AS ord FROM part JOIN w ON t = upper(p_type) GROUP BY 1",
+    "title_lookup": "WITH w AS (SELECT upper(p_type) AS t, min(p_partkey) AS ord FROM part GROUP BY 1) SELECT p_type, max(p_partkey) AS p_partkey, any_value(ord) AS ord FROM part JOIN w ON t = upper(p_type) GROUP BY 1",
     "allowed_titles": "SELECT p_partkey, p_type FROM part WHERE lower(p_type) IN (SELECT lower(p_type) FROM part WHERE p_partkey % 40 = 0)",
     "expected_titles": "SELECT p_brand, count(*) AS expected, count(h.t) AS present FROM (SELECT DISTINCT p_brand, p_type FROM part) a LEFT JOIN (SELECT DISTINCT p_type AS t FROM part WHERE p_partkey % 3 = 0) h ON h.t = a.p_type GROUP BY 1",
     "judged_candidates": f"WITH {_SCORES} SELECT query_id, doc_id, CAST(doc_id % 8 = 0 AS INT) AS label FROM c WHERE doc_id % 4 = 0 OR ord <= 5",
     "title_labels": "SELECT p_partkey, 1 AS longer, CAST(starts_with(lower(p_type), lower(p_brand)) OR starts_with(lower(p_brand), lower(p_type)) AS INT) AS other FROM part",
     "feature_merge": f"WITH {_SCORES} SELECT query_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM c",
-    "cached_query_match": f"WITH {_SCORES} SELECT query_id, cached_id, score FROM (SELECT query_id, doc_id AS cached_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM pairs WHERE doc_id BETWEEN 20 AND 119) WHERE n = 1 AND score >= 0.2",
+    "cached_query_match": f"WITH {_SCORES} SELECT query_id, cached_id, score FROM (SELECT query_id, doc_id AS cached_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM pairs WHERE doc_id % {EVERY} <> 0) WHERE n = 1 AND score >= 0.2",
     "confident_results": f"WITH {_SCORES} SELECT query_id, doc_id, score FROM c WHERE score >= 0.3 AND query_id % 3 <> 0",
     "reference_sets": "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS refs FROM orders GROUP BY 1",
     "case_gate": f"WITH {_SCORES} SELECT query_id, doc_id, CASE WHEN score >= 0.30 THEN 'direct' WHEN score >= 0.20 AND round(score + 0.15, 6) >= 0.37 THEN 'judged_in' WHEN score >= 0.20 THEN 'judged_out' ELSE 'out' END AS zone FROM c",
     "run_costs": "WITH e AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, count(*) FILTER (event_type = 'purchase') AS embed, count(*) FILTER (event_type = 'click') AS chat, count(*) FILTER (event_type = 'login') AS moderation, count(*) AS n FROM events GROUP BY 1, 2) SELECT *, embed + chat + moderation = 0 AS cache_hit FROM e",
     "faithfulness": "SELECT source, count(*) AS n, round(avg(quality::DOUBLE), 6) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY 1",
-    "alias_hits": f"WITH {_SCORES} SELECT query_id, doc_id, score FROM pairs WHERE doc_id BETWEEN 100 AND 199 AND score >= 0.25",
+    "alias_hits": f"WITH {_SCORES} SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM pairs WHERE doc_id % {EVERY} <> 0) WHERE n <= 100 AND score >= 0.25",
     "self_similarity": "SELECT a.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "features15": f"""WITH {_PAIRS}, b AS (SELECT *, {_BM25} AS bm, array_to_string(q, ' ') AS qt, array_to_string(title, ' ') AS tt FROM p), s AS (SELECT *, round(bm / (1 + bm), 6) AS sem FROM b)
         SELECT query_id, doc_id, sem AS semantic_score, round(bm, 6) AS bm25_score, CAST(qt = tt AS INT) AS alias_match, CAST(qt = tt AS INT) AS keyword_match, 0.0::DOUBLE AS domain_bias, round(ln(1 + length(array_to_string(d, ' '))), 6) AS document_length, len(list_distinct(q)) AS query_length, 2 AS section_depth,
         coalesce(round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6), 0) AS embedding_cosine, {_MATCH} AS match_type, round(max(sem) OVER (PARTITION BY query_id) - sem, 6) AS score_gap, round({_COV}, 6) AS term_coverage, round({_JAC}, 6) AS title_similarity, CAST(len(d) > 100 AS INT) AS has_nested, 0 AS bias_flag
         FROM s LEFT JOIN embeddings x ON x.vec_id = query_id LEFT JOIN embeddings y ON y.vec_id = doc_id""",
-    "insight_texts": "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS index, CASE WHEN event_id % 4 = 0 THEN 'es ' || event_type ELSE event_type END AS shown FROM events WHERE event_id < 500",
+    "insight_texts": "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS index, CASE WHEN event_id % 4 = 0 THEN 'es ' || event_type ELSE event_type END AS shown FROM events",
     "spanish_queries": f"SELECT doc_id, regexp_matches(text, '{_LETTERS}') AS spanish FROM documents",
     "union_of_lists": f"""WITH {_SCORES}, {_KEYWORD}, u AS (SELECT query_id, doc_id, ord, 0 AS so FROM c UNION ALL SELECT query_id, doc_id, doc_id::INT, 1 FROM k)
         SELECT query_id, t, doc_id FROM (SELECT query_id, 'doc ' || (doc_id % 50) AS t, doc_id, row_number() OVER (PARTITION BY query_id, doc_id % 50 ORDER BY so, ord) AS n FROM u) WHERE n = 1""",

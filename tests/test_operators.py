@@ -1,13 +1,20 @@
 """Semantics that single operators promise, on small inputs."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from rankwell.functions import scores, text, vectors
-from rankwell.operators import changes, documents, graph, lexicon, pipeline, reranker, slots, triage
+from rankwell.operators import changes, documents, graph, lexicon, pipeline, reranker, search, slots, triage
 from rankwell.operators.documents import DocumentConfig
 from rankwell.sources import tables
 
+ROOT = Path(__file__).parent.parent
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
@@ -183,3 +190,24 @@ def test_reranker_learns_and_is_kept_only_if_better(spark):
     assert metrics.f1 > 0.9
     calibrated = reranker.calibrator(reranker.scored(rows, model, ["x", "z"])).transform(reranker.scored(rows, model, ["x", "z"]))
     assert calibrated.agg(F.min("calibrated"), F.max("calibrated")).first()[1] <= 1.0
+
+
+def test_vector_topk_takes_ids_of_any_type(spark):
+    rows = [(f"d{k}", [float(k % 5), 1.0, 0.5]) for k in range(40)] + [(None, [1.0, 1.0, 1.0]), ("short", [1.0]), ("null", None), ("hole", [1.0, None, 2.0]), ("zero", [0.0, 0.0, 0.0])]
+    docs = spark.createDataFrame(rows, "doc_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 1.0, 0.5]), (2, [0.0, 0.0, 0.0]), (3, None)], "query_id int, embedding array<double>")
+    got = [(r.query_id, r.ord, r.doc_id, r.score) for r in search.vector_topk(docs, asked, 3).orderBy("query_id", "ord").collect()]
+    assert got == [(1, 1, "d1", 1.0), (1, 2, "d11", 1.0), (1, 3, "d16", 1.0), (2, 1, "d0", 0.0), (2, 2, "d1", 0.0), (2, 3, "d10", 0.0)]
+    own = search.vector_topk(docs, docs.select(F.col("doc_id").alias("query_id"), "embedding").where("doc_id = 'd7'"), 40).collect()
+    assert {r.query_id for r in own} == {"d7"} and "d7" not in {r.doc_id for r in own} and len(own) == 40
+
+
+def test_library_stands_without_the_training_data_operators(tmp_path):
+    for name in ("rankwell", "__spark_entry__.py", "corpus_pipeline.py"):
+        source = ROOT / name
+        if not source.exists():
+            continue
+        (shutil.copytree if source.is_dir() else shutil.copy)(source, tmp_path / name)
+    shutil.rmtree(tmp_path / "rankwell/llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'vector_topk' in q and 'pipeline' not in q and not any(x.startswith('op') and x[2].isdigit() for x in q); assert s.keys() <= q.keys()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path)})
