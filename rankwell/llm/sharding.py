@@ -1,12 +1,14 @@
 """Proportional stratified interleaving into shards (native plans only).
 
 Rows of each source are shuffled by a seeded hash and ranked; the fractional rank
-(rank + 1/2) / (rows of the source) orders all rows, and cutting that order into
-equal runs gives shards that hold every source in proportion.
+(rank + u) / (rows of the source) orders all rows, and cutting that order into
+equal runs gives shards that hold every source in proportion. u, a hash of the source
+in [0, 1), spreads the sources, so that very many small ones don't lie in one place.
 
 Both rankings are distributed: rows fall into buckets of the sort key holding a few
 hundred rows each, per-bucket counts are prefix-summed, and row_number works inside
-a bucket. So a source with a third of the rows never meets in one task.
+a bucket. So a source with a third of the rows never meets in one task, and neither do
+all the sources of one row. Only rows equal in id and text share a bucket.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import power_of_two, stored
 
 ROWS_PER_BUCKET = 256
+#: Steps of a source's offset within its first fractional rank.
+SPREAD = 1 << 30
 #: Buckets that are summed together first; a global sum then runs over these sums.
 SPAN = 1024
 
@@ -60,8 +64,9 @@ def interleaved(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str =
     place = Window.partitionBy("stratum", "bucket").orderBy("shuffled", "id", "text_crc32", "size")
     ranked = rows.withColumn("nth", F.row_number().over(place) - 1)
     ranked = ranked.join(_offsets(counts, "bucket", ["stratum"]), ["stratum", "bucket"]).join(totals, "stratum")
-    fraction = (2 * (F.col("before") + F.col("nth")) + 1) / (2 * F.col("of"))
-    ranked = ranked.select("id", "source", "size", "text_crc32", "stratum", "shuffled", fraction.cast("double").alias("fraction"))
+    offset = F.xxhash64(F.lit(seed), "stratum").bitwiseAND(F.lit(SPREAD - 1)).cast("double") / SPREAD
+    fraction = (F.col("before") + F.col("nth") + offset) / F.col("of")
+    ranked = ranked.select("id", "source", "size", "text_crc32", "stratum", "shuffled", fraction.alias("fraction"))
     ranked = stored(ranked.withColumn("bucket", F.floor(F.col("fraction") * (1 << bits)).cast("long")), "ranked")
 
     counts = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
