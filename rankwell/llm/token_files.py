@@ -13,6 +13,7 @@ counts reports their names, so a lost executor leaves no half-written file in us
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -37,17 +38,45 @@ SEQUENCES = 128
 MEMORY_CHUNKS = 1_000_000
 MEMORY_CHARS = 48
 
+#: Bytes of text for a file; more text takes more files.
+RANGE_BYTES = 256 << 20
+
 #: A word of basic and Western European letters with at most one mark after it.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 _ACCENTED = [c for c in map(chr, range(0xDF, 0x100)) if c.isalpha()]
+# The settings under which white space is dropped and nothing joins across it,
+# a run of letters is one piece, and so is a run of other marks.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
-class ChunkIds:
-    """Ids of white-space-delimited chunks as little-endian bytes, from calls of the library.
+def drops_white_space(path: str) -> bool:
+    """Do a tokenizer's own settings say that texts may be taken apart at spaces and line breaks?
 
-    Only for tokenizers that drop white space and never join across it. Plain words skip
-    normalisation and pre-tokenisation, which leave them alone but for case, and go straight to
-    the library's model, if that gives the same ids for the probes.
+    Added tokens must hold no white space and take none with them, so that none reaches over a break.
+    """
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    split = found["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+    apart = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]]) for t in found["added_tokens"])
+    return split and apart and found["normalizer"] == _NORMALIZER and not found["truncation"] and not found["padding"] and not found["post_processor"]
+
+
+def _located(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a URI, Hadoop's names of S3 included."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
+class ChunkIds:
+    """Ids of texts as little-endian bytes, from calls of the library.
+
+    Where the tokenizer's settings prove that white space is dropped and nothing joins
+    across it, texts are encoded by white-space-delimited chunks that are remembered, and
+    plain words go straight to the library's model: by those settings normalisation only
+    lower-cases them, and a word and the mark after it are pieces of their own. The probes
+    guard against a library that reads the settings otherwise. Any other tokenizer
+    encodes whole texts.
     """
 
     #: By file: tasks of one worker share what it has learned.
@@ -62,6 +91,9 @@ class ChunkIds:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {"": b""}
+        self.apart = drops_white_space(path)
+        if not self.apart:
+            return
         pre = self.tokenizer.pre_tokenizer
         self.bytes_of = str.maketrans({c: "".join(x for x, _ in pre.pre_tokenize_str(c)) for c in _ACCENTED} if pre else {})
         self.marks = dict(zip(".,;:!?", self._whole(list(".,;:!?")), strict=True)) | {"": b""}
@@ -92,6 +124,8 @@ class ChunkIds:
         return out | dict(zip(other, self._whole(other), strict=True))
 
     def __call__(self, text: str) -> bytes:
+        if not self.apart:
+            return self._whole([text])[0]
         chunks = text.replace("\n", " ").split(" ")
         got = list(map(self.known.get, chunks))
         missing = [k for k, y in enumerate(got) if y is None]
@@ -111,7 +145,7 @@ class SequenceWriter:
     def __init__(self, sink, dtype: np.dtype, sequence: int = SEQUENCE, sequences: int = SEQUENCES):
         self.dtype, self.sequence, self.room = dtype, sequence, sequence * sequences
         self.kind = pa.from_numpy_dtype(dtype.newbyteorder("="))
-        self.schema = pa.schema([("ids", pa.list_(self.kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+        self.schema = pa.schema([("ids", pa.list_(self.kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
         self.file = pa.ipc.new_file(sink, self.schema)
         self.held: list[bytes] = []
         self.size = 0
@@ -127,7 +161,7 @@ class SequenceWriter:
             self.held, self.size = [data[whole:].tobytes()], len(data) - whole
 
     def _write(self, data: np.ndarray, filled: int) -> None:
-        mask = np.arange(len(data)) < filled
+        mask = (np.arange(len(data)) < filled).astype(np.uint8)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (data.astype(self.dtype.newbyteorder("=")), mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -142,7 +176,7 @@ class SequenceFile:
     """Zero-copy random access to the sequences and masks of a token file."""
 
     def __init__(self, path: str, sequences: int = SEQUENCES):
-        fs, at = pafs.FileSystem.from_uri(path)
+        fs, at = _located(path)
         source = pa.memory_map(at) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(at)
         self.file, self.sequences = pa.ipc.open_file(source), sequences
 
@@ -151,10 +185,10 @@ class SequenceFile:
         return (n - 1) * self.sequences + self.file.get_batch(n - 1).num_rows if n else 0
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file) and mask of sequence i."""
+        """Ids and mask of sequence i, both views of the file."""
         batch = self.file.get_batch(i // self.sequences)
         ids, mask = (batch.column(c)[i % self.sequences].values for c in (0, 1))
-        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True).view(np.bool_)
 
     def values(self) -> Iterator[np.ndarray]:
         """All ids, a record batch at a time, padding included."""
@@ -167,13 +201,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
 
     A null text counts as empty; ``end_id`` is appended to every document. Null ids
     come first, and rows with equal ids lie side by side. Extra columns are ignored.
-    The list has one entry for each non-empty range, so it is bounded by the number
-    of shuffle partitions; no ids or documents reach the driver.
+    The list has one entry for each non-empty range: there are as many as shuffle
+    partitions, or as RANGE_BYTES go into the texts. No ids or documents reach the driver.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     rows = rows.repartitionByRange(ranges, "id").sortWithinPartitions("id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +218,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
         encode = ChunkIds.of(tokenizer_path)
         end = b"" if end_id is None else np.array([end_id], encode.dtype).tobytes()
         name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.arrow"
-        fs, at = pafs.FileSystem.from_uri(name)
+        fs, at = _located(name)
         fs.create_dir(os.path.dirname(at), recursive=True)
         n_docs = total = 0
         with fs.open_output_stream(at) as sink, fs.open_output_stream(f"{at}.index") as index_sink:
@@ -221,7 +256,7 @@ def read_token_files(docs: DataFrame, files: list[tuple[str, int, int]], id_col:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fs, at = pafs.FileSystem.from_uri(name)
+                fs, at = _located(name)
                 stream = SequenceFile(name).values()
                 here = np.empty(0, np.uint32)
                 with fs.open_input_file(f"{at}.index") as source:
