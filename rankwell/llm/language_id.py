@@ -8,7 +8,8 @@ log2 of the labelled length, divided by the characters, estimates the cross-entr
 and the language with the least wins.
 
 The labelled text is a bounded sample: at most ``SAMPLE_DOCS`` documents and
-``SAMPLE_CHARS`` characters per language, chosen by a hash of the id. Prediction reads
+``SAMPLE_CHARS`` characters per language, chosen by a hash of the id. Of longer texts
+windows are taken that are spread evenly over the whole of them. Prediction reads
 every character of every text. Texts are parsed in lanes of ``LANE`` characters, and a
 phrase ends where a lane ends, so long texts take many lanes instead of many steps.
 """
@@ -28,6 +29,8 @@ SAMPLE_DOCS = 64
 SAMPLE_CHARS = 16_384
 #: Symbols of dense tables: 0 stands for all that is no letter, 1 for letters in no sample.
 SYMBOLS = 64
+#: Characters of a window of a sampled text.
+WINDOW = 256
 LANE = 2048
 #: Characters that are parsed at a time.
 BATCH_CHARS = 4 << 20
@@ -187,6 +190,25 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
+def spread(text: str, most: int) -> str:
+    """At most ``most`` characters of a text: the whole of it, or windows spread evenly over it."""
+    if len(text) <= most:
+        return text
+    n = max(1, most // WINDOW)
+    size = max(0, most - n + 1) // n
+    step = (len(text) - size) / max(1, n - 1)
+    return " ".join(text[int(k * step) : int(k * step) + size] for k in range(n))
+
+
+def _spread(text: Column, most: int) -> Column:
+    """The same as :func:`spread` in a plan, so that no more than ``most`` characters of a text leave it."""
+    n = max(1, most // WINDOW)
+    size = max(0, most - n + 1) // n
+    step = (F.length(text) - size) / max(1, n - 1)
+    windows = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(text, F.floor(k * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(windows, " "))
+
+
 def labelled_samples(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_each: int = SAMPLE_DOCS, chars_each: int = SAMPLE_CHARS) -> dict[str, str]:
     """For each language some of its text: the bounded sample a parser is built from."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
@@ -196,14 +218,14 @@ def labelled_samples(labelled: DataFrame, id_col: str, text_col: str, lang_col:
     if not ids:
         return {}
     texts: dict[str, list[tuple]] = {}
-    for r in rows.where(F.col("id").isin(ids)).select("lang", "id", F.substring("text", 1, chars_each).alias("text")).groupBy("lang", "id").agg(F.min("text").alias("text")).collect():
+    for r in rows.where(F.col("id").isin(ids)).select("lang", "id", _spread(F.col("text"), chars_each).alias("text")).groupBy("lang", "id").agg(F.min("text").alias("text")).collect():
         texts.setdefault(r["lang"], []).append((str(r["id"]), r["text"]))
     out = {}
     for lang, found in texts.items():
         left, parts = chars_each, []
         found.sort(key=lambda x: (len(x[1]), x))
         for k, (_, text) in enumerate(found):
-            parts.append(text[: -(-left // (len(found) - k))])
+            parts.append(spread(text, -(-left // (len(found) - k))))
             left -= len(parts[-1])
         out[lang] = " ".join(x for x in parts if x)
     return out
