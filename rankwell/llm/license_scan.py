@@ -4,8 +4,8 @@ A multinomial logistic regression over the presence of word n-grams (one to thre
 words, made sparse by an L1 penalty) tells licence families and "no licence" apart. It
 is trained on the notices below and on variants made from them by rule. Its
 temperature and the least confidence for naming a family are set on variants that were
-held back; a paragraph that looks like a licence but is not surely of one family is
-"unknown". A named family is confirmed by comparing the paragraph with the family's
+held back. Notices of licences outside the families train a class of their own; what falls
+into it, or looks like a licence but is not surely of one family, is "unknown". A named family is confirmed by comparing the paragraph with the family's
 notices.
 
 Every n-gram that counts holds a word that is not in STOP, so a text without any such
@@ -40,15 +40,27 @@ NOTICES = {
     "mpl": ["licensed under the mozilla public license version 2 0", "this source code form is subject to the terms of the mozilla public license", "released under the mpl 2 0"],
     "reserved": ["all rights reserved", "copyright all rights reserved no part of this publication may be reproduced without permission"],
 }
+UNLISTED = [
+    "licensed under the eclipse public license version 2 0", "licensed under the eupl version 1 2", "licensed under the european union public licence", "released under the zlib license", "distributed under the boost software license version 1 0",
+    "available under the artistic license 2 0", "licensed under the microsoft public license", "released under the isc license", "licensed under the common development and distribution license", "this work is licensed under the open font license version 1 1",
+    "released under the academic free license", "licensed under the business source license", "spdx license identifier epl 2 0", "spdx license identifier eupl 1 2", "spdx license identifier zlib", "spdx license identifier bsl 1 0", "available under the open database license", "this file is licensed under the terms of a custom public license",
+]
 OTHERS = [
     "the driver had a license to work in the city", "she was released under heavy rain and went to the public garden", "the version of the story that was published is not the one they wrote",
     "permission to leave was granted by the general", "the apache people lived in the south west", "students of mit built the machine in the spring", "he bought two copies of the book and a file for the notes",
     "terms of the agreement are under review", "the source of the river is in the mountains", "software is made by people who like to work together", "a general election was held in may",
     "the public is invited to the creative workshop", "common sense is not so common", "the domain of the function is the real line", "all seats are reserved for members", "the foundation of the house is made of stone",
     "version 2 0 of the report was sent to the office", "in compliance with the rules they stopped work at noon", "attribution of the painting is not certain", "free entry for children under 4",
+    "he has a license to drive", "the license office is closed on sunday", "she got her license in may and drove to the city", "the film was shown under license in two cities", "a public license for the market costs 20", "the fishing license is valid for a year",
 ]
 FILLER = ["it", "was", "in", "the", "house", "and", "they", "said", "that", "many", "people", "would", "come", "to", "see", "new", "things", "for", "a", "day"]
 STOP = frozenset("a all and any are as at be by can for from had has he in into is it made may no not of on one or part she so that the they this to under use was we with who you 0 1 2 3 4".split())
+#: SPDX names of the families, as words.
+SPDX = {
+    "agpl": ["agpl 3 0 only", "agpl 3 0 or later"], "apache": ["apache 2 0"], "bsd": ["bsd 2 clause", "bsd 3 clause"], "cc-by": ["cc by 4 0", "cc by 3 0"], "cc-by-nc": ["cc by nc 4 0"], "cc-by-sa": ["cc by sa 4 0", "cc by sa 3 0"], "cc0": ["cc0 1 0", "unlicense"],
+    "gpl": ["gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0 only", "gpl 3 0 or later"], "lgpl": ["lgpl 2 1 only", "lgpl 2 1 or later", "lgpl 3 0 only", "lgpl 3 0 or later"], "mit": ["mit"], "mpl": ["mpl 2 0"],
+}
+NOTICES |= {family: [*NOTICES[family], *(f"spdx license identifier {name}" for name in names)] for family, names in SPDX.items()}
 NONE = "none"
 UNKNOWN = "unknown"
 #: Least share of a notice's three-word runs that must be in the paragraph.
@@ -71,7 +83,7 @@ def _variants(words: list[str], seed: int) -> list[list[str]]:
 
 def _training_rows() -> list[tuple[str, str, bool]]:
     """label, text, held back."""
-    labelled = [(family, t) for family, texts in NOTICES.items() for t in texts] + [(NONE, t) for t in OTHERS]
+    labelled = [(family, t) for family, texts in NOTICES.items() for t in texts] + [(UNKNOWN, t) for t in UNLISTED] + [(NONE, t) for t in OTHERS]
     out = []
     for seed, (label, text) in enumerate(labelled):
         out += [(label, " ".join(v), k == 3) for k, v in enumerate(_variants(text.split(), seed))]
@@ -118,7 +130,7 @@ def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 def train(spark: SparkSession) -> LicenceModel:
     """Fit on the notices' variants; calibrate on those held back."""
-    families = [NONE, *sorted(NOTICES)]
+    families = [NONE, UNKNOWN, *sorted(NOTICES)]
     rows = [(float(families.index(label)), text, held) for label, text, held in _training_rows()]
     data = _frame(spark, rows, "label double, text string, held boolean").withColumn("words", _words(F.col("text")))
     data = data.select("label", "held", _grams(F.col("words")).alias("grams")).coalesce(1).cache()
@@ -135,7 +147,8 @@ def train(spark: SparkSession) -> LicenceModel:
         fitted.temperature = t
         losses.append((-sum(log(max(1e-12, fitted.probabilities(m)[y])) for y, m in held), t))
     fitted.temperature = min(losses)[1]
-    wrong = [max(p) for y, m in held if (p := fitted.probabilities(m))[y] < max(p)]
+    # what else is named must be surer than any family that was wrongly named
+    wrong = [max(p) for y, m in held if (p := fitted.probabilities(m))[y] < max(p) and families[p.index(max(p))] in NOTICES]
     fitted.least = max([0.5, *wrong])
     return fitted
 
@@ -163,11 +176,11 @@ def _told(pieces: DataFrame, model: LicenceModel) -> DataFrame:
     told = sums.select("row", "line", scaled.alias("m")).withColumn("top", F.array_max("m"))
     total = F.aggregate("m", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     told = told.select("row", "line", F.get(F.array(*map(F.lit, model.families)), F.array_position("m", F.col("top")).cast("int") - 1).alias("family"), (F.lit(1.0) / total).alias("p"))
-    told = told.where(F.col("family") != NONE).join(pieces.select("row", "line", "runs"), ["row", "line"])
+    told = told.where((F.col("family") != NONE) & ((F.col("family") != UNKNOWN) | (F.col("p") >= 0.5))).join(pieces.select("row", "line", "runs"), ["row", "line"])
 
     shapes = _frame(spark, _shapes(), "family string, shape array<string>").groupBy("family").agg(F.collect_list("shape").alias("shapes"))
     shares = F.transform(F.col("shapes"), lambda s: F.size(F.array_intersect(s, F.col("runs"))) / F.size(s))
-    told = told.join(F.broadcast(shapes), "family").withColumn("held", F.array_max(shares) >= CONFIRM)
+    told = told.join(F.broadcast(shapes), "family", "left").withColumn("held", F.coalesce(F.array_max(shares) >= CONFIRM, F.lit(False)))
     return told.select("row", "line", "family", "p", "held", (F.col("held") & (F.col("p") >= model.least)).alias("sure"))
 
 

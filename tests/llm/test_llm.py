@@ -117,6 +117,14 @@ def test_shards_match_the_mixture(spark):
     assert {r.id: (r.size, r.text_crc32) for r in got} == {i: (len(t) + 1, zlib.crc32(t.encode())) for i, t, _ in rows}
 
 
+def test_small_sources_are_spread(spark):
+    rows = [(i, "t", f"s{i}") for i in range(4000)] + [(4000 + i, "t", "hot") for i in range(4000)]
+    got = interleaved(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), shards=8).collect()
+    small = collections.Counter(r.shard for r in got if r.source != "hot")
+    hot = collections.Counter(r.shard for r in got if r.source == "hot")
+    assert all(400 < small[k] < 600 and 400 < hot[k] < 600 and small[k] + hot[k] == 1000 for k in range(8))
+
+
 # --- op4 token counts and op8 token files
 
 
@@ -174,9 +182,39 @@ def test_token_files_round_trip(spark, odd, docs, texts):
     assert got == collections.Counter((r[0], zlib.crc32(np.array([*n, 1], "<u4").tobytes())) for r, n in zip(ODD, whole_counts(path, [r[1] for r in ODD]), strict=True))
 
 
+def test_other_tokenizers_encode_whole_texts(spark, odd, tmp_path):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    assert token_files.drops_white_space(queries.tokenizer_path("word_bpe_49k.json")) and not token_files.drops_white_space(path)
+    files = token_files.write_token_files(odd, path, end_id=None)
+    got = collections.Counter((r.id, r.ids_crc32) for r in token_files.read_token_files(odd, files).collect())
+    assert got == collections.Counter((r[0], zlib.crc32(np.array(n, "<u4").tobytes())) for r, n in zip(ODD, whole_counts(path, [r[1] for r in ODD]), strict=True))
+
+
+def test_views_of_a_token_file_are_not_copies(tmp_path):
+    path = f"{tmp_path}/x.arrow"
+    with pa.OSFile(path, "wb") as sink:
+        out = token_files.SequenceWriter(sink, np.dtype("<u2"), sequence=4, sequences=2)
+        out.add(np.arange(11, dtype="<u2").tobytes())
+        out.close()
+    f = token_files.SequenceFile(f"file://{path}", sequences=2)
+    assert len(f) == 3
+    for i, (n, want) in enumerate([(4, [0, 1, 2, 3]), (4, [4, 5, 6, 7]), (3, [8, 9, 10, 0])]):
+        ids, mask = f[i]
+        assert ids.tolist() == want and mask.tolist() == [k < n for k in range(4)]
+        assert not ids.flags.owndata and not mask.flags.owndata
+
+
 # --- op6 language identification
 
 
+def test_windows_are_spread_over_the_text(spark):
+    text = "".join(chr(97 + k % 26) * 100 for k in range(300))
+    for most in (10, 300, 1000, 16_384, 40_000):
+        got = language_id.spread(text, most)
+        assert len(got) <= most and (most < 16_384 or text[-1] in got[-1])
+        assert spark.createDataFrame([(text,)], "t string").select(language_id._spread(F.col("t"), most).alias("t")).first().t == got
+
+
 def longest_phrases(text, sample):
     """Greedy phrases by search, as the automaton counts them."""
     n, at = 0, 0
@@ -629,6 +667,16 @@ def test_wrapped_licences(spark):
     assert got[5][0] in (None, "unknown") and got[6][0] in (None, "unknown") and got[7] == (None, None, 0)
 
 
+def test_licences_outside_the_families(spark):
+    texts_ = {
+        1: "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction", 2: "Licensed under the Apache\nLicense, Version 2.0",
+        3: "This program is licensed under the Eclipse Public License 2.0", 4: "Licensed under the EUPL 1.2", 5: "SPDX-License-Identifier: MIT", 6: "// SPDX-License-Identifier: GPL-2.0-only\nint main() {}", 7: "Licensed under the Sleepycat Public License, version 1",
+    }
+    rows = spark.createDataFrame(list(texts_.items()), "doc_id int, text string")
+    got = {r.id: r.licence for r in license_scan.scan_licences(rows).collect()}
+    assert got == {1: "mit", 2: "apache", 3: "unknown", 4: "unknown", 5: "mit", 6: "gpl", 7: "unknown"}
+
+
 # --- pipeline
 
 
@@ -659,7 +707,3 @@ def test_pipeline_against_brute_force(spark, docs, texts):
     for r in got["packing"].collect():
         total[r.doc_id] += r.tokens
     assert total == {i: len(t.encode().split()) + 1 for i, t in left.items()}
-
-
-def test_arrow_is_there():
-    assert pa.__version__ and F
