@@ -108,6 +108,14 @@ def _grams(words: Column) -> Column:
     return F.filter(F.array_distinct(every), lambda g: ~F.forall(F.split(g, " "), lambda w: F.array_contains(stop, w)))
 
 
+def _known(words: Column, model: LicenceModel) -> tuple[Column, Column]:
+    """The distinct n-grams that the model weighs, and the distinct three-word runs of notices; no others are kept."""
+    every = F.concat(*(_runs(words, n) for n in (1, 2, 3)))
+    runs = sorted({r for _, s in _shapes() for r in s})
+    listed = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    return F.array_intersect(every, listed(sorted(model.weights))).alias("grams"), F.array_intersect(_runs(words, 3), listed(runs)).alias("runs")
+
+
 @dataclass
 class LicenceModel:
     """Families (NONE included), their intercepts, weights by n-gram, temperature and least confidence."""
@@ -184,7 +192,7 @@ def _told(pieces: DataFrame, model: LicenceModel) -> DataFrame:
     return told.select("row", "line", "family", "p", "held", (F.col("held") & (F.col("p") >= model.least)).alias("sure"))
 
 
-def _wrapped(rows: DataFrame, held: DataFrame) -> DataFrame:
+def _wrapped(rows: DataFrame, held: DataFrame, model: LicenceModel) -> DataFrame:
     """Rows row, line, last, grams, runs: words around the line breaks where enough of some notice may be, without the lines of ``held``.
 
     ``line`` is the line before the break, ``last`` the last line that has words in the piece.
@@ -227,9 +235,8 @@ def _wrapped(rows: DataFrame, held: DataFrame) -> DataFrame:
     cut = F.array_position(F.transform("follow", lambda w, n: F.array_contains("own", F.col("line") + 1 + n)), True).cast("int")
     found = found.withColumn("follow", F.when(cut > 0, F.slice("follow", 1, cut - 1)).otherwise(F.col("follow"))).where(F.size("follow") > 0)
     reached = F.size(F.filter("follow", lambda w, n: F.size(F.flatten(F.slice("follow", 1, n))) < SPAN))
-    words = F.col("words")
     found = found.select("row", "line", (F.col("line") + reached).alias("last"), F.explode(F.array(joined(F.col("tail"), F.col("follow")))).alias("words"))
-    return stored(found.select("row", "line", "last", _grams(words).alias("grams"), F.array_distinct(_runs(words, 3)).alias("runs")), "wide")
+    return stored(found.select("row", "line", "last", *_known(F.col("words"), model)), "wide")
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenceModel | None = None) -> DataFrame:
@@ -253,10 +260,10 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     lines = rows.where("text IS NOT NULL").select("row", F.posexplode(F.split("text", "\n")).alias("line", "words"))
     lines = lines.withColumn("words", _words(F.col("words"))).where(F.arrays_overlap("words", F.array(*map(F.lit, content))))
-    lines = stored(lines.select("row", "line", _grams(F.col("words")).alias("grams"), F.array_distinct(_runs(F.col("words"), 3)).alias("runs")), "lines")
+    lines = stored(lines.select("row", "line", *_known(F.col("words"), model)).where(F.size("grams") > 0), "lines")
     told = stored(_told(lines, model), "told")
 
-    wide = _wrapped(rows, told.where("held"))
+    wide = _wrapped(rows, told.where("held"), model)
     named = _told(wide, model).where("sure").join(wide.select("row", "line", "last"), ["row", "line"])
     by_line = Window.partitionBy("row", "family").orderBy("line")
     named = named.withColumn("n", F.sum(F.coalesce((F.lag("line").over(by_line) < F.col("line") - 1).cast("int"), F.lit(0))).over(by_line))
