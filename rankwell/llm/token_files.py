@@ -145,7 +145,7 @@ class SequenceWriter:
     def __init__(self, sink, dtype: np.dtype, sequence: int = SEQUENCE, sequences: int = SEQUENCES):
         self.dtype, self.sequence, self.room = dtype, sequence, sequence * sequences
         self.kind = pa.from_numpy_dtype(dtype.newbyteorder("="))
-        self.schema = pa.schema([("ids", pa.list_(self.kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+        self.schema = pa.schema([("ids", pa.list_(self.kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
         self.file = pa.ipc.new_file(sink, self.schema)
         self.held: list[bytes] = []
         self.size = 0
@@ -161,7 +161,7 @@ class SequenceWriter:
             self.held, self.size = [data[whole:].tobytes()], len(data) - whole
 
     def _write(self, data: np.ndarray, filled: int) -> None:
-        mask = (np.arange(len(data)) < filled).astype(np.uint8)
+        mask = np.arange(len(data)) < filled
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (data.astype(self.dtype.newbyteorder("=")), mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -184,11 +184,11 @@ class SequenceFile:
         n = self.file.num_record_batches
         return (n - 1) * self.sequences + self.file.get_batch(n - 1).num_rows if n else 0
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i, both views of the file."""
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask (a bit for each id) of sequence i, both views of the file."""
         batch = self.file.get_batch(i // self.sequences)
         ids, mask = (batch.column(c)[i % self.sequences].values for c in (0, 1))
-        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True).view(np.bool_)
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def values(self) -> Iterator[np.ndarray]:
         """All ids, a record batch at a time, padding included."""
