@@ -54,7 +54,7 @@ OTHERS = [
     "he has a license to drive", "the license office is closed on sunday", "she got her license in may and drove to the city", "the film was shown under license in two cities", "a public license for the market costs 20", "the fishing license is valid for a year",
 ]
 FILLER = ["it", "was", "in", "the", "house", "and", "they", "said", "that", "many", "people", "would", "come", "to", "see", "new", "things", "for", "a", "day"]
-STOP = frozenset("a all and any are as at be by can for from had has he in into is it made may no not of on one or part she so that the they this to under use was we with who you 0 1 2 3 4".split())
+STOP = frozenset("a all and any are as at be by can for from had has he in into is it made may no not of on one or part she so that the they this to under use was we with who you only later 0 1 2 3 4".split())
 #: SPDX names of the families, as words.
 SPDX = {
     "agpl": ["agpl 3 0 only", "agpl 3 0 or later"], "apache": ["apache 2 0"], "bsd": ["bsd 2 clause", "bsd 3 clause"], "cc-by": ["cc by 4 0", "cc by 3 0"], "cc-by-nc": ["cc by nc 4 0"], "cc-by-sa": ["cc by sa 4 0", "cc by sa 3 0"], "cc0": ["cc0 1 0", "unlicense"],
@@ -110,10 +110,9 @@ def _grams(words: Column) -> Column:
 
 def _known(words: Column, model: LicenceModel) -> tuple[Column, Column]:
     """The distinct n-grams that the model weighs, and the distinct three-word runs of notices; no others are kept."""
-    every = F.concat(*(_runs(words, n) for n in (1, 2, 3)))
     runs = sorted({r for _, s in _shapes() for r in s})
-    listed = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    return F.array_intersect(every, listed(sorted(model.weights))).alias("grams"), F.array_intersect(_runs(words, 3), listed(runs)).alias("runs")
+    grams = F.filter(_grams(words), lambda g: g.isin(sorted(model.weights)))
+    return grams.alias("grams"), F.filter(F.array_distinct(_runs(words, 3)), lambda r: r.isin(runs)).alias("runs")
 
 
 @dataclass
