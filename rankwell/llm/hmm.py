@@ -48,9 +48,11 @@ SHARED = 512
 STATES = 6
 ROUNDS = 8
 #: Tokens of a text that are worked on in a row; its runs are worked on side by side.
-RUN = 512
+RUN = 1024
 #: Tokens whose states are held at a time. Bounds memory only.
-BATCH_TOKENS = 1 << 19
+BATCH_TOKENS = 1 << 20
+#: Steps after which a product of matrices is scaled.
+SCALED = 8
 #: Distinct words a counting task holds before it passes their counts on.
 HELD_WORDS = 400_000
 #: Expected counts are summed as multiples of 1/FIXED.
@@ -238,10 +240,11 @@ def _products(model: Model, ids: np.ndarray, runs: Runs, some: np.ndarray) -> tu
         m, log = np.repeat(np.eye(k)[None], len(lanes), 0), np.zeros(len(lanes))
         starts = runs.start[lanes]
         for t, n in enumerate(live.tolist()):
-            step = (m[:n] * model.emit[ids[starts[:n] + t]][:, None, :]).reshape(n * k, k) @ model.move
-            scale = step.reshape(n, -1).sum(1)
-            m[:n] = step.reshape(n, k, k) / scale[:, None, None]
-            log[:n] += np.log10(scale)
+            np.dot((m[:n] * model.emit[ids[starts[:n] + t]][:, None, :]).reshape(n * k, k), model.move, out=m[:n].reshape(n * k, k))
+            if t % SCALED == SCALED - 1 or t + 1 == len(live) or live[t + 1] < n:
+                scale = m[:n].reshape(n, -1) @ np.ones(k * k)
+                m[:n] /= scale[:, None, None]
+                log[:n] += np.log10(scale)
         products[lanes], logs[lanes] = m, log
     return products, logs
 
@@ -282,7 +285,7 @@ def forward_log10(model: Model, ids: np.ndarray, sizes: np.ndarray) -> np.ndarra
         starts, log = runs.start[lanes], np.zeros(len(lanes))
         for t, n in enumerate(live.tolist()):
             a = (alpha[:n] @ model.move if t else alpha[:n]) * model.emit[ids[starts[:n] + t]]
-            scale = a.sum(1)
+            scale = a @ np.ones(len(model.start))
             alpha[:n] = a / scale[:, None]
             log[:n] += np.log10(scale)
         total[lanes] = log
@@ -299,15 +302,15 @@ def expected_counts(model: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[n
     begins[runs.first], goes_on[runs.last] = True, False
     start, moves, emission = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(model.emit)))
     for lanes, live in runs.lanes(np.arange(len(runs.size))):
-        starts, ends = runs.start[lanes], runs.size[lanes] - 1
+        starts, ends, ones = runs.start[lanes], runs.size[lanes] - 1, np.ones((k, 1))
         alphas: list[np.ndarray] = []
         emits: list[np.ndarray] = []
         for t, n in enumerate(live.tolist()):
             e = model.emit[ids[starts[:n] + t]]
             a = (alphas[-1][:n] @ model.move if t else before[lanes]) * e
-            scale = a.sum(1, keepdims=True)
-            a /= scale
-            e /= scale
+            scale = 1 / (a @ ones)
+            a *= scale
+            e *= scale
             alphas.append(a)
             emits.append(e)
         last = np.empty((len(lanes), k))
@@ -323,11 +326,10 @@ def expected_counts(model: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[n
             n = live[t]
             if t + 1 < len(alphas):
                 m = live[t + 1]
-                ahead = emits[t + 1] * beta[:m]
+                ahead = emits.pop() * beta[:m]
                 moves += alphas[t][:m].T @ ahead
                 beta[:m] = ahead @ model.move.T
-            alphas[t] *= beta[:n]
-            alphas[t] /= alphas[t].sum(1, keepdims=True)
+            alphas[t] *= beta[:n]  # adds up to 1
         start += alphas[0][begins[lanes]].sum(0)
         gammas = np.concatenate(alphas)
         seen = np.concatenate([ids[starts[:n] + t] for t, n in enumerate(live.tolist())])
