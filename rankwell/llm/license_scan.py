@@ -259,7 +259,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     lines = rows.where("text IS NOT NULL").select("row", F.posexplode(F.split("text", "\n")).alias("line", "words"))
     lines = lines.withColumn("words", _words(F.col("words"))).where(F.arrays_overlap("words", F.array(*map(F.lit, content))))
-    lines = stored(lines.select("row", "line", *_known(F.col("words"), model)).where(F.size("grams") > 0), "lines")
+    lines = stored(lines.select("row", "line", *_known(F.col("words"), model)), "lines")
     told = stored(_told(lines, model), "told")
 
     wide = _wrapped(rows, told.where("held"), model)
