@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,8 +26,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (a
-    local session, as in tests) a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a local
+    session (as in tests) makes and sets a temporary folder; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = "file://" + tempfile.mkdtemp(prefix="rankwell-")
     spark.sparkContext.setCheckpointDir(base)
     return base
