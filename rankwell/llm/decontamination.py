@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import giving_back
+
 Q = 8
 #: Edits allowed for each character of an item.
 EDIT_SHARE = 0.1
@@ -279,7 +281,7 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "
                     owner, keys, *numbers = (list(x) for x in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(keys), *(pa.array(x, pa.int64()) for x in numbers)], schema.names)
 
-        out = out.unionByName(rows.mapInArrow(search, schema))
+        out = out.unionByName(rows.mapInArrow(giving_back(search), schema))
     return out
 
 
@@ -301,5 +303,5 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
                 stays[[d for d, *_ in _searched_texts(finder, batch.column(1).to_pylist())]] = False
                 yield batch.filter(pa.array(stays))
 
-        rows = rows.mapInArrow(clean, schema)
+        rows = rows.mapInArrow(giving_back(clean), schema)
     return rows.select("row.*")

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import giving_back
+
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 16_384
 #: Symbols of dense tables: 0 stands for all that is no letter, 1 for letters in no sample.
@@ -263,7 +265,7 @@ def identify_languages(docs: DataFrame, learn_from: Column | None = None, id_col
 
     rows = docs.select(F.struct(*(carry or ["*"])).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lettered", T.BooleanType())])
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(giving_back(predict), schema)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

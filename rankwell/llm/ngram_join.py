@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import power_of_two, released, remove, stored, told_by_group
+from .common import give_back, giving_back, power_of_two, released, remove, stored, told_by_group
 from .components import components
 from .exact_dedup import BITS_PER_ROW, BLOCK_BITS, BROADCAST_BYTES, hit_cells, probed
 
@@ -48,6 +48,8 @@ PIVOT_ROUNDS = 2
 HEAVY = 1 << 18
 #: Shingles that are counted together when heavy ones are looked for. Bounds memory only.
 COUNTED = 1 << 21
+#: Bytes of a block after whose search memory is given back.
+LARGE_BLOCK = 8 << 20
 #: Nodes in a list that is merged by counting; longer lists are set aside.
 LONG = 32
 #: Total length of lists up to which they are merged on a heap; longer ones are merged into an array of counts.
@@ -218,6 +220,8 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
 
     def search(table: pa.Table) -> pa.Table:
         found = _search_block(table, percent)
+        if table.nbytes >= LARGE_BLOCK:
+            give_back()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return rows.groupBy("comp", "block", "run").applyInArrow(search, "a long, b long")
@@ -327,7 +331,7 @@ def heavy_shingles(rows: DataFrame, words: int) -> np.ndarray:
         if held:
             yield passed_on()
 
-    sums = stored(rows.select("text").mapInArrow(count, "gram long, n long, total boolean").groupBy("gram", "total").agg(F.sum("n").alias("n")), "heavy")
+    sums = stored(rows.select("text").mapInArrow(giving_back(count), "gram long, n long, total boolean").groupBy("gram", "total").agg(F.sum("n").alias("n")), "heavy")
     n = sums.where("total").agg(F.sum("n")).first()[0] or 0
     found = sums.where(~F.col("total") & (F.col("n") * HEAVY >= n)).select("gram").collect()
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
@@ -362,7 +366,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n_shingles", "d1", "d2", "parts"])
 
     longs = [T.StructField(x, T.LongType()) for x in ("n_shingles", "d1", "d2")]
-    signed_rows = rows.mapInArrow(signed, T.StructType([id_field, *longs, T.StructField("parts", T.ArrayType(T.LongType()))]))
+    signed_rows = rows.mapInArrow(giving_back(signed), T.StructType([id_field, *longs, T.StructField("parts", T.ArrayType(T.LongType()))]))
     signed_rows = stored(signed_rows.withColumn("node", F.monotonically_increasing_id()), "signed")
     total = signed_rows.count()
     each = stored(signed_rows.select("id", "n_shingles", "d1", "d2", "node"), "each")
@@ -394,7 +398,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     blocks = power_of_two(wanted.count() * 16 / BLOCK_BITS)
     cells = hit_cells(wanted.select(key), blocks, 1)
     fetched = probed(rows.withColumn("digest", key), cells, blocks, blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES).where("possible").select("id", "text")
-    fetched = fetched.mapInArrow(shingled_rows, T.StructType([id_field, *longs[1:], T.StructField("shingles", T.BinaryType())]))
+    fetched = fetched.mapInArrow(giving_back(shingled_rows), T.StructType([id_field, *longs[1:], T.StructField("shingles", T.BinaryType())]))
     left, right = fetched.alias("f"), wanted.alias("w")
     same = F.col("f.id").eqNullSafe(F.col("w.id")) & (F.col("f.d1") == F.col("w.d1")) & (F.col("f.d2") == F.col("w.d2"))
     found = stored(left.join(right, same).select("w.node", "w.comp", "f.shingles"), "shingles")

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import giving_back
+
 CAPACITIES = (512, 1024, 2048, 4096)
 #: What a sequence costs besides its length, in tokens.
 SEQUENCE_COST = 16
@@ -133,4 +135,4 @@ def word_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(count, T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType())]))
+    return rows.mapInArrow(giving_back(count), T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType())]))
