@@ -27,6 +27,27 @@ def amendment_title(text: Column) -> Column:
     return F.concat(number, F.lit(" Amendment"), F.coalesce(F.concat(F.lit(" Section "), section), F.lit("")))
 
 
+# Numbers as words that may stand alone for an amendment, besides the first 26 ordinals.
+CARDINALS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
+
+
+def bare_amendments(df: DataFrame, titles: DataFrame, text: str) -> DataFrame:
+    """``df`` with the column title: "the 5th", "fifth" or "5" alone as the dictionary's "5th Amendment"; else null.
+
+    ``titles`` has the column title. Null texts and texts that speak of an amendment or an article have none.
+    """
+    t = F.lower(F.trim(F.col(text)))
+    alone = F.regexp_replace(t, r"^the\s+", "")
+    digits = F.nullif(F.regexp_extract(alone, r"^([0-9]+)(?:st|nd|rd|th)?$", 1), F.lit("")).try_cast("int")
+    words = [F.array(*map(F.lit, x)) for x in (CARDINALS, ORDINALS[:26], [o.replace("-", " ") for o in ORDINALS[:26]])]
+    number = F.coalesce(digits, *(F.nullif(F.array_position(x, alone), F.lit(0)).cast("int") for x in words))
+    last = number % 10
+    ending = F.when((number % 100).between(11, 13), "th").when(last == 1, "st").when(last == 2, "nd").when(last == 3, "rd").otherwise("th")
+    wanted = F.when(~t.rlike(r"\b(?:amendment|article)\b") & (number > 0), F.concat(number, ending, F.lit(" amendment")))
+    known = titles.groupBy(F.lower("title").alias("_wanted")).agg(F.min("title").alias("title"))
+    return df.withColumn("_wanted", wanted).join(known, "_wanted", "left").drop("_wanted")
+
+
 def article_and_section(text: Column) -> Column:
     """struct(article: "Article II" or null, section: int or null)."""
     t = normalised(text)

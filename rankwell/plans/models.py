@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pipeline, reranker, slots, triage
 from ..sources.tables import table
+from ..sources.writers import scratch
 from ..streaming import events as streams
 from .retrieval import _SCORES, EVERY, LIMITS, _queries, _vectors
 
@@ -86,8 +86,7 @@ def insights(spark, sf):
 def streaming_usage(spark, sf):
     path = f"{sf}/events.parquet"
     stream = streams.event_stream(spark, path, spark.read.parquet(path).schema)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rankwell-")
-    return streams.drained(streams.usage_by_window(stream), f"usage_{uuid.uuid4().hex}", "complete", f"{base}/usage-{uuid.uuid4().hex}").select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "hits", F.round("value", 4).alias("value"))
+    return streams.drained(streams.usage_by_window(stream), f"usage_{uuid.uuid4().hex}", "complete", scratch(spark, "usage")).select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "hits", F.round("value", 4).alias("value"))
 
 
 _Z = f"CASE WHEN score < {LIMITS.low} THEN 'rejected' WHEN score >= {LIMITS.accept} THEN 'accepted' WHEN score >= {LIMITS.verify} THEN 'needs_review' ELSE 'rejected' END"

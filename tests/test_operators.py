@@ -211,3 +211,20 @@ def test_library_stands_without_the_training_data_operators(tmp_path):
     shutil.rmtree(tmp_path / "rankwell/llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'vector_topk' in q and 'pipeline' not in q and not any(x.startswith('op') and x[2].isdigit() for x in q); assert s.keys() <= q.keys()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_answers_of_every_form(spark):
+    from rankwell.functions import answers
+
+    rows = [("Score: 7", 7), ("Score: 12 of 3", 3), ("it is 4 or 6.", 6), ("SCORE: Nine", 9), ("nothing", 5), ("", 5), (None, 5)]
+    found = spark.createDataFrame(rows, "answer string, wanted int").select("wanted", answers.verified_score(F.col("answer")).alias("score")).collect()
+    assert [r.score for r in found] == [r.wanted for r in found]
+
+
+def test_bare_amendments(spark):
+    from rankwell.operators import lexicon
+
+    titles = spark.createDataFrame([("1st Amendment",), ("12th Amendment",), ("22nd Amendment",)], "title string")
+    rows = [("the First", "1st Amendment"), ("one", "1st Amendment"), ("12", "12th Amendment"), ("twenty second", "22nd Amendment"), ("1st amendment", None), ("9", None), ("0", None), ("first rule", None), ("99999999999", None), ("", None), (None, None)]
+    found = lexicon.bare_amendments(spark.createDataFrame(rows, "asked string, wanted string"), titles, "asked").collect()
+    assert {(r.asked, r.title) for r in found} == set(rows)
