@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -290,8 +291,8 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
 
     Each row is decided where it lies, so nothing is shuffled. Null and empty texts stay.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    schema = T.StructType(list(rows.schema))
+    rows = docs.select(F.struct("*").alias("row"))
+    schema, text = T.StructType(list(rows.schema)), docs.columns.index(text_col)
     for block in _blocks(benchmark, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -300,7 +301,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
             for batch in batches:
                 finder = finder or PassageFinder(shared.value, edit_share)
                 stays = np.ones(batch.num_rows, bool)
-                stays[[d for d, *_ in _searched_texts(finder, batch.column(1).to_pylist())]] = False
+                stays[[d for d, *_ in _searched_texts(finder, pc.struct_field(batch.column(0), [text]).to_pylist())]] = False
                 yield batch.filter(pa.array(stays))
 
         rows = rows.mapInArrow(giving_back(clean), schema)

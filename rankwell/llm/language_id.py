@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -250,7 +251,7 @@ def identify_languages(docs: DataFrame, learn_from: Column | None = None, id_col
         parser = None
         for batch in batches:
             parser = parser or CrossParser(shared.value)
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            texts = [x or "" for x in (pc.struct_field(batch.column(0), [inside]) if inside >= 0 else batch.column(1)).to_pylist()]
             names, scores, lettered = [], [], []
             at = 0
             while at < len(texts):
@@ -263,7 +264,10 @@ def identify_languages(docs: DataFrame, learn_from: Column | None = None, id_col
                 at = to
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(lettered, pa.bool_())], ["row", "lang_pred", "score", "lettered"])
 
-    rows = docs.select(F.struct(*(carry or ["*"])).alias("row"), F.col(text_col).alias("text"))
+    # a text that its row carries is sent with the row only
+    names = carry or docs.columns
+    inside = names.index(text_col) if text_col in names else -1
+    rows = docs.select(F.struct(*(carry or ["*"])).alias("row"), *([F.col(text_col).alias("text")] if inside < 0 else []))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lettered", T.BooleanType())])
     return rows.mapInArrow(giving_back(predict), schema)
 
