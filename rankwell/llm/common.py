@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Groups with over 1/HOT_PARTS of the rows number fewer than HOT_PARTS.
 HOT_PARTS = 1000
+#: Bytes of an Arrow batch in the tables that operators write.
+ARROW_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,14 +52,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/rankwell-{uuid.uuid4().hex}/{name}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = ARROW_BYTES) -> Iterator[None]:
+    """Arrow batches of at most ``most`` bytes (and one row) for what is run inside, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    asked = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    if 0 < asked <= most:
+        yield
+        return
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    Cuts the lineage: a lost executor costs a re-read, never a recomputation.
+    Cuts the lineage: a lost executor costs a re-read, never a recomputation. Both sides
+    of an Arrow function hold a batch and copies of it, so batches are kept small.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rankwell_path = path
     return out
