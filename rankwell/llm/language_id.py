@@ -36,7 +36,7 @@ SYMBOLS = 64
 WINDOW = 256
 LANE = 2048
 #: Characters that are parsed at a time.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
 UNDETERMINED = "und"
 _NEW_PHRASE = 1 << 30
 
@@ -77,7 +77,7 @@ class SuffixAutomaton:
 
     def table(self) -> np.ndarray:
         """states x SYMBOLS: the state after a symbol; a phrase that cannot go on starts anew."""
-        root = np.zeros(SYMBOLS, np.int64)
+        root = np.zeros(SYMBOLS, np.int32)
         for c, s in self.next[0].items():
             root[c] = s
         out = np.tile(root | _NEW_PHRASE, (len(self.next), 1))
@@ -113,8 +113,8 @@ class CrossParser:
         for x in self.languages:
             one = SuffixAutomaton(self._lettered(_points(samples[x]))[1].tolist())
             if self.dense:
-                table = one.table()
-                tables.append((table & ~(_NEW_PHRASE - 1)) | ((table & (_NEW_PHRASE - 1)) + at))
+                tables.append(one.table())
+                tables[-1] += at  # the states of all languages are far fewer than _NEW_PHRASE
             else:
                 edges = sorted(((s + at) * self.symbols + c, t + at) for s, out in enumerate(one.next) for c, t in out.items())
                 keys += [k for k, _ in edges]
@@ -125,16 +125,20 @@ class CrossParser:
                 roots.append(root | _NEW_PHRASE)
             self.starts.append(at)
             at += len(one.next)
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.empty(0, np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
         self.keys, self.values, self.roots = np.array(keys, np.int64), np.array(values, np.int64), np.array(roots)
         self.bits = np.array([np.log2(max(2, len(samples[x]))) for x in self.languages])
 
     def _lettered(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each code point is a letter, and its symbol."""
-        far = points > 0xFFFF
-        near = np.where(far, 0, points)
+        far = np.flatnonzero(points > 0xFFFF)
+        if len(far):
+            near = points.copy()
+            near[far] = 0
+        else:
+            near = points
         letters, symbols = self.letter[near], self.symbol[near]
-        for k in np.flatnonzero(far):
+        for k in far:
             letters[k] = _is_letter(int(points[k]))
             symbols[k] = self.codes.get(chr(points[k]).lower(), 1) if letters[k] else 0
         return letters, symbols
@@ -163,7 +167,8 @@ class CrossParser:
         sizes = np.array([len(t) for t in texts], np.int64)
         letters, symbols = self._lettered(_points("".join(texts)))
         ends = np.cumsum(sizes)
-        sums = np.concatenate([[0], np.cumsum(letters)])
+        sums = np.zeros(len(letters) + 1, np.int32 if len(letters) < 1 << 31 else np.int64)
+        np.cumsum(letters, out=sums[1:])
         lettered = sums[ends] > sums[ends - sizes]
         total = np.zeros((len(self.languages), len(texts)))
         lanes = -(-sizes // LANE)
