@@ -54,6 +54,8 @@ def odd_dir(odd, empty, spark, tmp_path):
     for name, df in (("odd", odd), ("empty", empty)):
         df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([(1, None), (2, ""), (3, "no id here at all"), (4, "été"), (5, "no id here at all")], "item_id bigint, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        turns = [(1, None, None, None), (1, 0, "user", ""), (1, 0, "user", ""), (None, 0, "user", "x"), (100, 0, "user", "long " * 30000), (100, None, "user", "😀")] if name == "odd" else []
+        spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumns({c: F.lit(1) for c in ("label", "seq", "conv", "n", "pos")}).write.parquet(f"{tmp_path}/{name}/conversations.parquet")
     return tmp_path
 
 
@@ -63,6 +65,8 @@ def test_empty_tables_and_odd_rows(spark, odd_dir, name):
     rows = queries.QUERIES[name](spark, f"{odd_dir}/odd").collect()
     if name == "op1_decontamination":
         assert {(r.doc_id, r.item_id) for r in rows} == {(None, 3), (None, 5), (6, 4), (7, 4)} - {(6, 4)}
+    elif name == "op12_prefix_trie":
+        assert sorted((r.conv_id, r.depth, r.n_convs) for r in rows)[0] == (1, 0, 2)
     elif name != "op2_packing":
         assert collections.Counter(r.doc_id for r in rows) == collections.Counter(r[0] for r in ODD)
 
