@@ -36,16 +36,17 @@ def bare_amendments(df: DataFrame, titles: DataFrame, text: str) -> DataFrame:
 
     ``titles`` has the column title. Null texts and texts that speak of an amendment or an article have none.
     """
-    t = F.lower(F.trim(F.col(text)))
-    alone = F.regexp_replace(t, r"^the\s+", "")
-    digits = F.nullif(F.regexp_extract(alone, r"^([0-9]+)(?:st|nd|rd|th)?$", 1), F.lit("")).try_cast("int")
     words = [F.array(*map(F.lit, x)) for x in (CARDINALS, ORDINALS[:26], [o.replace("-", " ") for o in ORDINALS[:26]])]
-    number = F.coalesce(digits, *(F.nullif(F.array_position(x, alone), F.lit(0)).cast("int") for x in words))
-    last = number % 10
+    # one column after the other: what is used several times is computed once
+    out = df.withColumn("_t", F.lower(F.trim(F.col(text)))).withColumn("_alone", F.regexp_replace("_t", r"^the\s+", ""))
+    digits = F.nullif(F.regexp_extract("_alone", r"^([0-9]+)(?:st|nd|rd|th)?$", 1), F.lit("")).try_cast("int")
+    out = out.withColumn("_number", F.coalesce(digits, *(F.nullif(F.array_position(x, F.col("_alone")), F.lit(0)).cast("int") for x in words)))
+    number, last = F.col("_number"), F.col("_number") % 10
     ending = F.when((number % 100).between(11, 13), "th").when(last == 1, "st").when(last == 2, "nd").when(last == 3, "rd").otherwise("th")
-    wanted = F.when(~t.rlike(r"\b(?:amendment|article)\b") & (number > 0), F.concat(number, ending, F.lit(" amendment")))
+    wanted = F.when(~F.col("_t").rlike(r"\b(?:amendment|article)\b") & (number > 0), F.concat(number, ending, F.lit(" amendment")))
     known = titles.groupBy(F.lower("title").alias("_wanted")).agg(F.min("title").alias("title"))
-    return df.withColumn("_wanted", wanted).join(known, "_wanted", "left").drop("_wanted")
+    # behind a generator no filter on the title is pushed down and spelled out again below
+    return out.withColumn("_wanted", F.explode(F.array(wanted))).join(known, "_wanted", "left").drop("_wanted", "_t", "_alone", "_number")
 
 
 def article_and_section(text: Column) -> Column:

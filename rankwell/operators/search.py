@@ -9,12 +9,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
+from .vector_index import best_pairs, block_topk, result_schema, units
 
-#: Queries in one broadcast; a larger batch of queries takes several passes over the corpus.
+#: Queries in one broadcast; larger sets of queries are not broadcast.
 QUERY_BLOCK = 4096
 #: Scores are compared at this many decimals, so that ties do not hang on the last bit.
 DECIMALS = 6
@@ -30,66 +30,38 @@ def best_first(k: int, by: str = "query_id", score: str = "score", tie: str = "d
     return cut
 
 
-def _units(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-9)
-
-
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, decimals: int = DECIMALS) -> DataFrame:
     """query_id, doc_id, score, ord: the k corpus vectors of highest cosine for each query.
 
-    corpus: doc_id, embedding. queries: query_id, embedding. Each Arrow batch is multiplied
-    with a block of queries and gives its own k best, so what is shuffled is k rows per query
-    and batch, never a row per pair. Ids are of any type; those of the corpus are distinct.
+    corpus: doc_id, embedding. queries: query_id, embedding. Up to ``QUERY_BLOCK`` queries are broadcast: each
+    Arrow batch of the corpus is multiplied with them and gives its own k best. More queries meet the corpus in
+    blocks (:func:`.vector_index.block_topk`). Either way what is shuffled is k rows per query and batch, never a row
+    per pair. Ids are of any type; those of the corpus are distinct.
     Null ids, null vectors and those of another size or with a null in them are left out.
     """
-    spark = corpus.sparkSession
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", corpus.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
-    out = spark.createDataFrame([], schema)
+    spark, schema = corpus.sparkSession, result_schema(corpus, queries)
+    asked = queries.select("query_id", "embedding").where("embedding IS NOT NULL").limit(QUERY_BLOCK + 1).collect()
+    if not asked:
+        return spark.createDataFrame([], schema).transform(best_first(k))
+    if len(asked) > QUERY_BLOCK:
+        return block_topk(corpus, queries, k, exclude_self, decimals)
+    shared = spark.sparkContext.broadcast(([r[0] for r in asked], [list(r[1]) for r in asked]))
     query_type = to_arrow_type(queries.schema["query_id"].dataType)
-    block: list = []
-
-    def passed(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [list(r[1]) for r in rows]))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, vectors = shared.value
-            q = _units(np.array(vectors, np.float64))
-            asking = pa.array(names, query_type)
-            for batch in batches:
-                ids, found = batch.columns
-                fits = pc.and_(ids.is_valid(), pc.fill_null(pc.equal(pc.list_value_length(found), q.shape[1]), False))
-                ids, found = ids.filter(fits), found.filter(fits)
-                m = np.asarray(pc.list_flatten(found).to_numpy(zero_copy_only=False), np.float64).reshape(-1, q.shape[1])
-                whole = np.isfinite(m).all(1)
-                ids, m = ids.filter(pa.array(whole)), m[whole]
-                if not len(ids):
-                    continue
-                s = np.round(np.clip(_units(m) @ q.T, -1, 1), decimals)
-                place = {d: i for i, d in enumerate(ids.to_pylist())}
-                for j, name in enumerate(names):
-                    if exclude_self and name in place:
-                        s[place[name], j] = -2
-                most = min(len(ids), k)
-                edges = np.partition(s, len(ids) - most, axis=0)[len(ids) - most]
-                owners, rows = [], []
-                for j in range(len(names)):
-                    best = np.flatnonzero((s[:, j] >= edges[j]) & (s[:, j] >= -1))
-                    if len(best) > most:
-                        best = np.array(sorted(best.tolist(), key=lambda i, j=j: (-s[i, j], ids[i].as_py()))[:most])
-                    owners.append(np.full(len(best), j))
-                    rows.append(best)
-                owners, rows = np.concatenate(owners), np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([asking.take(pa.array(owners)), ids.take(pa.array(rows)), pa.array(s[rows, owners])], schema.names)
-
-        return corpus.select("doc_id", "embedding").mapInArrow(score, schema)
-
-    for row in queries.select("query_id", "embedding").where("embedding IS NOT NULL").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = out.unionByName(passed(block)), []
-    if block:
-        out = out.unionByName(passed(block))
-    return out.transform(best_first(k))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors = shared.value
+        q, names = units(np.array(vectors, np.float64)), pa.array(names, query_type)
+        for batch in batches:
+            ids, found = batch.columns
+            fits = pc.and_(ids.is_valid(), pc.fill_null(pc.equal(pc.list_value_length(found), q.shape[1]), False))
+            ids, found = ids.filter(fits), found.filter(fits)
+            m = np.asarray(pc.list_flatten(found).to_numpy(zero_copy_only=False), np.float64).reshape(-1, q.shape[1])
+            sound = np.isfinite(m).all(1)
+            ids, m = ids.filter(pa.array(sound)), m[sound]
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([*best_pairs(names, q, ids, units(m), k, exclude_self, decimals)], schema.names)
+
+    return corpus.select("doc_id", "embedding").mapInArrow(score, schema).transform(best_first(k))
 
 
 def merge_children(docs: DataFrame, children: DataFrame, k: int) -> DataFrame:

@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from rankwell.plans import corpus, models, records, retrieval, workflow
+from rankwell.plans import corpus, matching, models, records, retrieval, search_indexes, workflow
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = retrieval.QUERIES | corpus.QUERIES | models.QUERIES | workflow.QUERIES | records.QUERIES
-SQL = retrieval.ORACLE_SQL | corpus.ORACLE_SQL | models.ORACLE_SQL | workflow.ORACLE_SQL | records.ORACLE_SQL
+QUERIES = retrieval.QUERIES | corpus.QUERIES | models.QUERIES | workflow.QUERIES | records.QUERIES | search_indexes.QUERIES | matching.QUERIES
+SQL = retrieval.ORACLE_SQL | corpus.ORACLE_SQL | models.ORACLE_SQL | workflow.ORACLE_SQL | records.ORACLE_SQL | search_indexes.ORACLE_SQL | matching.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
