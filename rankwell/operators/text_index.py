@@ -21,7 +21,9 @@ from ..functions.vectors import normalised_search_score
 from ..sources.writers import scratch
 
 #: Documents of a block, and steps of length per doubling by which blocks differ.
-BLOCK_DOCS, STEPS = 64, 4
+BLOCK_DOCS, STEPS = 128, 4
+#: Tokens with over 1/HOT of all postings are fewer than HOT.
+HOT = 10_000
 #: Postings per token that are kept as its best; also the most results a search can be asked for.
 CHAMPIONS = 128
 #: Saturation of term frequencies and weight of lengths.
@@ -43,38 +45,64 @@ class TextIndex:
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _terms(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """doc_id, step, and per field (number f) each token with its count (tf) and the field's length, without moving a row.
+
+    A field's words are sorted, and where the word changes a run begins.
+    """
+    words = [tokens(F.col(name)) for name in fields]
+    rows = docs.select("doc_id", F.array(*(F.array_sort(w) for w in words)).alias("words"))
+    rows = rows.withColumn("step", _step(F.aggregate("words", F.lit(0), lambda n, w: n + F.size(w))))
+    rows = rows.select("doc_id", "step", F.posexplode("words").alias("f", "w")).withColumn("length", F.size("w")).where("length > 0")
+    begins = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (F.element_at("w", i) != F.element_at("w", F.greatest(i - 1, F.lit(1)))))
+    rows = rows.withColumn("begins", begins)
+    runs = F.transform("begins", lambda i, j: F.struct(F.element_at("w", i).alias("token"), (F.coalesce(F.get("begins", j + 1), F.col("length") + 1) - i).alias("tf")))
+    return rows.select("doc_id", "step", F.col("f").cast("byte").alias("f"), "length", F.explode(runs).alias("run")).select("doc_id", "step", "f", "length", "run.token", "run.tf")
+
+
+def _step(words):
+    return F.floor(F.log2(words + 1) * STEPS).cast("int")
+
+
 def build_text_index(docs: DataFrame, weights: dict[str, float], k1: float = K1, b: float = B) -> TextIndex:
-    """Index doc_id and the fields of ``weights``; null fields are empty, and so are documents without a word.
+    """Index doc_id (distinct) and the fields of ``weights``; null fields are empty, and so are documents without a word.
 
     A field's part of a posting is weight x idf x tf (k1 + 1) / (tf + k1 (1 - b + b length / mean length)), with
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)) by field. Rows of equal doc_id count as one document of all their words.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)) by field. Postings move once, by token; the tokens that many
+    documents share number few, are told their frequency by broadcast and spread over all tasks.
     """
-    words = F.array(*(F.struct(F.lit(name).alias("field"), tokens(F.col(name)).alias("words")) for name in weights))
-    fields = docs.select("doc_id", F.explode(words).alias("f")).select("doc_id", "f.field", "f.words", F.size("f.words").alias("length"))
-    stats = fields.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).collect()  # one row per field
-    mean = {r["field"]: r["mean"] or 1.0 for r in stats}
-    n = max((r["n"] for r in stats), default=0)
-    counted = fields.select("doc_id", "field", "length", F.explode("words").alias("token")).groupBy("doc_id", "field", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
-    counted = _stored(counted, "counts")
-    held = counted.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
-    pick = lambda values: F.element_at(F.create_map(*(x for name in weights for x in (F.lit(name), F.lit(float(values.get(name, 1.0)))))), F.col("field"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = pick(weights) * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / pick(mean)))
-    # a stop word's rows are many and its frequency one row: adaptive execution splits or broadcasts
-    rows = counted.join(held, ["field", "token"]).groupBy("doc_id", "token").agg(F.sum(part).alias("impact"))
-
-    lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("words")).withColumn("step", F.floor(F.log2(F.col("words") + 1) * STEPS))
-    steps = F.broadcast(lengths.groupBy("step").agg(F.count(F.lit(1)).alias("held")))  # some hundred rows: steps of a logarithm
-    block = F.col("step") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), F.expr(f"held DIV {BLOCK_DOCS} + 1"))
-    blocks = lengths.join(steps, "step").select("doc_id", block.alias("block"))
-    rows = _stored(rows.join(blocks, "doc_id").select("token", "block", "doc_id", "impact"), "unsorted")
-    # ranges of (token, block), so that a stop word is many files and a search skips most row groups
-    postings = _stored(rows.repartitionByRange("token", "block").sortWithinPartitions("token", "block"), "postings")
-    maxima = _stored(postings.groupBy("token", "block").agg(F.max("impact").alias("top"), F.count(F.lit(1)).alias("n")), "maxima")
+    spark, names = docs.sparkSession, list(weights)
+    sizes = docs.select(F.array(*(F.size(tokens(F.col(name))) for name in names)).alias("sizes"))
+    sums = [F.sum(F.col("sizes")[i]).alias(f"s{i}") for i in range(len(names))]
+    stats = sizes.groupBy(_step(F.aggregate("sizes", F.lit(0), lambda n, x: n + x)).alias("step")).agg(F.count(F.lit(1)).alias("held"), *sums).collect()  # steps of a logarithm
+    n = sum(r["held"] for r in stats)
+    means = [(sum(r[f"s{i}"] for r in stats) / n if n else 0) or 1.0 for i in range(len(names))]
+    held = {r["step"]: r["held"] for r in stats} or {0: 0}
+
+    rows = _terms(docs, names)
+    known = rows.groupBy("f", "token").agg(F.count(F.lit(1)).alias("df"))
+    known = _stored(known.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("f", "df"))).alias("dfs"), F.sum("df").alias("all")), "frequencies")
+    total = known.agg(F.sum("all")).first()[0] or 0
+    # tokens with over 1/HOT of all postings number fewer than HOT
+    hot, cold = known.where(F.col("all") * HOT > total).select("token", "dfs"), known.where(F.col("all") * HOT <= total).select("token", "dfs")
+    parts = F.element_at(F.create_map(*(F.lit(x) for pair in held.items() for x in (pair[0], pair[1] // BLOCK_DOCS + 1))), F.col("step"))
+    block = (F.col("step") * (1 << 24) + F.pmod(F.xxhash64("doc_id"), parts).cast("int")).alias("block")
+    rows = rows.select("doc_id", block, "f", "length", "token", "tf")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("f") + 1)
+    df = F.element_at("dfs", F.col("f"))
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    part = pick(list(map(float, weights.values()))) * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / pick(means)))
+    marked = rows.join(F.broadcast(hot), "token", "left")
+    path = scratch(spark, "postings")
+    for name, own in (("hot", marked.where("dfs IS NOT NULL")), ("cold", marked.where("dfs IS NULL").drop("dfs").join(cold, "token"))):
+        own = own.groupBy("doc_id", "token").agg(F.first("block").alias("block"), F.sum(part).alias("impact")).select("token", "block", "doc_id", "impact")
+        own.sortWithinPartitions("token", "block", "doc_id").write.option("compression", "zstd").parquet(f"{path}/part={name}")
+    postings = spark.read.schema(own.schema).parquet(f"{path}/part=hot", f"{path}/part=cold")
+    maxima = _stored(postings.groupBy("token", "block").agg(F.max("impact").alias("top"), F.count(F.lit(1)).cast("int").alias("n")), "maxima")
     # the cut goes into the tasks before the shuffle, so a token sends CHAMPIONS rows a task at most
     w = Window.partitionBy("token").orderBy(F.desc("impact"), "doc_id")
     best = _stored(postings.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= CHAMPIONS).select("token", "doc_id", "impact"), "best")

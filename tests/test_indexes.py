@@ -129,7 +129,7 @@ def scores_by_hand(rows, query, weights, k1=1.2, b=0.75):
     return out
 
 
-@pytest.mark.parametrize("block", [64, 4])
+@pytest.mark.parametrize("block", [128, 4])
 def test_text_search_is_exhaustive(spark, monkeypatch, block):
     monkeypatch.setattr(text_index, "BLOCK_DOCS", block)
     rng = random.Random(1)
