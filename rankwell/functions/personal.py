@@ -33,20 +33,21 @@ def _labelled_place(match: re.Match) -> str:
 
 
 ADDRESS, PLACE = re.compile(_ADDRESS, re.I), re.compile(_PLACE, re.I)
-#: (pattern, replacement) in order of priority; a replacement of None keeps the span as it is.
+_DIGITS = tuple("0123456789")
+#: (what a text must hold one of for the rule to matter, pattern, replacement) in order of priority; a replacement of None keeps the span.
 RULES = [
-    (re.compile("|".join(rf"(?<!\w){re.escape(t)}(?!\w)" for t in PROTECTED), re.I), None),
-    (re.compile(r"(?<=\bname)[ \t]*[:-][ \t]*[^\n,]+", re.I), ": a person"),
-    (re.compile(r"(?:(?<=\bemail)|(?<=\be-mail))[ \t]*[:-][ \t]*\S+", re.I), ": an email"),
-    (re.compile(r"(?:(?<=\bphone)|(?<=\btel)|(?<=\btelephone)|(?<=\bmobile))[ \t]*[:-][ \t]*\+?[\d(][\d \t().-]*", re.I), ": a phone number"),
-    (re.compile(r"(?:(?<=\baddress)|(?<=\baddr))[ \t]*[:-][ \t]*(?P<body>[^\n]+)", re.I), _labelled_place),
-    (re.compile(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"), "an email"),
-    (re.compile(r"\+?\d[\d \t().-]{6,}\d"), "a phone number"),
-    (ADDRESS, _city),
-    (re.compile(_STREET, re.I), "a location"),
+    (tuple(t.lower() for t in PROTECTED), re.compile("|".join(rf"(?<!\w){re.escape(t)}(?!\w)" for t in PROTECTED), re.I), None),
+    (("name",), re.compile(r"(?<=\bname)[ \t]*[:-][ \t]*[^\n,]+", re.I), ": a person"),
+    (("email", "e-mail"), re.compile(r"(?:(?<=\bemail)|(?<=\be-mail))[ \t]*[:-][ \t]*\S+", re.I), ": an email"),
+    (("phone", "tel", "mobile"), re.compile(r"(?:(?<=\bphone)|(?<=\btel)|(?<=\btelephone)|(?<=\bmobile))[ \t]*[:-][ \t]*\+?[\d(][\d \t().-]*", re.I), ": a phone number"),
+    (("addr",), re.compile(r"(?:(?<=\baddress)|(?<=\baddr))[ \t]*[:-][ \t]*(?P<body>[^\n]+)", re.I), _labelled_place),
+    (("@",), re.compile(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"), "an email"),
+    (_DIGITS, re.compile(r"\+?\d[\d \t().-]{6,}\d"), "a phone number"),
+    (_DIGITS, ADDRESS, _city),
+    (_DIGITS, re.compile(_STREET, re.I), "a location"),
 ]
 #: The rule for any "city, region" without a number before it; it takes much that is none, so it is asked for.
-PLACES = (PLACE, _city)
+PLACES = ((",",), PLACE, _city)
 
 
 def _outside(parts: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
@@ -58,8 +59,11 @@ def spans(text: str, places: bool = False) -> list[tuple[int, int, str | None]]:
     """Disjoint (start, end, replacement) in order, after priorities; parts after a span's first vanish."""
     taken: list[tuple[int, int]] = []
     out: list[tuple[int, int, str | None]] = []
-    for pattern, by in [*RULES, PLACES] if places else RULES:
+    lowered = text.lower()
+    for needs, pattern, by in [*RULES, PLACES] if places else RULES:
         new, at = [], 0
+        if not any(x in lowered for x in needs):
+            continue
         while match := pattern.search(text, at):
             inside = next((end for start, end in taken if start <= match.start() < end), None)
             at = inside or max(match.end(), match.start() + 1)

@@ -36,7 +36,12 @@ def multiplier(score: Column, low: float = 0.5, high: float = 1.5) -> Column:
 
 def adjusted(base: Column, answer: Column, low: float = 0.5, high: float = 1.5) -> Column:
     """Base times the answer's multiplier, 1 at most; the base itself if no score can be read."""
-    new = base * multiplier(parsed_score(answer), low, high)
+    return adjusted_by(base, parsed_score(answer), low, high)
+
+
+def adjusted_by(base: Column, score: Column, low: float = 0.5, high: float = 1.5) -> Column:
+    """:func:`adjusted` by a score that has been read (null: none)."""
+    new = base * multiplier(score, low, high)
     return F.when(new.isNull(), base).otherwise(F.least(new, F.lit(1.0)))
 
 

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def content_digest(df: DataFrame, compared: list[str]) -> Column:
+    """SHA-256 of the compared columns without surrounding white space; null counts as empty."""
+    norm = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    return F.sha2(F.concat_ws("\u0001", *(norm(df[c]) for c in compared)), 256)
+
+
 def changed(old: DataFrame, new: DataFrame, key: str, compared: list[str]) -> DataFrame:
     """key and change: new, updated, deleted or same; texts are compared without surrounding white space."""
-    norm = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^\s+|\s+$", "")
-    digest = lambda df: F.sha2(F.concat_ws("\u0001", *(norm(df[c]) for c in compared)), 256)
-    a = old.select(F.col(key), digest(old).alias("__a"))
-    b = new.select(F.col(key), digest(new).alias("__b"))
+    a = old.select(F.col(key), content_digest(old, compared).alias("__a"))
+    b = new.select(F.col(key), content_digest(new, compared).alias("__b"))
     change = F.when(F.col("__a").isNull(), "new").when(F.col("__b").isNull(), "deleted").when(F.col("__a") != F.col("__b"), "updated").otherwise("same")
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import adjusted
+from ..functions.scores import adjusted_by, parsed_score
 from ..functions.text import normalised
 from . import triage
 from .search import vector_topk
@@ -52,8 +52,9 @@ def searched(queries: DataFrame, corpus: DataFrame, t: triage.Thresholds, s: Sta
             sure = zoned.where("zone = 'accepted'").select(*rows.columns)
             rows = zoned.where("zone = 'needs_review'").select(*rows.columns)
         if s.judge:
-            asked = s.judge(rows)
-            rows = asked.withColumn("score", adjusted(F.col("score"), F.col("answer"))).where(F.col("score") >= t.accept).select(*rows.columns)
+            # behind a generator the reading of answers is not spelled out again in every use
+            asked = s.judge(rows).withColumn("_read", F.explode(F.array(parsed_score(F.col("answer")))))
+            rows = asked.withColumn("score", adjusted_by(F.col("score"), F.col("_read"))).where(F.col("score") >= t.accept).select(*rows.columns)
         elif s.predict:
             rows = rows.where(F.lit(False))  # nobody judges the uncertain ones
         return rows if sure is None else sure.unionByName(rows)

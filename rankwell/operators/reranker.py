@@ -11,9 +11,11 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import kept, seeded_ranks
+
 
 def fit(rows: DataFrame, features: list[str], label: str = "label", hidden: tuple[int, ...] = (64, 32, 16), seed: int = 42, kind: str = "mlp") -> PipelineModel:
     """Scaled features into a multilayer perceptron (or a logistic regression)."""
@@ -42,6 +44,31 @@ def folds(rows: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
     return rows.withColumn("fold", F.pmod(F.xxhash64(mixed, F.col(label)), F.lit(k)).cast("int"))
 
 
+def stratified_folds(rows: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """``rows`` with a fold from 0 to k - 1, dealt within each label in random order: a label's counts differ by one at most."""
+    ranked = seeded_ranks(kept(rows, "rows"), [key], seed, "_rank", by=label)
+    return ranked.withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_rank")
+
+
+def out_of_fold(rows: DataFrame, features: list[str], label: str = "label", k: int = 5, **how) -> DataFrame:
+    """``rows`` (with a column fold) and ``p``, each from the model that was fitted on the other folds; stored."""
+    rows = kept(rows, "folds")
+    parts = [scored(rows.where(F.col("fold") == f), fit(rows.where(F.col("fold") != f), features, label, **how), features) for f in range(k)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return kept(out, "out-of-fold")
+
+
+def cross_calibrated(rows: DataFrame, label: str = "label", k: int = 5) -> DataFrame:
+    """Out-of-fold rows with ``calibrated``: p through the isotonic curve that the other folds' probabilities give."""
+    parts = [calibrator(rows.where(F.col("fold") != f), "p", label).transform(rows.where(F.col("fold") == f)) for f in range(k)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def classifier_metrics(rows: DataFrame, p: str = "p", label: str = "label", cut: float = 0.5) -> DataFrame:
     """n, accuracy, precision, recall, f1 in one aggregate."""
     yes, true = F.col(p) >= cut, F.col(label) == 1
@@ -56,14 +83,41 @@ def auc(rows: DataFrame, p: str = "p", label: str = "label") -> float:
     return BinaryClassificationEvaluator(rawPredictionCol=p, labelCol=label).evaluate(rows)
 
 
-def permutation_importance(rows: DataFrame, model: PipelineModel, features: list[str], label: str = "label") -> list[tuple[str, float]]:
-    """Loss of AUC when one feature is shifted by one row in hash order; one pass per feature."""
-    base = auc(scored(rows, model, features), label=label)
-    out = []
-    for name in features:
-        w = Window.partitionBy(F.pmod(F.xxhash64(*features), F.lit(64))).orderBy(F.xxhash64(*reversed(features)))
-        out.append((name, base - auc(scored(rows.withColumn(name, F.lag(name, 1, 0.0).over(w)), model, features), label=label)))
-    return sorted(out, key=lambda x: -x[1])
+def permuted(rows: DataFrame, features: list[str], key: str, repeats: int = 3, seed: int = 42) -> DataFrame:
+    """``rows`` once as they are (feature null) and, for each repeat and feature, with that feature's values shuffled among the rows.
+
+    A row takes the value of the row that has its place in another random order, so each column keeps its values.
+    The two orders are joined once per repeat, for all features together.
+    """
+    rows = kept(rows, "rows")
+    here = kept(seeded_ranks(rows, [key], seed, "_at"), "here")
+    out = None
+    for r in range(repeats):
+        there = seeded_ranks(rows.select(key, *features), [key], seed + r + 1, "_at").select("_at", *(F.col(f).alias(f"_{f}") for f in features))
+        both = here.join(there, "_at").drop("_at")
+        variants = F.array(*(F.struct(F.lit(f).alias("feature"), *((F.col(f"_{g}") if g == f else F.col(g)).alias(g) for g in features)) for f in features))
+        part = both.select(*(c for c in rows.columns if c not in features), F.lit(r).alias("repeat"), F.explode(variants).alias("_v"))
+        part = part.select(*(c for c in rows.columns if c not in features), "repeat", "_v.*")
+        out = part if out is None else out.unionByName(part)
+    return out.unionByName(rows.withColumn("repeat", F.lit(0)).withColumn("feature", F.lit(None).cast("string")))
+
+
+def importances(rows: DataFrame, model: PipelineModel, features: list[str], key: str, label: str = "label", repeats: int = 3, seed: int = 42, cut: float = 0.5) -> DataFrame:
+    """feature, importance_mean, importance_std (population): the loss of F1 when a feature is shuffled; all rows and features in one pass."""
+    found = scored(permuted(rows, features, key, repeats, seed), model, features)
+    yes, true = F.col("p") >= cut, F.col(label) == 1
+    counts = found.groupBy("feature", "repeat").agg(F.count_if(yes & true).alias("tp"), F.count_if(yes & ~true).alias("fp"), F.count_if(~yes & true).alias("fn"))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    told = kept(counts.select("feature", "repeat", f1.alias("f1")), "f1")  # features x repeats rows
+    base = told.where("feature IS NULL").select(F.col("f1").alias("base"))
+    losses = told.where("feature IS NOT NULL").join(F.broadcast(base), F.lit(True)).withColumn("loss", F.col("base") - F.col("f1"))
+    return losses.groupBy("feature").agg(F.round(F.avg("loss"), 6).alias("importance_mean"), F.round(F.stddev_pop("loss"), 6).alias("importance_std"))
+
+
+def permutation_importance(rows: DataFrame, model: PipelineModel, features: list[str], label: str = "label", key: str | None = None) -> list[tuple[str, float]]:
+    """(feature, mean loss of F1), the greatest loss first; one entry per feature. Without a key the features tell rows apart."""
+    found = importances(rows.withColumn("_key", F.xxhash64(*([key] if key else features))), model, features, "_key", label)
+    return sorted(((r["feature"], r["importance_mean"]) for r in found.collect()), key=lambda x: -x[1])
 
 
 def relevance_label(title: Column, expected: Column) -> Column:

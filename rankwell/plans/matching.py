@@ -11,9 +11,6 @@ from ..operators import term_scan
 from ..operators.lexicon import ORDINALS, ordinal
 from ..sources.tables import table
 
-_ORDINAL_WORDS = F.array(*map(F.lit, ORDINALS[:20]))
-
-
 def _statutes(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Titles and articles with sections that stand in for a collection of statutes, from ``part``."""
     p = table(spark, sf, "part")
@@ -27,7 +24,7 @@ def _asked(spark, sf) -> DataFrame:
     """Four kinds of questions, made from the columns of every part."""
     p = table(spark, sf, "part")
     n, key = F.col("p_size").cast("string"), F.col("p_partkey")
-    word = F.element_at(_ORDINAL_WORDS, F.col("p_size") % 20 + 1)
+    word = F.element_at(F.array(*map(F.lit, ORDINALS[:20])), F.col("p_size") % 20 + 1)
     kinds = (
         F.concat(F.lit("Is "), "p_name", F.lit(" in article "), n, F.lit(" section "), (key % 12).cast("string"), F.lit(" and section 3 or section 3?")),
         F.concat(F.lit("the "), n, F.lit("th")),

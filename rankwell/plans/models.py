@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scores import adjusted
 from ..operators import pipeline, reranker, slots, triage
 from ..sources.tables import table
 from ..sources.writers import scratch
+from ..streaming import changes as change_stream
 from ..streaming import events as streams
 from .retrieval import _SCORES, EVERY, LIMITS, _queries, _vectors
 
@@ -54,18 +56,51 @@ def _rows(spark, sf):
 
 
 def mlp_rerank(spark, sf):
-    rows = reranker.folds(_rows(spark, sf), "label", "doc_id").cache()
+    rows = reranker.kept(reranker.folds(_rows(spark, sf), "label", "doc_id"), "labelled")
     model = reranker.fit(rows.where("fold <> 0"), _FEATURES, hidden=(16, 8))
     out = triage.by_probability(reranker.scored(rows, model, _FEATURES))
     return out.select("doc_id", "label", F.round("p", 6).alias("p"), "zone", (F.col("fold") == 0).alias("held_out"))
 
 
 def reranker_metrics(spark, sf):
-    rows = reranker.folds(_rows(spark, sf), "label", "doc_id").cache()
+    rows = reranker.kept(reranker.folds(_rows(spark, sf), "label", "doc_id"), "labelled")
     model = reranker.fit(rows.where("fold <> 0"), _FEATURES, kind="logistic")
     return reranker.classifier_metrics(reranker.scored(rows.where("fold = 0"), model, _FEATURES))
 
 
+def stratified_folds(spark, sf):
+    """Labelled documents, dealt into five folds."""
+    rows = reranker.stratified_folds(_rows(spark, sf).select("doc_id", "label"), "label", "doc_id")
+    return rows.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def oof_calibration(spark, sf):
+    """Out-of-fold probabilities of a label by text features, before and after calibration."""
+    rows = reranker.stratified_folds(_rows(spark, sf), "label", "doc_id")
+    rows = reranker.cross_calibrated(reranker.out_of_fold(rows, _FEATURES, kind="logistic"))
+    return rows.select("doc_id", "label", "fold", F.round("p", 6).alias("p"), F.round("calibrated", 6).alias("calibrated"))
+
+
+def feature_importance(spark, sf):
+    rows = reranker.kept(_rows(spark, sf), "labelled")
+    model = reranker.fit(rows, _FEATURES, kind="logistic")
+    return reranker.importances(rows, model, _FEATURES, "doc_id")
+
+
+def _rated(prompts: list[str], attempt: int) -> list[str]:
+    """A stand-in judge that rates a page by its lines and is down for every third of its batches at first."""
+    if attempt == 1 and len(prompts[0]) % 3 == 0:
+        raise TimeoutError("busy")
+    return [f"Score: {min(9, p.count(chr(10)))}" for p in prompts]
+
+
+def verified_with_memo(spark, sf):
+    """Every document's text is rated; failed batches are asked again, and equal texts once."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = slots.answered(docs, "text", _rated, slots.Memo(scratch(spark, "memo")), batch=8)
+    return out.select("doc_id", F.round(adjusted(F.lit(0.5), F.col("answer")), 6).alias("score"), F.col("status.ok").alias("ok"))
+
+
 def hash_embed(spark, sf):
     q = table(spark, sf, "benchmark")
     out = slots.with_slot(q, "text", slots.hash_embedding, "array<double>", "embedding")
@@ -83,6 +118,17 @@ def insights(spark, sf):
     return d.select("item_id", slots.insight(F.concat(F.lit("Item "), "item_id"), F.col("text"), F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D"))).alias("insight"))
 
 
+def weekly_changes(spark, sf):
+    """Two snapshots of the documents, a week apart, each taken in by a run of the stream; what the second one changed."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    new = d.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(F.concat(F.lit(" "), "text")))
+    watch = change_stream.Watch(scratch(spark, "snapshots"), scratch(spark, "changes"), scratch(spark, "checkpoint"), "doc_id", ("text", "lang"))
+    for snapshot in (d.where("doc_id % 5 <> 0"), new):
+        watch.add(snapshot)
+        watch.run(spark)
+    return watch.changes(spark, 2).select("doc_id", "change")
+
+
 def streaming_usage(spark, sf):
     path = f"{sf}/events.parquet"
     stream = streams.event_stream(spark, path, spark.read.parquet(path).schema)
@@ -103,8 +149,14 @@ ORACLE_SQL = {
         SELECT query_id, doc_id, score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM t) WHERE round(top - score, 9) <= 0.1""",
     "insights": "SELECT item_id, concat_ws(' ', 'Item ' || item_id || ':', substring(text, 1, 300), 'A, B, C') AS insight FROM benchmark",
     "streaming_usage": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, user_id, count(*) AS hits, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
+    "stratified_folds": "SELECT label, fold, count(*) AS n FROM (SELECT quality::DOUBLE AS label, CAST((row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5 AS INT) AS fold FROM labels JOIN documents USING (doc_id)) GROUP BY label, fold",
+    "verified_with_memo": "SELECT doc_id, CASE WHEN text IS NULL THEN 0.5 ELSE round(least(0.5::DOUBLE * (0.5::DOUBLE + least(9, length(text) - length(replace(text, chr(10), ''))) / 9.0::DOUBLE), 1), 6) END AS score, text IS NOT NULL AS ok FROM documents",
+    "weekly_changes": """WITH a AS (SELECT doc_id, trim(text) AS t, lang FROM documents WHERE doc_id % 5 <> 0),
+        b AS (SELECT doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN text || ' more' ELSE ' ' || text END) AS t, lang FROM documents WHERE doc_id % 7 <> 0)
+        SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'deleted' ELSE 'updated' END AS change
+        FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.t IS DISTINCT FROM b.t OR a.lang IS DISTINCT FROM b.lang""",
     "llm_verify_slot": "SELECT item_id, 'Score: ' || (length(text) % 10) AS answer FROM benchmark",
     "hash_embed": "SELECT item_id, 384 AS size, 1.0::DOUBLE AS norm FROM benchmark",
 }
-_NO_SQL = ("mlp_rerank", "reranker_metrics")
+_NO_SQL = ("mlp_rerank", "reranker_metrics", "oof_calibration", "feature_importance")
 QUERIES = {name: globals()[name] for name in (*ORACLE_SQL, *_NO_SQL)}

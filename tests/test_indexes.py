@@ -213,7 +213,7 @@ def test_labels_of_a_query(spark):
 def masked_by_hand(text, places):
     """Each character belongs to the first rule's match that covers it; matches begin on free characters only."""
     owner = [None] * len(text)
-    for k, (pattern, by) in enumerate([*personal.RULES, personal.PLACES] if places else personal.RULES):
+    for k, (_, pattern, by) in enumerate([*personal.RULES, personal.PLACES] if places else personal.RULES):
         free, at, found = [o is None for o in owner], 0, []
         while m := pattern.search(text, at):
             if free[m.start()]:
