@@ -192,3 +192,39 @@ def test_main_block_of_a_page():
 def test_main_blocks_of_a_table(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, "<p>hi</p>", "y")], "page_id int, html string, tag string")
     assert {(r.page_id, r.main) for r in main_blocks(rows, "html", ["page_id"]).collect()} == {(1, ""), (2, "hi")}
+
+
+# --- records of unlike shapes
+
+
+def hierarchy(spark, json, shape):
+    from rankwell.operators.shapes import hierarchies
+
+    r = hierarchies(spark.createDataFrame([(1, json)], "i int, json string"), "json", shape).first().asDict(recursive=True)
+    return r | {"children": [tuple(c.values()) for c in r["children"]]}
+
+
+def test_shapes_of_odd_records(spark):
+    from rankwell.operators.shapes import SHAPES, Shape
+
+    law, rules, acts = SHAPES["annotated_law"], SHAPES["regulations"], SHAPES["statutes"]
+    for odd in (None, "", "no json", "[]", "3", "{}", '{"clauses": "x", "title": null, "text": ""}', '{"clauses": []}'):
+        assert hierarchy(spark, odd, law) == {"i": 1, "article": None, "section": None, "title": "", "children": []}
+    assert hierarchy(spark, '{"clauses": ["bare", {"number": 7}, null, {"text": "t", "title": "T", "x": 1}], "article": 5}', law)["children"] == [(None, "", "bare"), ("7", "", ""), (None, "", ""), (None, "T", "t")]
+    got = hierarchy(spark, '{"sections": [], "clauses": [{"number": 9}, {"number": 4, "text": "t"}], "article": "Title 8", "section": "§ 103.2(a)"}', rules)
+    assert got["children"] == [("2", "", "t")] and got["title"] == "Title 8 Section 103.2" and got["section_number"] == "103.2"
+    assert hierarchy(spark, '{"title": "§ 1.2 Scope."}', rules)["children"] == [("1", "Scope", "")]
+    only = hierarchy(spark, '{"section": [{"number": 12, "text": "t"}], "title": " Act "}', acts)
+    assert only["children"] == [("1", "Act", "t")] and only["section"] == "12"
+    assert hierarchy(spark, '{"section": [{"title": "First"}, {"text": "t"}]}', acts)["title"] == "First"
+    flat = hierarchy(spark, '{"clauses": [{"text": " a"}, {"title": "x"}, {"text": "b"}], "text": "c "}', Shape(flat=True, wrap=""))
+    assert flat["text"] == "a b c"
+
+
+def test_variants_are_parsed_once(spark):
+    from rankwell.operators.shapes import SHAPES, hierarchies, stored_variants
+
+    rows = spark.createDataFrame([(1, '{"title": "A", "text": "b", "article": "c"}'), (2, None)], "i int, json string")
+    kept = stored_variants(rows, "json")
+    for shape in SHAPES.values():
+        assert hierarchies(kept, "json", shape).collect() == hierarchies(rows, "json", shape).collect()
