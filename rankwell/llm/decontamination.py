@@ -4,7 +4,9 @@ An item of n characters that occurs in a text with at most k edits leaves at lea
 n + 1 - Q - k * Q of its q-grams in place, on diagonals (text position minus item
 position) that differ by at most k. So shared q-grams are counted in overlapping
 diagonal bands, bands that reach the bound are kept, and a banded alignment verifies
-them. Item q-grams that are common within the benchmark may be left out of the
+them. Where so many edits may leave no q-gram of a short item in place, the item is cut
+into one piece more than edits: some piece is left as it was, and each place where one
+stands is verified. Item q-grams that are common within the benchmark may be left out of the
 count; the bound then counts only the others, so nothing is lost.
 
 Texts and items are compared in normal form: letters A-Z lower-cased and runs of
@@ -112,7 +114,9 @@ class PassageFinder:
         self.keys = [k for _, k in long]
         self.forms = [np.frombuffer(f, np.uint8) for f, _ in long]
         sizes = np.array([len(f) for f in self.forms], np.int64)
-        self.budget = np.minimum((edit_share * sizes).astype(np.int64), (sizes - Q) // Q)
+        self.budget = (edit_share * sizes).astype(np.int64)
+        # short items that the q-grams can't vouch for: their pieces, with their places
+        self.brief = {int(i): self._pieces(self.forms[i].tobytes(), int(self.budget[i])) for i in np.flatnonzero(self.budget > (sizes - Q) // Q)}
         codes = [_grams(f) for f in self.forms]
         every = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(codes)), [len(c) for c in codes]) if codes else np.empty(0, np.int64)
@@ -120,8 +124,9 @@ class PassageFinder:
         _, back, times = np.unique(every, return_inverse=True, return_counts=True)
         times = times[back] if len(every) else times
         bound = sizes - Q + 1 - self.budget * Q
-        counted = np.ones(len(every), bool)
         open_ = np.ones(len(codes), bool)
+        open_[list(self.brief)] = False
+        counted = open_[item]
         for most in _COMMON:
             rare = np.bincount(item[times <= most], minlength=len(codes)) - self.budget * Q
             chosen = open_ & (rare >= _ENOUGH)
@@ -136,6 +141,25 @@ class PassageFinder:
         self.bitmap = np.zeros(1 << _BITMAP_BITS, bool)
         self.bitmap[_slot(self.codes)] = True
 
+    @staticmethod
+    def _pieces(form: bytes, edits: int) -> list[tuple[int, bytes]]:
+        cuts = [len(form) * j // (edits + 1) for j in range(edits + 2)]
+        return [(a, form[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _brief_candidates(self, normal: np.ndarray) -> tuple[list[int], list[int]]:
+        """Short items and the diagonals on which one of their pieces stands."""
+        flat, items, diagonals = normal.tobytes() if self.brief else b"", [], []
+        for i, pieces in self.brief.items():
+            near: set[int] = set()
+            for place, piece in pieces:
+                at = flat.find(piece)
+                while at >= 0:
+                    near.add(at - place)
+                    at = flat.find(piece, at + 1)
+            items += [i] * len(near)
+            diagonals += sorted(near)
+        return items, diagonals
+
     def _candidates(self, normal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and the first diagonals of the bands that reach their bounds, from windows in one of which any passage lies."""
         reach = max((len(f) for f in self.forms), default=0) + int(self.budget.max(initial=0))
@@ -144,6 +168,9 @@ class PassageFinder:
             i, d = self._in_window(normal[at : at + BATCH_BYTES + reach])
             items.append(i)
             diagonals.append(d + at)
+        i, d = self._brief_candidates(normal)
+        items.append(np.array(i, np.int64))
+        diagonals.append(np.array(d, np.int64))
         return np.concatenate(items), np.concatenate(diagonals)
 
     def _in_window(self, normal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,6 +285,7 @@ def _by_bytes(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_share: float = EDIT_SHARE) -> DataFrame:
     """Rows id, item_id, start, stop, edits: one per item and document, its best passage.
 
+    An item of n characters in normal form may have int(edit_share * n) edits, whatever its length.
     start and stop are byte offsets in the text. Null and empty texts hold nothing, and
     null or empty items are nowhere. Items of fewer than Q characters in normal form
     match as whole words only. Of passages with equally few edits the first counts. Rows

@@ -467,6 +467,46 @@ def test_passages_of_long_texts_and_windows(monkeypatch):
     assert sorted(finder.find(data)) == whole
 
 
+@pytest.mark.parametrize("share", [0.1, 0.25])
+def test_short_items_have_their_whole_budget(share):
+    """Items of 8 to 60 characters in texts that begin, end or are cut off with them, against plain edit distance."""
+    rng = random.Random(21)
+    normal = lambda t: decontamination.normal_form(np.frombuffer(t.encode(), np.uint8))[0].tobytes().strip().decode()
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(text, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    items = [normal("".join(rng.choice("abcdef ") for _ in range(n + 12)))[:n].strip() + "x" for n in range(7, 60)]
+    items = [(k, x) for k, x in enumerate(items) if len(x) >= 8]
+    finder, hits = decontamination.PassageFinder(items, share), 0
+    for key, item in items:
+        for _ in range(12):
+            t = list(item)
+            for _ in range(rng.randrange(int(share * len(item)) + 2)):
+                at = rng.randrange(len(t))
+                t[at : at + 1] = rng.choice([[], ["q"], [t[at], "z"]])
+            text = normal(rng.choice(["", "gg hh "]) + "".join(t)[rng.choice([0, 0, 1, 2]) :] + rng.choice(["", " ii jj"]))
+            want = {(k, e) for k, x in items if (e := least(x, text)) <= int(share * len(x))}
+            best = {}
+            for k, _, _, e in finder.find(np.frombuffer(text.encode(), np.uint8)):
+                best[k] = min(best.get(k, e), e)
+            assert set(best.items()) == want, (item, text)
+            hits += len(want)
+    assert hits > 300
+
+
+def test_short_items_of_the_verdict():
+    finder = decontamination.PassageFinder([(1, "colour of the big door"), (2, "abcdefghij")])
+    found = {(k, e) for k, _, _, e in finder.find(np.frombuffer(b"the color of the bg door, and abcdXfghij too", np.uint8))}
+    assert found == {(1, 2), (2, 1)}
+
+
 @pytest.mark.parametrize("parts", [1, 8])
 def test_passages_against_edit_distance(spark, parts):
     """Texts that are shorter than their items at either end, several in a batch."""
