@@ -25,6 +25,8 @@ CAPACITIES = (512, 1024, 2048, 4096)
 #: What a sequence costs besides its length, in tokens.
 SEQUENCE_COST = 16
 ROWS_PER_GROUP = 4096
+#: Copies of a row that are written out at a time. Bounds memory only.
+COPIES = 65_536
 
 
 class _OpenBins:
@@ -104,14 +106,18 @@ def pack(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: str
     Documents longer than the largest capacity are cut into pieces of that size and a
     rest; no token is dropped. bin counts from 0 within group, and place is where
     the piece starts in its bin. A null or negative length counts as 0, and documents of
-    length 0 take no bin and give no row. Rows with equal ids are packed one by one. The
-    result depends on the rows only, not on their order or partitions.
+    length 0 take no bin and give no row. Rows with equal ids are packed one by one; rows equal
+    in id and length are counted first and dealt to the groups in turn, so that a third of all rows
+    may be such copies. The result depends on the rows only, not on their order or partitions.
     """
     n = rows.count()
     groups = max(1, -(-n // rows_per_group))
     length = F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0)).alias("n")
     narrow = rows.select(F.col(id_col).alias("id"), length)
-    narrow = narrow.withColumn("group", F.pmod(F.xxhash64("id", "n"), F.lit(groups)))
+    copies = narrow.groupBy("id", "n").agg(F.count(F.lit(1)).alias("copies"))
+    copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) DIV {COPIES}"))))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("copies"), (F.col("part") + 1) * COPIES) - 1)))
+    narrow = copies.select("id", "n", F.pmod(F.pmod(F.xxhash64("id", "n"), F.lit(groups)) + F.col("copy"), F.lit(groups)).alias("group"))
     names = ["piece", "start", "tokens", "group", "bin", "capacity", "place"]
     schema = T.StructType([narrow.schema["id"], *(T.StructField(x, T.LongType()) for x in names)])
 

@@ -158,6 +158,35 @@ def test_safe_pieces_join_to_the_text_and_count_alike():
         assert "".join(pieces) == t and sum(lengths(pieces)) == len(ids)
 
 
+def test_batches_hold_about_equally_many_bytes():
+    texts = ["é" * 100 + " a" * 50_000, "ab " * 300, "", None, "😀 " * 40_000]
+    for apart in (True, False):
+        sizes, joined = [], collections.defaultdict(str)
+        for pieces, owners in token_counts.byte_batches(texts, 20_000, apart):
+            sizes.append(sum(len(p.encode()) for p in pieces))
+            for p, i in zip(pieces, owners, strict=True):
+                joined[i] += p
+        assert dict(joined) == {i: t for i, t in enumerate(texts) if t}
+        largest = max(len(p.encode()) for t in texts for p in (token_counts.safe_pieces(t or "") if apart else [t or ""]))
+        assert max(sizes) <= 20_000 + largest + 3 * 1024 and sum(sizes) == sum(len(t.encode()) for t in texts if t)
+
+
+def test_other_tokenizers_are_given_whole_texts(spark, odd):
+    import public_tokenizers
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    assert token_counts.splits_at_spaces(queries.tokenizer_path("byte_bpe_50k.json")) and not token_counts.splits_at_spaces(path)
+    got = collections.Counter((r.id, r.n_tokens) for r in token_counts.token_counts(odd, path).collect())
+    assert got == collections.Counter((r[0], len(n)) for r, n in zip(ODD, whole_counts(path, [r[1] for r in ODD]), strict=True))
+    models = sorted(p for p in __import__("pathlib").Path(public_tokenizers.__file__).parent.iterdir() if p.suffix == ".model")
+    if models:
+        from sentencepiece import SentencePieceProcessor
+
+        library = SentencePieceProcessor(model_file=str(models[0]))
+        got = collections.Counter((r.id, r.n_tokens) for r in token_counts.token_counts(odd, str(models[0])).collect())
+        assert got == collections.Counter((r[0], len(library.encode(r[1] or ""))) for r in ODD)
+
+
 def test_token_files_round_trip(spark, odd, docs, texts):
     path = queries.tokenizer_path("word_bpe_49k.json")
     files = token_files.write_token_files(docs, path)
@@ -560,6 +589,41 @@ def test_packing_holds_every_token_once(spark, lengths):
         assert own[0].capacity == min(c for c in packing.CAPACITIES if c >= at)
 
 
+def test_copies_of_a_row_are_dealt_to_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 50)
+    rows = [(None, 300)] * 1000 + [(7, 40)] * 500 + [(i, 100 + i) for i in range(300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), rows_per_group=100).collect()
+    assert collections.Counter((r.id, r.tokens) for r in got) == collections.Counter(rows)
+    sizes = collections.Counter(r.group for r in got)
+    assert len(sizes) == 18 and max(sizes.values()) < 140
+    # what holds for distinct rows does not depend on copies of others
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.group, r.bin].append((r.place, r.tokens, r.capacity))
+    for own in bins.values():
+        own.sort()
+        assert all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:], strict=False)) and own[-1][0] + own[-1][1] <= own[0][2]
+
+
+@pytest.mark.parametrize("sizes", [[3, 3, 2, 2, 2], [4, 4, 4], [1] * 7, [4, 3, 3, 2, 1, 1], [2, 2, 2, 2, 3], [4, 1]])
+def test_packing_against_every_plan(sizes):
+    """Best fit opens bins greedily; on small groups it is held against the cheapest of all partitions."""
+    capacities, cost = (2, 4), packing.SEQUENCE_COST
+
+    def cheapest(left, bins):
+        if not left:
+            return sum(min(c for c in capacities if c >= b) + cost for b in bins)
+        best = cheapest(left[1:], [*bins, left[0]])
+        for i, b in enumerate(bins):
+            if b + left[0] <= max(capacities):
+                best = min(best, cheapest(left[1:], [*bins[:i], b + left[0], *bins[i + 1 :]]))
+        return best
+
+    where, final = packing.best_plan(sorted(sizes, reverse=True), capacities)
+    assert sum(final) + cost * len(final) == cheapest(sizes, [])
+    assert len(where) == len(sizes)
+
+
 def test_packing_is_tight_and_no_worse_than_one_size():
     rng = random.Random(7)
     sizes = sorted((min(4096, int(rng.lognormvariate(6, 1)) + 1) for _ in range(3000)), reverse=True)
