@@ -18,6 +18,21 @@ def judged(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     return rows.withColumn("rel", F.coalesce("hit", F.lit(0))).drop("hit").join(counts, "query_id", "full_outer")
 
 
+def judged_by_class(ranked: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """:func:`judged` where the documents of a query's own class are relevant, the query itself aside.
+
+    docs: doc_id, label. queries: query_id, label. Relevant documents are counted per class and looked up for the ranked rows
+    only; pairs of a class are never made.
+    """
+    sizes = docs.groupBy("label").agg(F.count(F.lit(1)).alias("held"))
+    own = queries.join(docs.select(F.col("doc_id").alias("query_id"), F.col("label").alias("as_doc")), "query_id", "left")
+    counts = own.join(sizes, "label", "left").select("query_id", F.col("label").alias("asked"), (F.coalesce("held", F.lit(0)) - F.coalesce(F.col("as_doc") == F.col("label"), F.lit(False)).cast("int")).alias("n_rel"))
+    rows = ranked.select("query_id", "doc_id", "ord").join(docs.select("doc_id", "label"), "doc_id", "left")
+    rows = rows.join(counts, "query_id", "full_outer").where("doc_id IS NOT NULL OR n_rel > 0")
+    rel = F.coalesce((F.col("label") == F.col("asked")) & (F.col("doc_id") != F.col("query_id")), F.lit(False)).cast("int")
+    return rows.select("query_id", "doc_id", "ord", rel.alias("rel"), "n_rel")
+
+
 def ranking_metrics(rows: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Per query: reciprocal rank, and precision, recall and NDCG at the cuts.
 

@@ -39,6 +39,18 @@ def pipeline_cached(spark, sf):
     return pipeline.run(b, _vectors(spark, sf), LIMITS, cache=cache, max_rephrase=0)
 
 
+def pipeline_production(spark, sf):
+    """The whole route: moderation, preparation, keyword hits, a model's zones and a judge for what the model leaves open."""
+    stages = pipeline.Stages(
+        moderate=lambda text: ~text.rlike("50$"),
+        preprocess=F.lower,
+        keyword=lambda q: q.select("query_id", (F.regexp_extract("text", "^query ([0-9]+)$", 1).cast("long") + 7).alias("doc_id"), F.lit(0.25).alias("score")),
+        predict=lambda rows: rows.withColumn("p", F.pmod(F.col("query_id") * 31 + F.col("doc_id") * 17, F.lit(101)) / 100.0),
+        judge=_judged,
+    )
+    return pipeline.run(_batch(spark, sf), _vectors(spark, sf), LIMITS, stages, max_rephrase=0)
+
+
 def light_path(spark, sf):
     """Documents below 250 were searched before; their cached results are merged with the new ones."""
     v, q = _vectors(spark, sf), _batch(spark, sf)
@@ -143,6 +155,12 @@ ORACLE_SQL = {
     "pipeline_run": f"""WITH {_SCORES}, {_FIVE}, z AS (SELECT *, {_Z} AS zone FROM c5), r AS (SELECT query_id, doc_id, ord, score FROM z WHERE zone = 'accepted' UNION ALL
         SELECT * FROM (SELECT query_id, doc_id, ord, least(score * (0.5::DOUBLE + (doc_id % 10) / 9.0::DOUBLE), 1.0::DOUBLE) AS score FROM z WHERE zone = 'needs_review') WHERE score >= {LIMITS.accept}), {_CUT}
         SELECT query_id, doc_id, score, rank, 0 AS attempt FROM o WHERE rank <= {LIMITS.top_k}""",
+    "pipeline_production": f"""WITH {_SCORES}, {_FIVE}, k AS (SELECT query_id, doc_id, score, ord FROM c5 WHERE query_id % 100 <> 50 UNION ALL SELECT vec_id, vec_id + 7, 0.25::DOUBLE, 0 FROM embeddings WHERE vec_id % {EVERY} = 0 AND vec_id % 100 <> 50),
+        b AS (SELECT query_id, doc_id, score, ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, ord DESC) AS n FROM k) WHERE n = 1),
+        z AS (SELECT *, {_Z} AS zone, ((query_id * 31 + doc_id * 17) % 101) / 100.0::DOUBLE AS p FROM b),
+        r AS (SELECT query_id, doc_id, ord, score FROM z WHERE zone = 'accepted' OR zone = 'needs_review' AND p >= 0.6 UNION ALL
+        SELECT * FROM (SELECT query_id, doc_id, ord, least(score * (0.5::DOUBLE + (doc_id % 10) / 9.0::DOUBLE), 1.0::DOUBLE) AS score FROM z WHERE zone = 'needs_review' AND p >= 0.4 AND p < 0.6) WHERE score >= {LIMITS.accept}), {_CUT}
+        SELECT query_id, doc_id, score, rank, 0 AS attempt FROM o WHERE rank <= {LIMITS.top_k}""",
     "pipeline_cached": f"""WITH {_SCORES}, {_FIVE}, r AS (SELECT query_id, doc_id, ord, score FROM c5 WHERE score >= {LIMITS.verify} AND query_id % {2 * EVERY} <> 0), {_CUT}
         SELECT query_id, doc_id, score, rank, 0 AS attempt FROM o WHERE rank <= {LIMITS.top_k} UNION ALL SELECT vec_id, vec_id + 1000, 1.0::DOUBLE, 1, -1 FROM embeddings WHERE vec_id % {2 * EVERY} = 0""",
     "light_path": f"""WITH {_SCORES}, t AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM pairs) WHERE n <= 40 AND score >= 0.2)

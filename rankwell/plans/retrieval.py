@@ -122,9 +122,8 @@ def search_score_scale(spark, sf):
 
 
 def _judged(spark, sf):
-    v, q = _vectors(spark, sf), _queries(spark, sf)
-    relevant = v.select("doc_id", "label").join(q.select("query_id", F.col("query_label").alias("label")), "label").where("doc_id <> query_id").select("query_id", "doc_id")
-    return ev.judged(candidates(spark, sf), relevant)
+    v, q = _vectors(spark, sf).select("doc_id", "label"), _queries(spark, sf).select("query_id", F.col("query_label").alias("label"))
+    return ev.judged_by_class(candidates(spark, sf), v, q)
 
 
 def ranking_metrics(spark, sf):

@@ -28,7 +28,23 @@ def first_within(events: DataFrame, key: list[str], ttl: str = "300 seconds") ->
 
 
 def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run on what is there now and give the result as a table; for tests and small batches."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run on what is there now and give the result as a table, stored beside the checkpoint under ``name``.
+
+    Each micro-batch overwrites a folder of its own, so one that is repeated leaves the same rows; in complete mode
+    the last batch is the result, else all are.
+    """
+    spark, path = stream.sparkSession, f"{checkpoint.rstrip('/')}-{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], stream.schema)
+    found = spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
+    if mode == "complete":
+        last = found.agg(F.max("batch")).first()[0]
+        found = found.where(F.col("batch") == (-1 if last is None else last))
+    return found.drop("batch")
