@@ -90,6 +90,9 @@ def truncated(text: Column, words: int) -> Column:
 # What an answer that refuses begins or says.
 REFUSALS = (
     r"\bi(?:'m| am) sorry\b", r"\bi can(?:no|')t (?:assist|help)\b", r"\bas an ai\b", r"\bunable to (?:assist|help|comply)\b", r"\bcannot provide\b",
+    r"\bsorry[, ]+i\s+can(?:not|'t)\s+help\s+you", r"\bi\s+can(?:not|'t)\s+assist\s+with\s+that\s+request", r"\bi\s+am\s+unable\s+to\s+help\s+with\s+that",
+    r"\bi\s+am\s+not\s+able\s+to\s+do\s+that", r"\bi\s+cannot\s+fulfill\s+that\s+request", r"\bnot\s+able\s+to\s+provide\s+that\s+information",
+    r"\bviolates\s+content\s+policy", r"\bi'm\s+sorry[, ]*\s+but\s+i\s+cannot",
 )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from itertools import product
 
@@ -11,7 +12,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranks import kept, seeded_ranks
@@ -33,6 +34,20 @@ def scored(rows: DataFrame, model: PipelineModel, features: list[str]) -> DataFr
     return out.drop("raw", "features", "rawPrediction", "probability", "prediction")
 
 
+def save_model(model: PipelineModel, path: str, features: list[str], about: dict | None = None) -> None:
+    """The model with its features and what else is known of it, in a folder; an older one is replaced."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    told = json.dumps({"features": features, "about": about or {}}, sort_keys=True)
+    spark.createDataFrame([(told,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str], dict]:
+    """The model, its features and what is known of it, from :func:`save_model`'s folder."""
+    told = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/about").collect()))  # one line
+    return PipelineModel.load(f"{path}/model"), told["features"], told["about"]
+
+
 def calibrator(rows: DataFrame, p: str = "p", label: str = "label"):
     """Isotonic calibration of held-out probabilities."""
     return IsotonicRegression(featuresCol=p, labelCol=label, predictionCol="calibrated").fit(rows)

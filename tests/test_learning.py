@@ -228,3 +228,27 @@ def test_when_a_run_is_due():
     at = datetime.datetime(2024, 5, 1)
     assert due(None, at)
     assert not due(at, at + datetime.timedelta(days=6, hours=23)) and due(at, at + datetime.timedelta(days=7))
+
+
+# --- stored models
+
+
+def test_a_stored_model_scores_alike(spark, tmp_path):
+    _, df = labelled(spark, 200)
+    for kind in ("logistic", "mlp"):
+        model = reranker.fit(df, ["x", "z"], kind=kind, hidden=(4,))
+        for _ in range(2):  # an older one is replaced
+            reranker.save_model(model, f"{tmp_path}/m", ["x", "z"], {"kind": kind, "f1": 0.5})
+        again, features, about = reranker.load_model(spark, f"{tmp_path}/m")
+        assert features == ["x", "z"] and about == {"kind": kind, "f1": 0.5}
+        p = lambda m: [r.p for r in reranker.scored(df, m, features).orderBy("id").collect()]  # noqa: B023, E731
+        assert p(model) == p(again)
+
+
+def test_refusals_of_every_form(spark):
+    from rankwell.functions.text import unless_refused
+
+    no = ["Sorry, I can't help you.", "i cannot assist with that request", "I am unable to help with that", "I am not able to do that", "I cannot fulfill that request.", "We are not able to provide that information", "This violates content policy", "I'm sorry, but I cannot"]
+    yes = ["I can help you", "The policy violates nothing", "able to do that", ""]
+    got = {r.t: r.u for r in spark.createDataFrame([(t,) for t in [*no, *yes, None]], "t string").select("t", unless_refused(F.col("t")).alias("u")).collect()}
+    assert all(got[t] is None for t in no) and all(got[t] == t for t in yes) and got[None] is None
