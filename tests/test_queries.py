@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from rankwell.plans import corpus, hierarchy, matching, models, records, retrieval, search_indexes, stores, structures, workflow
+from rankwell.plans import corpus, hierarchy, matching, models, ranked, records, retrieval, search_indexes, stores, structures, workflow
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = retrieval.QUERIES | corpus.QUERIES | models.QUERIES | workflow.QUERIES | records.QUERIES | search_indexes.QUERIES | matching.QUERIES | structures.QUERIES | hierarchy.QUERIES | stores.QUERIES
-SQL = retrieval.ORACLE_SQL | corpus.ORACLE_SQL | models.ORACLE_SQL | workflow.ORACLE_SQL | records.ORACLE_SQL | search_indexes.ORACLE_SQL | matching.ORACLE_SQL | structures.ORACLE_SQL | hierarchy.ORACLE_SQL | stores.ORACLE_SQL
+QUERIES = retrieval.QUERIES | corpus.QUERIES | models.QUERIES | workflow.QUERIES | records.QUERIES | search_indexes.QUERIES | matching.QUERIES | structures.QUERIES | hierarchy.QUERIES | stores.QUERIES | ranked.QUERIES
+SQL = retrieval.ORACLE_SQL | corpus.ORACLE_SQL | models.ORACLE_SQL | workflow.ORACLE_SQL | records.ORACLE_SQL | search_indexes.ORACLE_SQL | matching.ORACLE_SQL | structures.ORACLE_SQL | hierarchy.ORACLE_SQL | stores.ORACLE_SQL | ranked.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
