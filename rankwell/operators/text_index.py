@@ -11,10 +11,15 @@ batch of queries; the result is that of reading everything.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..functions.vectors import normalised_search_score
@@ -22,8 +27,8 @@ from ..sources.writers import scratch
 
 #: Documents of a block, and steps of length per doubling by which blocks differ.
 BLOCK_DOCS, STEPS = 128, 4
-#: Tokens with over 1/HOT of all postings are fewer than HOT.
-HOT = 10_000
+#: Tokens with over 1/HOT of all postings are fewer than HOT; their rows are dealt to so many tasks.
+HOT, SALTS = 10_000, 16
 #: Postings per token that are kept as its best; also the most results a search can be asked for.
 CHAMPIONS = 128
 #: Saturation of term frequencies and weight of lengths.
@@ -49,19 +54,33 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _terms(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """doc_id, step, and per field (number f) each token with its count (tf) and the field's length, without moving a row.
+def _words(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """doc_id, step, words (per field its words in order)."""
+    rows = docs.select("doc_id", F.array(*(tokens(F.col(name)) for name in fields)).alias("words"))
+    return rows.withColumn("step", _step(F.aggregate("words", F.lit(0), lambda n, w: n + F.size(w))))
 
-    A field's words are sorted, and where the word changes a run begins.
-    """
-    words = [tokens(F.col(name)) for name in fields]
-    rows = docs.select("doc_id", F.array(*(F.array_sort(w) for w in words)).alias("words"))
-    rows = rows.withColumn("step", _step(F.aggregate("words", F.lit(0), lambda n, w: n + F.size(w))))
-    rows = rows.select("doc_id", "step", F.posexplode("words").alias("f", "w")).withColumn("length", F.size("w")).where("length > 0")
-    begins = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (F.element_at("w", i) != F.element_at("w", F.greatest(i - 1, F.lit(1)))))
-    rows = rows.withColumn("begins", begins)
-    runs = F.transform("begins", lambda i, j: F.struct(F.element_at("w", i).alias("token"), (F.coalesce(F.get("begins", j + 1), F.col("length") + 1) - i).alias("tf")))
-    return rows.select("doc_id", "step", F.col("f").cast("byte").alias("f"), "length", F.explode(runs).alias("run")).select("doc_id", "step", "f", "length", "run.token", "run.tf")
+
+def _terms(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """doc_id, step, f (number of the field), length (of the field), token, tf: counted within Arrow batches, without moving a row."""
+    rows = _words(docs, fields).select("doc_id", "step", "words")
+    kinds = [("f", T.ByteType()), ("length", T.IntegerType()), ("token", T.StringType()), ("tf", T.IntegerType())]
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["step"], *(T.StructField(n, k) for n, k in kinds)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, steps, words = batch.columns
+            each = words.flatten()
+            sizes = pc.list_value_length(each).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = each.flatten().dictionary_encode()
+            n = max(len(coded.dictionary), 1)
+            key = np.repeat(np.arange(len(sizes)), sizes) * n + coded.indices.to_numpy(zero_copy_only=False)
+            found, tf = np.unique(key, return_counts=True)
+            owner, code = np.divmod(found, n)
+            doc, f = np.divmod(owner, len(fields))
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([ids.take(at), steps.take(at), pa.array(f.astype(np.int8)), pa.array(sizes[owner].astype(np.int32)), coded.dictionary.take(pa.array(code)), pa.array(tf.astype(np.int32))], schema.names)
+
+    return rows.mapInArrow(count, schema)
 
 
 def _step(words):
@@ -83,25 +102,28 @@ def build_text_index(docs: DataFrame, weights: dict[str, float], k1: float = K1,
     means = [(sum(r[f"s{i}"] for r in stats) / n if n else 0) or 1.0 for i in range(len(names))]
     held = {r["step"]: r["held"] for r in stats} or {0: 0}
 
-    rows = _terms(docs, names)
-    known = rows.groupBy("f", "token").agg(F.count(F.lit(1)).alias("df"))
+    every = _words(docs, names).select(F.posexplode("words").alias("f", "w")).select(F.col("f").cast("byte").alias("f"), F.explode(F.array_distinct("w")).alias("token"))
+    known = every.groupBy("f", "token").agg(F.count(F.lit(1)).alias("df"))
     known = _stored(known.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("f", "df"))).alias("dfs"), F.sum("df").alias("all")), "frequencies")
     total = known.agg(F.sum("all")).first()[0] or 0
-    # tokens with over 1/HOT of all postings number fewer than HOT
-    hot, cold = known.where(F.col("all") * HOT > total).select("token", "dfs"), known.where(F.col("all") * HOT <= total).select("token", "dfs")
+    # tokens with over 1/HOT of all postings number fewer than HOT: they are broadcast, and their rows are spread
+    hot = known.where(F.col("all") * HOT > total).select("token", F.lit(True).alias("hot"))
     parts = F.element_at(F.create_map(*(F.lit(x) for pair in held.items() for x in (pair[0], pair[1] // BLOCK_DOCS + 1))), F.col("step"))
     block = (F.col("step") * (1 << 24) + F.pmod(F.xxhash64("doc_id"), parts).cast("int")).alias("block")
-    rows = rows.select("doc_id", block, "f", "length", "token", "tf")
+    rows = _terms(docs, names).join(F.broadcast(hot), "token", "left")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt")
+    rows = rows.select("doc_id", block, "f", "length", "token", "tf", salt)
+    told = known.select("token", "dfs", F.explode(F.when(F.col("all") * HOT > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("f") + 1)
     df = F.element_at("dfs", F.col("f"))
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     part = pick(list(map(float, weights.values()))) * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / pick(means)))
-    marked = rows.join(F.broadcast(hot), "token", "left")
+    # what is joined by token and salt is summed up where it is
+    scored = rows.join(told, ["token", "salt"]).groupBy("token", "salt", "doc_id").agg(F.first("block").alias("block"), F.sum(part).alias("impact"))
     path = scratch(spark, "postings")
-    for name, own in (("hot", marked.where("dfs IS NOT NULL")), ("cold", marked.where("dfs IS NULL").drop("dfs").join(cold, "token"))):
-        own = own.groupBy("doc_id", "token").agg(F.first("block").alias("block"), F.sum(part).alias("impact")).select("token", "block", "doc_id", "impact")
-        own.sortWithinPartitions("token", "block", "doc_id").write.option("compression", "zstd").parquet(f"{path}/part={name}")
-    postings = spark.read.schema(own.schema).parquet(f"{path}/part=hot", f"{path}/part=cold")
+    scored = scored.select("token", "block", "doc_id", "impact")
+    scored.sortWithinPartitions("token", "block", "doc_id").write.option("compression", "zstd").parquet(path)
+    postings = spark.read.schema(scored.schema).parquet(path)
     maxima = _stored(postings.groupBy("token", "block").agg(F.max("impact").alias("top"), F.count(F.lit(1)).cast("int").alias("n")), "maxima")
     # the cut goes into the tasks before the shuffle, so a token sends CHAMPIONS rows a task at most
     w = Window.partitionBy("token").orderBy(F.desc("impact"), "doc_id")
