@@ -34,6 +34,8 @@ CHAMPIONS = 128
 #: Saturation of term frequencies and weight of lengths.
 K1, B = 1.2, 0.75
 DECIMALS = 6
+#: Rows of a stored table that is broadcast instead of being joined by a shuffle; its rows are counted first.
+BROADCAST_ROWS = 500_000
 #: What rounding may add to a score.
 SLACK = 2e-6
 
@@ -138,19 +140,25 @@ def _asked(index: TextIndex, queries: DataFrame) -> DataFrame:
     return asked.join(index.words, "token").select("query_id", "token", "top", "n")
 
 
+def _either(stored: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if its rows were counted to be few."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def wanted_blocks(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     """query_id, token, block, n: the pieces of posting lists that a search for the k best has to read."""
     if k > CHAMPIONS:
         raise ValueError(f"at most {CHAMPIONS} results")
     asked = _stored(_asked(index, queries), "asked")
     w = Window.partitionBy("query_id").orderBy(F.desc("sure"))
-    sure = index.best.join(asked.select("query_id", "token"), "token").groupBy("query_id", "doc_id").agg(F.sum("impact").alias("sure"))
+    sure = index.best.join(_either(asked.select("query_id", "token")), "token").groupBy("query_id", "doc_id").agg(F.sum("impact").alias("sure"))
     sure = sure.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).where(F.col("nth") == k).select("query_id", (F.col("sure") - SLACK).alias("least"))
     asked = asked.join(sure, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
     together = F.sum("top").over(Window.partitionBy("query_id").orderBy("top", "token").rowsBetween(Window.unboundedPreceding, 0))
     asked = _stored(asked.withColumn("needed", together >= F.col("least")), "bounded")
-    near = asked.where("needed").select("query_id", "token").join(index.maxima.select("token", "block"), "token").select("query_id", "block").distinct()
-    bounds = near.join(asked.select("query_id", "token", "least"), "query_id").join(index.maxima, ["token", "block"])
+    near = index.maxima.select("token", "block").join(_either(asked.where("needed").select("query_id", "token")), "token").select("query_id", "block").distinct()
+    asking = _stored(near.join(_either(asked.select("query_id", "token", "least")), "query_id"), "asking")
+    bounds = index.maxima.join(_either(asking), ["token", "block"])
     bound = F.sum("top").over(Window.partitionBy("query_id", "block"))
     return bounds.withColumn("bound", bound).where(F.col("bound") >= F.col("least")).select("query_id", "token", "block", "n")
 
@@ -160,8 +168,8 @@ def text_topk(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
 
     Only documents with a score over 0 come out. Queries that are null or have no known word get nothing.
     """
-    wanted = wanted_blocks(index, queries, k)
-    scores = index.postings.join(wanted.select("query_id", "token", "block"), ["token", "block"]).groupBy("query_id", "doc_id").agg(F.round(F.sum("impact"), DECIMALS).alias("score"))
+    wanted = _stored(wanted_blocks(index, queries, k).select("query_id", "token", "block"), "wanted")
+    scores = index.postings.join(_either(wanted), ["token", "block"]).groupBy("query_id", "doc_id").agg(F.round(F.sum("impact"), DECIMALS).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scores.where("score > 0").withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= k)
 

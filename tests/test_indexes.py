@@ -129,9 +129,10 @@ def scores_by_hand(rows, query, weights, k1=1.2, b=0.75):
     return out
 
 
-@pytest.mark.parametrize("block", [128, 4])
-def test_text_search_is_exhaustive(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, most", [(128, 500_000), (4, 0)])
+def test_text_search_is_exhaustive(spark, monkeypatch, block, most):
     monkeypatch.setattr(text_index, "BLOCK_DOCS", block)
+    monkeypatch.setattr(text_index, "BROADCAST_ROWS", most)
     rng = random.Random(1)
     rows, weights = texts(rng, 500), {"title": 3.0, "text": 0.5}
     asked = [(1, "the of w1"), (2, "rare5 the"), (3, "the the of"), (4, None), (5, "nowhere"), (6, "rare1 rare2 w3 w4 the of"), (7, "")]
