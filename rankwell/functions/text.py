@@ -155,6 +155,23 @@ def regulation_references(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([0-9]+ CFR [0-9]+\.[0-9]+)"), F.lit(1))))
 
 
+def cited_regulations(text: Column) -> Column:
+    """Sorted distinct citations, "t CFR p.s" or "CFR p.s" without a title; one without is left out where its section has one with. Of several titles of a section the last counts."""
+    own = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)([0-9]+\s+CFR\s+\w+\.[0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda c: F.struct(F.regexp_extract(c, r"(\S+)$", 1).alias("section"), F.regexp_extract(c, r"^([0-9]+)", 1).alias("title")))
+    last = F.filter(own, lambda c, i: ~F.exists(F.slice(own, i + 2, F.size(own)), lambda d: d["section"] == c["section"]))
+    bare = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)CFR\s+(\w+\.[0-9]+(?:\.[0-9]+)?)"), F.lit(1)))
+    alone = F.array_except(bare, F.transform(last, lambda c: c["section"]))
+    return F.array_sort(F.concat(F.transform(last, lambda c: F.concat(c["title"], F.lit(" CFR "), c["section"])), F.transform(alone, lambda s: F.concat(F.lit("CFR "), s))))
+
+
+def clause_number(text: Column) -> Column:
+    """"(a)", "A" or "1" as "(1)"; section signs go, letters count from 1, numbers with letters stay in lower case, and the rest is "main"."""
+    t = strip(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"§+\s*", ""))
+    t = F.lower(F.regexp_extract(F.regexp_replace(F.regexp_replace(t, r"^\(+", "("), r"\)+$", ")"), r"(?i)^\(?([a-z0-9]+)\)?$", 1))
+    letter = F.ascii(t) - 96
+    return F.when(t == "", "main").when(t.rlike("^[a-z]$"), F.concat(F.lit("("), letter.cast("string"), F.lit(")"))).when(t.rlike("^[a-z]+$"), "main").otherwise(F.concat(F.lit("("), t, F.lit(")")))
+
+
 def page_date(iso: Column) -> Column:
     return F.concat(F.lit("Last Updated:"), F.date_format(F.try_to_timestamp(iso), "MM/dd/yyyy"))
 
