@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null, first_text, strip
 
@@ -101,8 +102,15 @@ def with_ancestors(nodes: DataFrame, most: int = 5) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, key: list[str], id_col: str) -> DataFrame:
-    """Keys with more than one row, how many, and the least id."""
-    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id")).where("n > 1")
+    """Keys with more than one row, how many, and the least id.
+
+    Texts of the key are grouped by their SHA-256 and told by one row of the group, so that only those that are asked for move.
+    """
+    texts = [k for k in key if df.schema[k].dataType == T.StringType()]
+    cells = [F.coalesce(F.concat(F.octet_length(k).cast("string"), F.lit(":"), k), F.lit("-")) for k in texts]
+    by = [*(k for k in key if k not in texts), *([F.sha2(F.concat(*cells), 256).alias("_digest")] if texts else [])]
+    found = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id"), *(F.first(k).alias(k) for k in texts))
+    return found.where("n > 1").select(*key, "n", "first_id")
 
 
 def duplicate_patterns(df: DataFrame, title: str, full_key: list[str]) -> DataFrame:
