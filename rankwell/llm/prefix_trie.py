@@ -294,7 +294,7 @@ def prefix_trie(conversations: DataFrame, piece: int = PIECE, most: int = MOST,
     uppers = generations[0].where("next IS NOT NULL").select(F.col("next").alias("label"), F.col("rep").alias("parent"))
     for more in generations[1:]:
         uppers = uppers.unionByName(more.where("next IS NOT NULL").select(F.col("next").alias("label"), F.col("rep").alias("parent")))
-    uppers = stored(uppers.unionByName(spark.range(1).select(root.alias("label"), F.lit(first["conv_id"]).cast("long").alias("parent"))), "uppers")
+    uppers = stored(uppers, "uppers")
     below = spark.createDataFrame([], "next string, leaves long, saved long, children long")
     nodes = []
     for layer in range(-(-(first["longest"] or 0) // piece) - 1, -1, -1):
@@ -303,7 +303,10 @@ def prefix_trie(conversations: DataFrame, piece: int = PIECE, most: int = MOST,
             weight = own.agg(F.sum(F.size("turns"))).first()[0]
             if not weight:
                 continue
-            told = _told(own, below, "next").join(uppers, "label")
+            # most segments hang from the root, which needs no join
+            told = _told(own, below, "next")
+            top = told.where(F.col("label") == root).withColumn("parent", F.lit(first["conv_id"]).cast("long"))
+            told = top.unionByName(told.where(F.col("label") != root).join(uppers, "label"), allowMissingColumns=False)
             at = F.pmod(F.xxhash64("label", F.col("turns")[0]["digest"]), F.lit(weight // bucket + 1)).alias("bucket")
             split = [F.col(f"turns.{x}").alias(f"{x}s") for x in ("digest", "size")]
             zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("leaves", "saved", "children")]
