@@ -120,4 +120,4 @@ def insight(title, text, cases):
 
 def looks_spanish(text):
     """Signs or common words of Spanish, for the automatic source language."""
-    return text.rlike(r"(?i)[ñ¿¡]|(?:^|[^\p{L}])(?:el|los|las|una|que|para|derechos|ley)(?:[^\p{L}]|$)")
+    return text.rlike(r"(?iu)[ñ¿¡]|(?:^|[^\p{L}])(?:el|los|las|una|que|para|derechos|ley)(?:[^\p{L}]|$)")

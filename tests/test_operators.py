@@ -228,3 +228,8 @@ def test_bare_amendments(spark):
     rows = [("the First", "1st Amendment"), ("one", "1st Amendment"), ("12", "12th Amendment"), ("twenty second", "22nd Amendment"), ("1st amendment", None), ("9", None), ("0", None), ("first rule", None), ("99999999999", None), ("", None), (None, None)]
     found = lexicon.bare_amendments(spark.createDataFrame(rows, "asked string, wanted string"), titles, "asked").collect()
     assert {(r.asked, r.title) for r in found} == set(rows)
+
+
+@pytest.mark.parametrize(("words", "spanish"), [("Ñandú", True), ("CIÓNÑMI", True), ("Los", True), ("lo\u017f dos", True), ("LEY.", True), ("¿Y?", True), ("Éléments", False), ("losa", False), ("", False), (None, None)])
+def test_spanish_signs_in_capitals(spark, words, spanish):
+    assert one(spark, slots.looks_spanish(F.lit(words).cast("string"))) is spanish
