@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
-from .vector_index import best_pairs, block_topk, result_schema, units
+from .vector_index import CELLS, best_pairs, block_topk, result_schema, units
 
 #: Queries in one broadcast; larger sets of queries are not broadcast.
 QUERY_BLOCK = 4096
@@ -45,21 +45,25 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: boo
         return spark.createDataFrame([], schema).transform(best_first(k))
     if len(asked) > QUERY_BLOCK:
         return block_topk(corpus, queries, k, exclude_self, decimals)
-    shared = spark.sparkContext.broadcast(([r[0] for r in asked], [list(r[1]) for r in asked]))
+    shared = spark.sparkContext.broadcast(([r[0] for r in asked], units(np.array([list(r[1]) for r in asked], np.float64))))
     query_type = to_arrow_type(queries.schema["query_id"].dataType)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors = shared.value
-        q, names = units(np.array(vectors, np.float64)), pa.array(names, query_type)
-        for batch in batches:
-            ids, found = batch.columns
-            fits = pc.and_(ids.is_valid(), pc.fill_null(pc.equal(pc.list_value_length(found), q.shape[1]), False))
-            ids, found = ids.filter(fits), found.filter(fits)
-            m = np.asarray(pc.list_flatten(found).to_numpy(zero_copy_only=False), np.float64).reshape(-1, q.shape[1])
-            sound = np.isfinite(m).all(1)
-            ids, m = ids.filter(pa.array(sound)), m[sound]
-            if len(ids):
-                yield pa.RecordBatch.from_arrays([*best_pairs(names, q, ids, units(m), k, exclude_self, decimals)], schema.names)
+        names, q = shared.value
+        names = pa.array(names, query_type)
+        for whole in batches:
+            # a batch of very wide vectors is taken in parts
+            rows = max(1, CELLS // max(1, q.shape[1]))
+            for at in range(0, whole.num_rows, rows):
+                ids, found = whole.slice(at, rows).columns
+                fits = pc.and_(ids.is_valid(), pc.fill_null(pc.equal(pc.list_value_length(found), q.shape[1]), False))
+                ids, found = ids.filter(fits), found.filter(fits)
+                m = np.asarray(pc.list_flatten(found).to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), q.shape[1])
+                sound = np.isfinite(m).all(1)
+                ids, m = ids.filter(pa.array(sound)), m[sound]
+                if len(ids):
+                    for best in best_pairs(names, q, ids, units(m), k, exclude_self, decimals):
+                        yield pa.RecordBatch.from_arrays(best, schema.names)
 
     return corpus.select("doc_id", "embedding").mapInArrow(score, schema).transform(best_first(k))
 

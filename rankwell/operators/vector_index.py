@@ -36,6 +36,8 @@ TASKS = 256
 MOST_LISTS, SAMPLE = 4096, 65_536
 #: Queries at most that the number of probed lists is measured on.
 MEASURED = 256
+#: Cosines and coordinates that a task computes at a time. Bounds memory only.
+CELLS = 1 << 20
 DECIMALS = 6
 
 
@@ -44,24 +46,31 @@ def units(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-9)
 
 
-def best_pairs(names: pa.Array, q: np.ndarray, ids: pa.Array, m: np.ndarray, k: int, exclude_self: bool, decimals: int) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """query ids, corpus ids and cosines of each query's k best among ``ids``; q and m are unit rows. Ties go to the smaller id."""
-    s = np.round(np.clip(m @ q.T, -1, 1), decimals)
-    place = {d: i for i, d in enumerate(ids.to_pylist())}
-    for j, name in enumerate(names.to_pylist()):
-        if exclude_self and name in place:
-            s[place[name], j] = -2
+def best_pairs(names: pa.Array, q: np.ndarray, ids: pa.Array, m: np.ndarray, k: int, exclude_self: bool, decimals: int) -> Iterator[list[pa.Array]]:
+    """query ids, corpus ids and cosines of each query's k best among ``ids``; q and m are unit rows. Ties go to the smaller id.
+
+    Cosines are held for as many queries at a time as make ``CELLS`` of them, so memory grows with neither side.
+    """
+    place = {d: i for i, d in enumerate(ids.to_pylist())} if exclude_self else {}
     most = min(len(ids), k)
-    edges = np.partition(s, len(ids) - most, axis=0)[len(ids) - most]
-    owners, rows = [], []
-    for j in range(len(names)):
-        best = np.flatnonzero((s[:, j] >= edges[j]) & (s[:, j] >= -1))
-        if len(best) > most:
-            best = np.array(sorted(best.tolist(), key=lambda i, j=j: (-s[i, j], ids[i].as_py()))[:most])
-        owners.append(np.full(len(best), j))
-        rows.append(best)
-    owners, rows = np.concatenate(owners), np.concatenate(rows)
-    return names.take(pa.array(owners)), ids.take(pa.array(rows)), pa.array(s[rows, owners])
+    wide = max(1, CELLS // len(ids))
+    for at in range(0, len(names), wide):
+        own = names.slice(at, wide)
+        s = m @ q[at : at + wide].T
+        np.round(np.clip(s, -1, 1, out=s), decimals, out=s)
+        for j, name in enumerate(own.to_pylist()):
+            if name in place:
+                s[place[name], j] = -2
+        edges = np.partition(s, len(ids) - most, axis=0)[len(ids) - most].copy()
+        owners, rows = [], []
+        for j in range(len(own)):
+            best = np.flatnonzero((s[:, j] >= edges[j]) & (s[:, j] >= -1))
+            if len(best) > most:
+                best = np.array(sorted(best.tolist(), key=lambda i, j=j: (-s[i, j], ids[i].as_py()))[:most])
+            owners.append(np.full(len(best), j))
+            rows.append(best)
+        owners, rows = np.concatenate(owners), np.concatenate(rows)
+        yield [own.take(pa.array(owners)), ids.take(pa.array(rows)), pa.array(s[rows, owners])]
 
 
 def result_schema(corpus: DataFrame, queries: DataFrame) -> T.StructType:
@@ -101,7 +110,8 @@ def _met(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool, deci
             for i in range(batch.num_rows):
                 doc_ids, docs, query_ids, asked = (batch.column(c).slice(i, 1) for c in ("doc_ids", "doc_id_vectors", "query_ids", "query_id_vectors"))
                 names = pc.list_flatten(query_ids).cast(query_type)
-                yield pa.RecordBatch.from_arrays([*best_pairs(names, _matrix(asked), pc.list_flatten(doc_ids), _matrix(docs), k, exclude_self, decimals)], schema.names)
+                for found in best_pairs(names, _matrix(asked), pc.list_flatten(doc_ids), _matrix(docs), k, exclude_self, decimals):
+                    yield pa.RecordBatch.from_arrays(found, schema.names)
 
     pairs = corpus.join(queries, "key").select("doc_ids", "doc_id_vectors", "query_ids", "query_id_vectors")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,25 @@ def test_more_queries_than_a_broadcast_holds(spark, monkeypatch):
     assert hits(search.vector_topk(v, q, 10)) == want
 
 
+def test_cosines_of_many_queries_are_held_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    m, q = (vector_index.units(rng.integers(-2, 3, (n, 4)).astype(np.float64)) for n in (8192, 2048))
+    ids, names = pa.array(rng.permutation(len(m)).tolist()), pa.array(range(len(q)))
+
+    def found():
+        return sorted(x for part in vector_index.best_pairs(names, q, ids, m, 5, True, 6) for x in zip(*(c.to_pylist() for c in part), strict=True))
+
+    tracemalloc.start()
+    want = found()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all cosines at once are 134 MB
+    assert most < 60e6
+    for cells in (1, len(m) * 7, len(m) * len(q)):
+        monkeypatch.setattr(vector_index, "CELLS", cells)
+        assert found() == want
+
+
 def test_plans_do_not_grow_with_the_queries(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 1)
     v = retrieval._vectors(spark, SF).select("doc_id", "embedding")
