@@ -1,5 +1,6 @@
 """Stored indexes, the term automaton and masking against brute-force versions."""
 
+import itertools
 import random
 import re
 import tracemalloc
@@ -177,6 +178,26 @@ def test_blocks_of_stop_words_are_not_read(spark, monkeypatch):
         assert 0 < r.wanted < r.listed / 3
 
 
+def test_what_a_text_search_stores(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(text_index, "BLOCK_DOCS", 4)
+    rng, numbers = random.Random(3), itertools.count()
+    monkeypatch.setattr(text_index, "scratch", lambda _, name: f"{tmp_path}/{name}-{next(numbers)}")
+    rows = [(i, " ".join(rng.choices(["the", "of", "and", "in", "to"], k=60) + rng.choices([f"w{n}" for n in range(400)], k=140))) for i in range(1000)]
+    df, weights = spark.createDataFrame(rows, "doc_id long, text string"), {"text": 1.0}
+    held = lambda: sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    index = text_index.build_text_index(df, weights)
+    built = held()
+    # two bytes a posting or so, of about 125 a document
+    assert built < 3 * 125 * len(rows)
+    asked = [(i, " ".join(rng.sample(["the", "of", "and", "in", "to"], 3))) for i in range(200)]
+    found = text_index.text_topk(index, spark.createDataFrame(asked, "query_id long, text string"), 5).collect()
+    # no row per query and block, of which there are 50,000
+    assert held() - built < 100_000
+    for query_id, query in asked[:5]:
+        want = sorted((-round(x, 6), d) for d, x in scores_by_hand(rows, query, weights).items() if x > 0)[:5]
+        assert [r.doc_id for r in sorted(found, key=lambda r: r.ord) if r.query_id == query_id] == [d for _, d in want]
+
+
 def test_scale_and_allowed_titles(spark):
     hit = spark.createDataFrame([(1, 7, 5.0, 1), (1, 8, 1.5, 2), (1, 9, 0.9, 3), (1, 10, 40.0, 4)], "query_id long, doc_id long, score double, ord int")
     assert [(r.doc_id, r.score, r.ord) for r in text_index.scaled(hit).orderBy("ord").collect()] == [(10, 1.0, 1), (9, 0.9, 2), (7, 0.5, 3), (8, 0.15, 4)]
