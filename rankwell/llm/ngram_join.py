@@ -2,12 +2,18 @@
 
 1. Every text becomes its set of distinct shingles (64-bit hashes). Equal sets are one
    node from here on, so copies cost nothing more.
-2. A set of n shingles needs T = ceil(threshold * n) of them in any partner, so T - K of
-   its inverted lists can be set aside, and a partner still shares K of the others with it.
-   All sets set aside the last ones of one order: by hash, and behind all others the
-   shingles that hold 1/HEAVY of all shingles or more, which are the longest lists. The
-   other lists are merged by counting, and a pair that shares fewer than it must cannot
-   link. Lists of over LONG nodes are set aside there too and lower the count that is asked
+2. Inverted lists are merged by counting, and a pair that shares fewer than it must cannot
+   link. What a list stands for depends on the threshold:
+   * From GROUPED per cent on the lists are of groups of shingles. The hashes' range is cut
+     into D + t equal parts, D being the most shingles that two linked sets of the size
+     class may have apart: these fall into at most D parts, so the sets are equal in t of
+     them. A group of several shingles is hardly ever shared by strangers, however large
+     the corpus is and whatever its frequent words are.
+   * Below it a set of n shingles needs T = ceil(threshold * n) of them in any partner, so
+     T - K of its own lists can be set aside, and a partner still shares K of the others
+     with it. All sets set aside the last ones of one order: by hash, and behind all others
+     the shingles that hold 1/HEAVY of all shingles or more, which are the longest lists.
+   Lists of over LONG nodes are set aside there too and lower the count that is asked
    for by as many as the node has of them; only nodes with so many that the others need
    not show a link are tied to the long lists, by stars, never by pairs.
 3. What is left is verified by T-occurrence search in whole sets, grouped by the connected
@@ -44,6 +50,12 @@ QUERIES = 1024
 #: Nodes of a large part that are searched first, in each of PIVOT_ROUNDS rounds.
 PIVOTS = 4
 PIVOT_ROUNDS = 2
+#: Per cent from which lists of groups of shingles are merged. Groups hold about percent / (100 - percent) shingles.
+GROUPED = 85
+#: Ratio of the sizes in a class of sets that are cut into the same parts, as 5 / 4.
+CLASS = (5, 4)
+#: Linked sets are equal in 2 parts, and in one more for so many shingles that they may have apart.
+APART = 16
 #: Shingles with at least 1/HEAVY of all come last in the order; there are at most HEAVY.
 HEAVY = 1 << 18
 #: Shingles that are counted together when heavy ones are looked for. Bounds memory only.
@@ -108,6 +120,50 @@ def indexed(shingles: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray
     return shingles[:kept]
 
 
+def size_classes(least: int, most: int) -> Iterator[int]:
+    """The largest sizes of the classes that hold the sizes from ``least`` to ``most``."""
+    top = 0
+    while top < most:
+        top = max(top + 1, (top + 1) * CLASS[0] // CLASS[1])
+        if top >= least:
+            yield top
+
+
+def group_parts(top: int, percent: int) -> tuple[int, int]:
+    """Into how many parts sets of a class are cut, and in how many at least two linked sets are equal of which the smaller is in the class.
+
+    At most (100 - percent) / percent of the smaller set's size are in one of the two only; where that is none, linked sets are equal, and nothing is cut.
+    """
+    apart = top * (100 - percent) // percent
+    equal = 2 + apart // APART
+    return (apart + equal, equal) if apart else (0, equal)
+
+
+def groups(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of a set's (sorted) groups in the classes of all sets that it may link with and that are not larger."""
+    sums = np.append(np.uint64(0), np.cumsum(_mix(shingles * _M1), dtype=np.uint64))
+    out = [np.empty(0, np.uint64)]
+    for top in size_classes(-(-percent * len(shingles) // 100), len(shingles)):
+        parts, _ = group_parts(top, percent)
+        if parts:
+            at = np.arange(parts, dtype=np.uint64)
+            ends = sums[np.append(np.searchsorted(shingles, at * np.uint64((1 << 64) // parts)), len(shingles))]
+            out.append(_mix((ends[1:] - ends[:-1]) ^ _mix(at + np.full(parts, top, np.uint64) * _M3)))
+    return np.concatenate(out)
+
+
+def groups_asked(n: int, percent: int) -> tuple[int, int]:
+    """How many groups a set of n shares with a linked set that is not smaller, and with any linked set, at least."""
+    equal = [group_parts(top, percent)[1] for top in size_classes(-(-percent * n // 100), n)]
+    return equal[-1], equal[0]
+
+
+def lists_asked(n: int, percent: int) -> tuple[int, int]:
+    """How many of a set's n lists are set aside, and how many of the others it shares with any linked set, at least."""
+    least = -(-percent * n // 100)  # a partner has as many shingles at least
+    return set_aside(n, percent), -(-percent * least // 100) - set_aside(least, percent)
+
+
 def set_digest(shingles: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for the set."""
     one, two = _mix(shingles * _M1), _mix(shingles ^ _M2)
@@ -238,13 +294,14 @@ def _in_blocks(asking: DataFrame, told: DataFrame, sets: DataFrame, sizes: DataF
     return _searched(data.unionByName(asks).join(sets, "node"), percent)
 
 
-def _shared_enough(percent: int) -> Column:
-    """Do lists in common (``shared``) suffice for a pair with sizes na, nb, of which asidea, asideb lists were set aside?
+def _fewest_shared(percent: int, a: Column, b: Column) -> Column:
+    """How many short lists two linked sets share at least; a, b: structs with n, own, long.
 
-    Of two sets the one whose kept lists end first in the order has all it may share beyond them in its lists set aside.
+    Groups: the smaller set's class says how many. Shingles: of two sets the one whose kept
+    lists end first in the order has all it may share beyond them in its lists set aside.
     """
-    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
-    return (F.col("shared") >= needed - F.greatest("asidea", "asideb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    needed = F.ceil(percent * (a["n"] + b["n"]) / (100 + percent) - 1e-9) - F.greatest(a["own"], b["own"])
+    return ((F.least(a["own"], b["own"]) if percent >= GROUPED else needed) - F.least(a["long"], b["long"])).cast("int")
 
 
 def _links_of_large(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -271,36 +328,39 @@ def _links_of_large(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, percent
 
 
 def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """From node, n_shingles, parts: the candidates' connected parts (node, label), and each node's number of shared lists (node, weight)."""
+    """From node, n_shingles, own, fewest, parts: the candidates' connected parts (node, label), and each node's number of shared lists (node, weight)."""
+    spark = nodes.sparkSession
     each = nodes.select("node", F.explode("parts").alias("part"))
     lists = stored(each.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lists")
     blocks = power_of_two(lists.count() * BITS_PER_ROW / BLOCK_BITS)
     cells = stored(hit_cells(lists.select(F.col("part").alias("digest")), blocks, 1), "cells")
-    released(nodes.sparkSession)
-    # most shingles are in no list: the filter keeps them out of the shuffle
+    released(spark)
+    # most parts are in no list: the filter keeps them out of the shuffle
     some = probed(each.withColumn("digest", F.col("part")), cells, blocks, blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES).where("possible").select("node", "part")
     shared = stored(some.join(lists, "part"), "shared")
-    n = F.col("n_shingles")
-    least = lambda x: F.ceil(percent * x / 100 - 1e-9)
-    spare = lambda x: F.least(least(x), F.floor((x - least(x)) / 2) + 1)
+    remove(lists)
     weights = shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight"), F.count_if(F.col("size") > LONG).alias("long"))
-    # a partner has at least least(n) shingles, so any pair of the node's must share spare(least(n)) lists
-    about = nodes.select("node", n.alias("n"), (least(n) - spare(n)).alias("aside"), spare(least(n)).alias("fewest")).join(weights, "node")
-    about = stored(about, "about")
-
-    # pairs of the short lists, at most LONG nodes each
-    short = shared.where(F.col("size") <= LONG).groupBy("part").agg(F.array_sort(F.collect_list("node")).alias("l"))
-    pairs = F.flatten(F.transform("l", lambda a, i: F.transform(F.slice(F.col("l"), i + 2, LONG), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    counted = short.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"))
-    of = lambda x: about.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("aside").alias(f"aside{x}"), F.col("long").alias(f"long{x}"))
-    rows = counted.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.col("shared") + F.least("longa", "longb"))
-    near = rows.where(_shared_enough(percent)).select("a", "b")
+    about = stored(nodes.select("node", F.col("n_shingles").alias("n"), "own", "fewest").join(weights, "node"), "about")
+    released(spark)
+
+    # pairs of the short lists, at most LONG nodes each; what a pair is asked for is told where it is made
+    member = F.struct("node", "n", "own", "long").alias("member")
+    short = shared.where(F.col("size") <= LONG).select("node", "part").join(about.select("node", member), "node")
+    short = short.groupBy("part").agg(F.array_sort(F.collect_list("member")).alias("l"))
+    alike = lambda a, b: 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
+    pair = lambda a, b: F.struct(a["node"].alias("a"), b["node"].alias("b"), _fewest_shared(percent, a, b).alias("asked"))
+    pairs = F.flatten(F.transform("l", lambda a, i: F.transform(F.filter(F.slice(F.col("l"), i + 2, LONG), lambda b: alike(a, b)), lambda b: pair(a, b))))
+    counted = short.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"), F.max("p.asked").alias("asked"))
+    near = stored(counted.where(F.col("shared") >= F.col("asked")).select("a", "b"), "near")
 
     tied = about.where(F.col("long") >= F.col("fewest")).select("node")
     held = stored(shared.where(F.col("size") > LONG).select("node", "part").join(tied, "node", "left_semi"), "held")
     hubs = held.groupBy("part").agg(F.min("node").alias("hub"))
     stars = held.join(hubs, "part").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return components(near.unionByName(stars)), about.select("node", "weight")
+    remove(shared)
+    released(spark)
+    found = components(near.unionByName(stars))
+    return found, about.select("node", "weight")
 
 
 def heavy_shingles(rows: DataFrame, words: int) -> np.ndarray:
@@ -350,7 +410,8 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_field = rows.schema["id"]
 
-    frequent = docs.sparkSession.sparkContext.broadcast(heavy_shingles(rows, words))  # at most HEAVY hashes
+    grouped = percent >= GROUPED
+    frequent = docs.sparkSession.sparkContext.broadcast(np.empty(0, np.uint64) if grouped else heavy_shingles(rows, words))  # at most HEAVY hashes
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled, heavy = Shingler(words), frequent.value
@@ -359,13 +420,15 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                 batch = whole.slice(at, 512)
                 sets = [shingled(text.as_py()) for text in batch.column(1)]
                 digests = [set_digest(s) if len(s) else (0, 0) for s in sets]
-                parts = [indexed(s, heavy, percent) for s in sets]
+                parts = [groups(s, percent) if grouped else indexed(s, heavy, percent) for s in sets]
+                asked = [(groups_asked if grouped else lists_asked)(len(s), percent) if len(s) else (0, 0) for s in sets]
                 ends = np.cumsum([0, *map(len, parts)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
-                arrays = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), lists]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n_shingles", "d1", "d2", "parts"])
+                arrays = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in of], pa.int64()) for of in (digests, asked) for k in (0, 1)), lists]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", *names, "parts"])
 
-    longs = [T.StructField(x, T.LongType()) for x in ("n_shingles", "d1", "d2")]
+    names = ("n_shingles", "d1", "d2", "own", "fewest")
+    longs = [T.StructField(x, T.LongType()) for x in names]
     signed_rows = rows.mapInArrow(giving_back(signed), T.StructType([id_field, *longs, T.StructField("parts", T.ArrayType(T.LongType()))]))
     signed_rows = stored(signed_rows.withColumn("node", F.monotonically_increasing_id()), "signed")
     total = signed_rows.count()
@@ -373,13 +436,18 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # one node for each set: the first of its rows
     sets = each.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     sets = stored(sets, "sets")
-    nodes = stored(signed_rows.select("node", "n_shingles", "parts").join(sets.select("node"), "node", "left_semi"), "nodes")
-    remove(signed_rows)
-    del signed_rows
+    # the other rows of a set are left out; only rows that may be among these move
+    again = stored(each.where("n_shingles > 0").select("node").join(sets.select("node"), "node", "left_anti").withColumn("digest", F.col("node")), "again")
+    blocks = power_of_two(again.count() * BITS_PER_ROW / BLOCK_BITS)
+    seen = signed_rows.select("node", "n_shingles", "own", "fewest", "parts", F.col("node").alias("digest"))
+    seen = probed(seen, stored(hit_cells(again, blocks, 1), "cells"), blocks, blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES).drop("digest")
+    nodes = seen.where("NOT possible").unionByName(seen.where("possible").join(again.select("node"), "node", "left_anti"))
     released(docs.sparkSession)
     comps, weights = _candidates(nodes, percent)
     comps = stored(comps.join(weights, "node").withColumnRenamed("label", "comp"), "candidates")
-    remove(nodes)
+    del nodes, seen
+    remove(signed_rows)
+    released(docs.sparkSession)
 
     # the candidates' shingles, from their whole texts again
     wanted = stored(comps.join(each, "node").select("node", "comp", "id", "d1", "d2"), "wanted")
@@ -398,10 +466,11 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     blocks = power_of_two(wanted.count() * 16 / BLOCK_BITS)
     cells = hit_cells(wanted.select(key), blocks, 1)
     fetched = probed(rows.withColumn("digest", key), cells, blocks, blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES).where("possible").select("id", "text")
-    fetched = fetched.mapInArrow(giving_back(shingled_rows), T.StructType([id_field, *longs[1:], T.StructField("shingles", T.BinaryType())]))
+    fetched = fetched.mapInArrow(giving_back(shingled_rows), T.StructType([id_field, *longs[1:3], T.StructField("shingles", T.BinaryType())]))
     left, right = fetched.alias("f"), wanted.alias("w")
     same = F.col("f.id").eqNullSafe(F.col("w.id")) & (F.col("f.d1") == F.col("w.d1")) & (F.col("f.d2") == F.col("w.d2"))
     found = stored(left.join(right, same).select("w.node", "w.comp", "f.shingles"), "shingles")
+    released(docs.sparkSession)
 
     sizes = stored(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
     small = found.join(sizes.where(F.col("size") <= SMALL), "comp")
@@ -411,7 +480,9 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     large = stored(sizes.where(F.col("size") > SMALL), "large")
     if not large.isEmpty():
         nodes = stored(comps.join(large.select("comp"), "comp", "left_semi").select("comp", "node", "weight"), "large")
-        links = links.unionByName(_links_of_large(nodes, found, large, percent))
+        # its rounds shuffle the sets of large parts only
+        whole = stored(found.join(large.select("comp"), "comp", "left_semi"), "whole")
+        links = links.unionByName(_links_of_large(nodes, whole, large, percent))
 
     labels = components(links)
     labelled = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -718,6 +718,43 @@ def test_linked_sets_share_the_lists_that_are_asked_for():
     assert met > 600
 
 
+def test_linked_sets_share_the_groups_that_are_asked_for():
+    rng = np.random.RandomState(1)
+    met = 0
+    for percent in (85, 90, 97):
+        for _ in range(600):
+            a = np.unique(rng.randint(0, 1 << 62, rng.randint(2, 400)).astype(np.uint64) << np.uint64(2))
+            change = int(len(a) * rng.uniform(0, 0.2))
+            new = rng.randint(0, 1 << 62, rng.randint(0, change + 1)).astype(np.uint64) << np.uint64(2)
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[change:]], new]))
+            both = len(np.intersect1d(a, b))
+            if len(b) and both < max(len(a), len(b)) and 100 * both >= percent * (len(a) + len(b) - both):
+                met += 1
+                shared = len(np.intersect1d(ngram_join.groups(a, percent), ngram_join.groups(b, percent)))
+                (own_a, fewest_a), (own_b, fewest_b) = (ngram_join.groups_asked(len(s), percent) for s in (a, b))
+                assert shared >= min(own_a, own_b) >= max(fewest_a, fewest_b) >= 2
+    assert met > 300
+
+
+def test_strangers_with_common_words_are_no_candidates(spark, monkeypatch):
+    """Every shingle is in many texts, so lists of single shingles tie most of them into one part."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(40, 90)))) for k in range(300)]
+    rows.append((300, rows[7][1] + " g"))
+    sizes = {}
+
+    def counted(df, name):
+        out = ngram_join_stored(df, name)
+        sizes[name] = out.count() if name == "candidates" else sizes.get(name)
+        return out
+
+    ngram_join_stored = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    got = {r.id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()}
+    assert got == {k: 7 if k == 300 else k for k, _ in rows}
+    assert sizes["candidates"] <= 20
+
+
 @pytest.mark.parametrize("heap", [0, 1 << 20])
 def test_search_finds_what_links(monkeypatch, heap):
     monkeypatch.setattr(ngram_join, "HEAP", heap)
