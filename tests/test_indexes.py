@@ -7,6 +7,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,29 @@ def test_what_a_text_search_stores(spark, monkeypatch, tmp_path):
         assert [r.doc_id for r in sorted(found, key=lambda r: r.ord) if r.query_id == query_id] == [d for _, d in want]
 
 
+def test_a_task_holds_few_segments_and_small_batches(spark, monkeypatch, tmp_path):
+    numbers = itertools.count()
+    monkeypatch.setattr(text_index, "scratch", lambda _, name: f"{tmp_path}/{name}-{next(numbers)}")
+    monkeypatch.setattr(text_index, "SEGMENT_WORDS", 400)
+    rows, weights = [(f"d{i:04}", *fields) for i, *fields in texts(random.Random(4), 400)], {"title": 3.0, "text": 0.5}
+    index = text_index.build_text_index(spark.createDataFrame(rows, "doc_id string, title string, text string").coalesce(1), weights)
+    groups = [g for f in tmp_path.glob("segments-*/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(g.num_rows for g in groups) > 50
+    # what a reader opens at once are a few values, compressed, not the postings of all segments of a file
+    assert max(g.column(c).num_values for g in groups for c in range(g.num_columns)) <= 4 * len(weights)
+    found = text_index.text_topk(index, spark.createDataFrame([(1, "rare5 the w7")], "query_id long, text string"), 10).collect()
+    want = sorted((-round(s, 6), d) for d, s in scores_by_hand(rows, "rare5 the w7", weights).items() if s > 0)[:10]
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.ord)] == [d for _, d in want]
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    wide, before = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text")), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert text_index._stored(wide.mapInArrow(sizes, "bytes long"), "sizes").agg(F.max("bytes")).first()[0] < 5 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_scale_and_allowed_titles(spark):
     hit = spark.createDataFrame([(1, 7, 5.0, 1), (1, 8, 1.5, 2), (1, 9, 0.9, 3), (1, 10, 40.0, 4)], "query_id long, doc_id long, score double, ord int")
     assert [(r.doc_id, r.score, r.ord) for r in text_index.scaled(hit).orderBy("ord").collect()] == [(10, 1.0, 1), (9, 0.9, 2), (7, 0.5, 3), (8, 0.15, 4)]
